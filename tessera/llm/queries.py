@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import simhash
+from . import quality, simhash, toxicity
 
-QUERIES = {"op10_simhash": simhash.op10_simhash}
+QUERIES = {"op2_quality": quality.op2_quality, "op7_toxicity": toxicity.op7_toxicity, "op10_simhash": simhash.op10_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
