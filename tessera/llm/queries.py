@@ -1,7 +1,13 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import quality, simhash, toxicity
+from . import packing, pii, quality, simhash, toxicity
 
-QUERIES = {"op2_quality": quality.op2_quality, "op7_toxicity": toxicity.op7_toxicity, "op10_simhash": simhash.op10_simhash}
+QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_pii": pii.op9_pii,
+    "op10_simhash": simhash.op10_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
