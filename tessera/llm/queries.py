@@ -1,13 +1,14 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import packing, pii, quality, simhash, toxicity
+from . import packing, pii, quality, rules, simhash, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op3_rules": rules.op3_rules,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_rules": rules.OP3_SQL}
