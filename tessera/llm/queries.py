@@ -1,12 +1,13 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import packing, pii, quality, rules, simhash, toxicity
+from . import packing, pii, quality, rules, simhash, suffix_lm, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_rules": rules.op3_rules,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_suffix_tree": suffix_lm.op8_suffix_tree,
     "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
 }
