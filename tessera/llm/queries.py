@@ -1,10 +1,11 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import packing, pii, quality, rules, simhash, suffix_lm, toxicity
+from . import chunks, packing, pii, quality, rules, simhash, suffix_lm, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_rules": rules.op3_rules,
+    "op5_chunks": chunks.op5_chunks,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_suffix_tree": suffix_lm.op8_suffix_tree,
