@@ -1,11 +1,12 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chunks, metric_join, packing, pii, quality, rules, simhash, suffix_lm, toxicity
+from . import chunks, licences, metric_join, packing, pii, quality, rules, simhash, suffix_lm, toxicity
 
 QUERIES = {
     "op1_metric_join": metric_join.op1_metric_join,
     "op2_quality": quality.op2_quality,
     "op3_rules": rules.op3_rules,
+    "op4_licences": licences.op4_licences,
     "op5_chunks": chunks.op5_chunks,
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
