@@ -14,24 +14,44 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch, read_table, stored
 from .tokens import WordMemory, in_blocks, tokenizer_path
 
-Bins = list[list[int]]
-
-
-def best_fit(items: list[int], size: np.ndarray, bins: Bins, free: list[int], cap: int) -> None:
-    """Put items, largest first, each into the fullest bin that holds it. bins, free: changed in place."""
-    room = sorted((f, k) for k, f in enumerate(free))
-    for i in sorted(items, key=lambda i: -size[i]):
-        s = int(size[i])
-        at = bisect_left(room, (s, -1))
-        if at == len(room):
-            bins.append([])
-            free.append(cap)
-            k = len(bins) - 1
-        else:
-            k = room.pop(at)[1]
-        bins[k].append(i)
-        free[k] -= s
-        insort(room, (free[k], k))
+class Packing:
+    """One packing of a shard's items: bins of item numbers, the room left in each, and each item's bin."""
+
+    def __init__(self, bins: list[list[int]], free: list[int], where: np.ndarray, cap: int) -> None:
+        self.bins, self.free, self.where, self.cap = bins, free, where, cap
+
+    def copy(self) -> Packing:
+        # bins are replaced, never changed in place, so they can be shared
+        return Packing(self.bins.copy(), self.free.copy(), self.where.copy(), self.cap)
+
+    def cost(self) -> tuple[int, float]:
+        """Fewer bins first; then packings whose bins are unequally full, which leaves room that can be emptied."""
+        fill = self.cap - np.array(self.free, np.float64)
+        return int((fill > 0).sum()), -float((fill * fill).sum())
+
+    def dissolve(self, numbers: set[int]) -> list[int]:
+        """Empty these bins and return their items."""
+        loose = [i for k in numbers for i in self.bins[k]]
+        for k in numbers:
+            self.bins[k], self.free[k] = [], self.cap
+        return loose
+
+    def best_fit(self, items: list[int], size: list[int]) -> None:
+        """Put items, largest first, each into the fullest bin that holds it; empty bins come last."""
+        room = sorted((f, k) for k, f in enumerate(self.free) if f)
+        for i in sorted(items, key=lambda i: -size[i]):
+            at = bisect_left(room, (size[i], -1))
+            if at == len(room):
+                k, f = len(self.bins), self.cap
+                self.bins.append([])
+                self.free.append(f)
+            else:
+                f, k = room.pop(at)
+            self.bins[k] = [*self.bins[k], i]
+            self.free[k] = f - size[i]
+            self.where[i] = k
+            if self.free[k]:
+                insort(room, (self.free[k], k))
 
 
 def lower_bound(size: np.ndarray, cap: int) -> int:
@@ -53,77 +73,75 @@ def lower_bound(size: np.ndarray, cap: int) -> int:
 class Island:
     """A population of packings of one shard's items."""
 
-    def __init__(self, size: np.ndarray, cap: int, seed: int, elite: list[Bins], population: int = 6) -> None:
-        self.size, self.cap, self.rng, self.bound = size, cap, np.random.default_rng(seed), lower_bound(size, cap)
-        first: Bins = []
-        best_fit(list(range(len(size))), size, first, [], cap)
-        self.members = [first, *elite]
+    def __init__(self, size: np.ndarray, cap: int, seed: int, elite: list[bytes], population: int = 6) -> None:
+        self.size, self.cap, self.rng, self.bound = size.tolist(), cap, np.random.default_rng(seed), lower_bound(size, cap)
+        if elite:
+            self.members = [self._unpacked(e) for e in elite]
+        else:
+            first = Packing([], [], np.zeros(len(size), np.int64), cap)
+            first.best_fit(list(range(len(size))), self.size)
+            self.members = [first]
+        self.costs = [m.cost() for m in self.members]
         while len(self.members) < population and not self.done():
-            self.members.append(self._shaken(first))
+            self._add(self._shaken(self.members[0]))
 
-    def cost(self, bins: Bins) -> tuple[int, float]:
-        """Fewer bins first; then packings whose bins are unequally full, which leaves room that can be emptied."""
-        fill = np.array([self.size[b].sum() for b in bins], np.float64) / self.cap
-        return len(bins), -float((fill * fill).sum())
+    def _unpacked(self, data: bytes) -> Packing:
+        where = np.frombuffer(data, np.int32).astype(np.int64)
+        bins: list[list[int]] = [[] for _ in range(int(where.max(initial=-1)) + 1)]
+        for i, k in enumerate(where.tolist()):
+            bins[k].append(i)
+        return Packing(bins, [self.cap - sum(self.size[i] for i in b) for b in bins], where, self.cap)
+
+    def _add(self, member: Packing) -> None:
+        self.members.append(member)
+        self.costs.append(member.cost())
 
-    def best(self) -> Bins:
-        return min(self.members, key=self.cost)
+    def best(self) -> Packing:
+        return self.members[min(range(len(self.members)), key=self.costs.__getitem__)]
 
     def done(self) -> bool:
-        return any(len(b) <= self.bound for b in self.members)
-
-    def _rebuilt(self, kept: Bins, loose: list[int]) -> Bins:
-        bins = [list(b) for b in kept]
-        best_fit(loose, self.size, bins, [self.cap - int(self.size[b].sum()) for b in bins], self.cap)
-        return bins
-
-    def _shaken(self, bins: Bins, share: float = 0.2) -> Bins:
-        """Mutation: the emptiest bins and a random few are dissolved and their items best-fitted again."""
-        fill = np.array([self.size[b].sum() for b in bins])
-        drop = (self.rng.random(len(bins)) < share) | (fill <= np.partition(fill, min(2, len(fill) - 1))[min(2, len(fill) - 1)])
-        loose = [i for b, d in zip(bins, drop, strict=True) if d for i in b]
-        kept = [b for b, d in zip(bins, drop, strict=True) if not d]
-        # some loose items are placed first in random order, so that offspring differ
-        early = [i for i in loose if self.rng.random() < 0.5]
-        bins = [list(b) for b in kept]
-        free = [self.cap - int(self.size[b].sum()) for b in bins]
-        best_fit(early, self.size, bins, free, self.cap)
-        taken = set(early)
-        best_fit([i for i in loose if i not in taken], self.size, bins, free, self.cap)
-        return bins
-
-    def _crossed(self, a: Bins, b: Bins) -> Bins:
-        """Crossover: well-filled bins of b are injected whole into a; bins of a that share an item with them dissolve,
-        and their displaced documents are best-fitted."""
-        fill = np.array([self.size[x].sum() for x in b]) / self.cap
-        chosen = [x for x, f in zip(b, fill, strict=True) if f >= 0.98 and self.rng.random() < 0.5]
+        return min(self.costs)[0] <= self.bound
+
+    def _shaken(self, a: Packing, few: int = 40) -> Packing:
+        """Mutation: the emptiest bin and a random few dissolve; some of their items are placed first, then the others."""
+        child = a.copy()
+        used = [k for k, b in enumerate(child.bins) if b]
+        picked = {used[i] for i in self.rng.integers(0, len(used), few)} | {max(used, key=child.free.__getitem__)}
+        loose = child.dissolve(picked)
+        early = self.rng.random(len(loose)) < 0.3
+        child.best_fit([i for i, e in zip(loose, early, strict=True) if e], self.size)
+        child.best_fit([i for i, e in zip(loose, early, strict=True) if not e], self.size)
+        return child
+
+    def _crossed(self, a: Packing, b: Packing, few: int = 60) -> Packing:
+        """Crossover: well-filled bins of b are injected whole into a; bins of a that hold any of their items dissolve,
+        and the displaced documents are best-fitted."""
+        full = [k for k, x in enumerate(b.bins) if x and b.free[k] * 50 <= self.cap]
+        chosen = [b.bins[full[i]] for i in set(self.rng.integers(0, len(full), few).tolist())] if full else []
+        child = a.copy()
         held = {i for x in chosen for i in x}
-        kept = [x for x in a if not held.intersection(x)]
-        loose = [i for x in a if held.intersection(x) for i in x if i not in held]
-        return self._rebuilt([*chosen, *kept], loose)
+        loose = child.dissolve({int(child.where[i]) for i in held})
+        for x in chosen:
+            k = len(child.bins)
+            child.bins.append(x)
+            child.free.append(self.cap - sum(self.size[i] for i in x))
+            child.where[x] = k
+        child.best_fit([i for i in loose if i not in held], self.size)
+        return child
 
     def evolve(self, generations: int) -> None:
-        for _ in range(generations):
+        for _ in range(generations if self.size else 0):
             if self.done():
                 return
-            self.members.sort(key=self.cost)
-            a, b = self.members[0], self.members[int(self.rng.integers(1, len(self.members)))]
-            child = self._crossed(a, b) if self.rng.random() < 0.7 else self._shaken(a)
-            self.members[-1] = child
-
-
-def _pack_bins(bins: Bins) -> bytes:
-    out = np.zeros(sum(map(len, bins)), np.int32)
-    for k, b in enumerate(bins):
-        out[b] = k
-    return out.tobytes()
-
+            order = sorted(range(len(self.members)), key=self.costs.__getitem__)
+            a, b, last = self.members[order[0]], self.members[order[int(self.rng.integers(1, len(order)))]], order[-1]
+            child = self._crossed(a, b) if self.rng.random() < 0.6 else self._shaken(a)
+            self.members[last], self.costs[last] = child, child.cost()
 
-def _unpack_bins(data: bytes) -> Bins:
-    where = np.frombuffer(data, np.int32)
-    order = np.argsort(where, kind="stable")
-    cuts = np.flatnonzero(np.diff(where[order])) + 1
-    return [x.tolist() for x in np.split(order, cuts)] if len(where) else []
+    def packed(self) -> bytes:
+        """Each item's bin in the best packing, numbered from 0 without gaps."""
+        best = self.best()
+        return np.unique(best.where, return_inverse=True)[1].astype(np.int32).tobytes()
 
 
 def pieces(docs: DataFrame, cap: int = 2048, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -171,10 +189,9 @@ def _evolved(islands: DataFrame, cap: int, generations: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for shard, island, size, elites in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                world = Island(np.frombuffer(size, np.int32), cap, hash((shard, island, len(elites))) & 0x7FFFFFFF, [_unpack_bins(e) for e in elites])
+                world = Island(np.frombuffer(size, np.int32), cap, hash((shard, island, len(elites))) & 0x7FFFFFFF, elites)
                 world.evolve(generations)
-                best = world.best()
-                yield batch(out, [shard], [island], [size], [_pack_bins(best)], [len(best)], [world.done()])
+                yield batch(out, [shard], [island], [size], [world.packed()], [min(world.costs)[0]], [world.done()])
 
     return arrow_map(islands.select("shard", "island", "size", "elites"), run, "shard bigint, island int, size binary, best binary, bins bigint, done boolean")
 
