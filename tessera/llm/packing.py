@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch, read_table, stored
-from .tokens import WordMemory, in_blocks, tokenizer_path
+from .tokens import ByteEncoder, tokenizer_path
 
 class Packing:
     """One packing of a shard's items: bins of item numbers, the room left in each, and each item's bin."""
@@ -151,6 +151,7 @@ def pieces(docs: DataFrame, cap: int = 2048, path: str | None = None, end_id: in
     row tells repeated rows of one id apart. own_sequence numbers the pieces of cap tokens, from -1 down; else null.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
+    ranks = path.removesuffix(".json") + ".tiktoken"
     end = np.uint32(end_id).tobytes()
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "own_sequence"] + ["ids"] * keep_ids
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * keep_ids
@@ -158,26 +159,23 @@ def pieces(docs: DataFrame, cap: int = 2048, path: str | None = None, end_id: in
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_col)
 
     def run(batches):
-        memory = WordMemory(path)
+        encoder = ByteEncoder(path, ranks)
         own = -1 - (TaskContext.get().partitionId() << 40)
         for b in batches:
-            at, ids = 0, (b.column(0).to_pylist(), b.column(1).to_pylist())
-            for block in in_blocks(b.column(2).to_pylist()):
-                out = [[] for _ in names]
-                for k, data in enumerate(memory.encode(block), at):
-                    data += end
-                    n = len(data) // 4
-                    start, piece = 0, 0
-                    while start < n:
-                        length = (n % cap or cap) if piece == 0 else cap
-                        part = data[4 * start : 4 * (start + length)]
-                        row = [ids[0][k], ids[1][k], piece, start, length, zlib.crc32(part), own if length == cap else None] + [np.frombuffer(part, np.uint32).astype(np.int64)] * keep_ids
-                        for c, x in zip(out, row, strict=True):
-                            c.append(x)
-                        own -= length == cap
-                        start, piece = start + length, piece + 1
-                at += len(block)
-                yield batch(schema, *out)
+            out = [[] for _ in names]
+            for row, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = encoder.encode(text) + end
+                n = len(data) // 4
+                start, piece = 0, 0
+                while start < n:
+                    length = (n % cap or cap) if piece == 0 else cap
+                    part = data[4 * start : 4 * (start + length)]
+                    one = [row, doc_id, piece, start, length, zlib.crc32(part), own if length == cap else None] + [np.frombuffer(part, np.uint32).astype(np.int64)] * keep_ids
+                    for c, x in zip(out, one, strict=True):
+                        c.append(x)
+                    own -= length == cap
+                    start, piece = start + length, piece + 1
+            yield batch(schema, *out)
 
     return arrow_map(rows, run, "row bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, own_sequence bigint" + ", ids array<bigint>" * keep_ids)
 

@@ -1,12 +1,10 @@
-"""Encoding with the public tokenizers inside tasks, with words that were met before taken from memory."""
+"""Encoding with the public tokenizers inside tasks."""
 
 from __future__ import annotations
 
+import base64
 import os
-import re
-from itertools import repeat
-
-import numpy as np
+from array import array
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,36 +24,28 @@ def load(path: str):
     return t
 
 
-class WordMemory:
-    """Ids of whole texts by a byte-level tokenizer, put together from the ids of space-led pieces.
+class ByteEncoder:
+    """Ids of whole texts by the byte-level vocabulary, as the tokenizers library gives them.
 
-    The tokenizer's pattern lets no token span a space that ends a run of white space and comes before another character,
-    so a text may be cut before each such space. A text where a space is followed by white space or by its end is encoded
-    whole. At most `most` pieces are remembered; that bounds memory, not results.
+    The same merges are published as ranks, which tiktoken applies several times faster; tests hold both libraries' ids
+    against each other. Only a text that names a special token goes through the tokenizers library itself.
     """
 
-    _unsafe = re.compile(r" (?:\s|\Z)")
-
-    def __init__(self, path: str, most: int = 400_000) -> None:
-        self.tokenizer, self.most, self.ids = load(path), most, {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if self._unsafe.search(t) else t.split(" ") for t in texts]
-        for pieces in cut:
-            if pieces is not None:
-                # the first piece has no space before it, unless it is empty
-                pieces[1:] = map(str.__add__, repeat(" "), pieces[1:])
-        if len(self.ids) > self.most:
-            self.ids.clear()
-        new = list({p for pieces in cut if pieces is not None for p in pieces} - self.ids.keys())
-        self.ids.update(zip(new, self._encode(new), strict=True))
-        get = self.ids.__getitem__
-        whole = iter(self._encode([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
+    def __init__(self, path: str, ranks_path: str) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {base64.b64decode(t): int(n) for t, n in (line.split() for line in open(ranks_path, "rb"))}
+        self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.whole = load(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids; null counts as empty."""
+        text = text or ""
+        if any(s in text for s in self.special):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
 def in_blocks(texts: list[str | None], size: int = 1_000_000):
