@@ -184,3 +184,8 @@ def align_scores(candidates: DataFrame, scores: DataFrame, keys: list[str], scor
     s = scores.groupBy(*keys).agg(F.count("*").alias("__s"), F.count_if(F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf"))).alias("__bad"))
     x = c.join(s, keys, "full_outer")
     return x.agg(F.count_if(F.col("__s").isNull()).alias("missing"), F.count_if(F.col("__c").isNull()).alias("extra"), F.coalesce(F.sum(F.greatest(F.col("__s") - 1, F.lit(0))), F.lit(0)).alias("duplicate"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("non_finite"))
+
+
+def macro_mean(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Unweighted mean and population deviation over units with a defined value, and how many there are."""
+    return df.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.count(value).alias("n"))

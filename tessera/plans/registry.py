@@ -44,7 +44,7 @@ def with_tables(sql: str) -> str:
 
 
 def _load() -> None:
-    from . import cohorts, panels  # noqa: F401
+    from . import cohorts, evaluation, panels  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
