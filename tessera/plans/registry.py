@@ -44,7 +44,7 @@ def with_tables(sql: str) -> str:
 
 
 def _load() -> None:
-    from . import audits, cohorts, evaluation, graphs, panels, sampling  # noqa: F401
+    from . import audits, cohorts, evaluation, graphs, learning, panels, sampling, scans  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
