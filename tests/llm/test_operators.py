@@ -1,0 +1,325 @@
+"""The training-data operators against plain versions, on odd rows, and on empty tables."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import chunks, components, licences, metric_join, packing, pii, quality, rules, simhash, suffix_lm, toxicity
+from tessera.llm.tokens import tokenizer_path
+
+from ..conftest import SMALL
+
+DOCS = "doc_id long, text string, lang string, component_id long, score double"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, ties, and columns named like the operators' own."""
+    long = "Das ist ein sehr langer Text ohne Ende. " * 4000
+    rows = [(1, "One two three four.", "en", 5, 0.1), (1, "One two three four.", "en", 5, 0.1), (2, None, None, None, None), (3, "", "de", 1, 2.0), (None, "no id here", "en", 1, 0.0), (4, long, "de", 1, 0.0), (5, "x" * 30_000, "en", 1, 0.0), (6, "ONE two three four.", "en", 5, 0.1), (7, " \t\n ", "en", 1, 1.0), (8, "a <|endoftext|>b  c\n d", "fr", 1, 1.0)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def reachable(nodes, linked):
+    """Smallest node of each node's component, by brute force."""
+    least = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)] + [(7, None)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    full = [(a, b) for a, b in edges if b is not None and a != b]
+    assert got == reachable({x for e in full for x in e}, full)
+
+
+def test_components_empty(spark):
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_simhash_brute(spark, docs):
+    got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    fp = {i: simhash.fingerprint(t) for i, t in texts(docs).items()}
+    assert {i: x[0] for i, x in got.items()} == fp
+    ids = sorted(fp)
+    linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 3]
+    assert {i: x[1] for i, x in got.items()} == reachable(ids, linked)
+
+
+def test_simhash_tiles_find_all(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & (2**64 - 1) for b in base for _ in range(20)})
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), tile_rows=16)
+    got = {r.node: r.component for r in components.connected_components(links).collect()}
+    full = [(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
+    assert got == reachable({x for e in full for x in e}, full)
+
+
+def test_simhash_odd(spark, odd, empty):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == 10
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.doc_id].add((r.fp, r.component_id))
+    assert by[1] == by[6] and by[2] == by[3] == by[7] == {(0, 2)}
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_first(odd).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 2, 4, 5, 8]
+
+
+def test_metric_join_brute(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    rows = [(k, (centres[k % 12] + rng.normal(size=16) * (0.02 if k % 3 else 0.4)).tolist()) for k in range(240)]
+    rows += [(300, rows[0][1]), (301, rows[0][1]), (302, [2 * x for x in rows[0][1]]), (303, None), (304, [0.0] * 16), (305, [float("nan")] + [1.0] * 15), (306, [1.0, None] + [1.0] * 14), (307, [1.0, 2.0]), (308, [1.0, 2.1]), (309, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in metric_join.near_vectors(df, per_cell=30).collect()}
+    fine = {i: np.array(v) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
+    cos = lambda a, b: len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.9
+    ids = sorted(fine)
+    linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if cos(fine[a], fine[b])]
+    n = collections.Counter(x for e in linked for x in e)
+    least = reachable([i for i, _ in rows], linked)
+    assert got == {i: (n[i], least[i], least[i] == i) for i, _ in rows}
+    assert metric_join.near_vectors(df.limit(0)).count() == 0
+
+
+def test_quality_held_out(spark, odd, empty):
+    base = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.fit_quality(docs, labels)
+    rows = quality.score_quality(docs.select("doc_id", "text"), field).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).collect()
+    assert np.mean([(r.score >= 0.5) == (r.quality == 1) for r in rows]) >= 0.9
+    scores = [r.score for r in quality.score_quality(odd.select("doc_id", "text", "lang"), field).collect()]
+    assert len(scores) == 10 and all(0 <= s <= 1 for s in scores)
+    assert quality.score_quality(empty.select("doc_id", "text"), field).count() == 0
+    one = quality.fit_quality(docs, labels.where("quality = 1"))
+    assert all(r.score > 0.5 for r in quality.score_quality(docs.select("doc_id", "text"), one).take(5))
+
+
+def test_quality_marginals_are_exact():
+    rng = np.random.default_rng(0)
+    field = quality.LineField(rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2)))
+    n = np.array([3, 1, 4])
+    x = rng.normal(size=(8, quality.N_FEATURES))
+    got, start = field.marginals(x, n), 0
+    for k in n:
+        score = x[start : start + k] @ field.w
+        weight = np.zeros(k)
+        total = 0.0
+        for s in range(2**k):
+            bits = [s >> i & 1 for i in range(k)]
+            w = math.exp(sum(b * v for b, v in zip(bits, score, strict=True)) + sum(field.t[a, b] for a, b in zip(bits, bits[1:], strict=False)))
+            total += w
+            weight += w * np.array(bits)
+        assert np.allclose(got[start : start + k], weight / total)
+        start += k
+
+
+def test_toxicity_held_out(spark, odd, empty):
+    base = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    rows = toxicity.score_toxicity(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()
+    assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in rows]) >= 0.95
+    scores = [r.score for r in toxicity.score_toxicity(odd.select("doc_id", "text"), model).collect()]
+    assert len(scores) == 10 and all(0 <= s <= 1 for s in scores)
+    assert toxicity.score_toxicity(empty.select("doc_id", "text"), model).count() == 0
+    assert toxicity.fit_rows([], [], 0.1).score("anything", {}) == pytest.approx(0.1)
+
+
+def test_rules_odd(spark, odd, empty, docs, duck):
+    got = rules.apply_rules(odd.select("doc_id", "text", "lang", F.lit(1).alias("kept"))).collect()
+    assert len(got) == 10 and not any(r.kept for r in got if r.doc_id != 4)
+    assert rules.apply_rules(empty).count() == 0
+    assert rules.measure("Menu | a | b | c\nA line that ends.")["cleaned"] == "A line that ends."
+    want = sorted(duck.execute(rules.OP3_SQL).fetchall())
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert sorted(tuple(r[c] for c in columns) for r in rules.apply_rules(docs).collect()) == want
+
+
+def test_licences(spark, empty):
+    model = licences.fit_licences(spark)
+    lines = {1: ("Some prose.\nLicensed under the Apache License, Version 2.0.\nMore.", "apache-2.0"), 2: ("RELEASED*** UNDER%%% THE&&& MIT$$$ LICENSE.###", "mit"), 3: ("This work is licensed under the GNU General Public License, version 3.", "gpl"), 4: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), 5: ("The driver's license was issued by the state.", None), 6: ("Nothing here mit der Hand.", None), 7: (None, None), 8: ("All rights reserved.", "proprietary")}
+    df = spark.createDataFrame([(k, t, 1) for k, (t, _) in lines.items()] + [(1, lines[1][0], 1)], "doc_id long, text string, row int")
+    found = collections.defaultdict(set)
+    rows = licences.scan(df, model).collect()
+    for r in rows:
+        found[r.doc_id].add(r.family if r.confirmed else None)
+    assert {k: f for k, (_, f) in lines.items()} == {k: next(iter(found[k])) for k in lines}
+    assert len(rows) == 9
+    assert licences.scan(empty, model).count() == 0
+
+
+def test_chunked_encoding(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    t, memory = Tokenizer.from_file(path), chunks.ChunkMemory(path)
+    rng = random.Random(4)
+    for k in range(60):
+        text = "".join(rng.choice("abc é́ <|endoftext|>  ñ's 12,.  日本 ") for _ in range(rng.choice([0, 5, 6000])))
+        text = text.replace(" ", "") if k % 4 == 0 else text
+        assert memory.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    passage = "".join(rng.choice("abcdefgh     ") for _ in range(5000))
+    shared = chunks.ChunkMemory(path)
+    shared.encode(["start " + passage, "another beginning " + passage])
+    assert shared.encoded < shared.used
+    got = chunks.encode(chunks.together(odd)).collect()
+    assert len(got) == 10
+    for r in got:
+        source = next(x.text for x in odd.collect() if x.doc_id == r.doc_id) or ""
+        ids = t.encode(source, add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert chunks.encode(empty).count() == 0
+
+
+def check_packing(rows, texts_of, cap=2048):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    by, bins = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    for i, own in by.items():
+        ids = t.encode(texts_of[i] or "", add_special_tokens=False).ids + [0]
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        copies = sum(r.piece == 0 for r in own)
+        assert sum(r.length for r in own) == copies * len(ids) and all(r.length == cap for r in own if r.piece)
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= cap
+    return len(bins)
+
+
+def test_packing(spark, docs, odd, empty):
+    rows = packing.packed_documents(docs).collect()
+    n = check_packing(rows, texts(docs))
+    assert n <= -(-sum(r.length for r in rows) // 2048) + 1
+    check_packing(packing.packed_documents(odd).collect(), texts(odd))
+    assert packing.packed_documents(empty).count() == 0
+
+
+def test_islands_improve():
+    rng = np.random.default_rng(3)
+    size = rng.integers(300, 1024, 600).astype(np.int32)
+    world = packing.Island(size, 2048, 1, [])
+    first = min(world.costs)
+    world.evolve(60)
+    assert min(world.costs) <= first and min(world.costs)[0] >= world.bound
+    where = np.frombuffer(world.packed(), np.int32)
+    assert np.bincount(where, size).max() <= 2048
+
+
+def test_suffix_tree(spark, docs, odd, empty):
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    got = {r.doc_id: r for r in suffix_lm.score_documents(docs.withColumn("train", train)).collect()}
+    own = texts(docs)
+    c = collections.Counter()
+    for i, t in own.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c.update([*suffix_lm.lm_words(t), b"\n"])
+    total, kinds = sum(c.values()), len(c)
+    for i, t in own.items():
+        w = [*suffix_lm.lm_words(t), b"\n"]
+        base = sum(math.log10((c[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(c[x] > 0 for x in w), total)
+        assert got[i].base_score == pytest.approx(base)
+    held = [r for r in got.values() if not r.train]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    rows = suffix_lm.score_documents(odd.withColumn("train", F.col("doc_id") < 5)).collect()
+    assert len(rows) == 10 and all(r.score < 0 for r in rows)
+    assert suffix_lm.score_documents(empty.withColumn("train", F.lit(True))).count() == 0
+
+
+def test_suffix_tree_sums_to_one():
+    base = np.log10(np.array([0.2, 0.3, 0.4]))  # the rest is for words without an id
+    tree = suffix_lm.SuffixTree(base, [])
+    grams = np.array([(1 << suffix_lm.BITS) | 2, (2 << suffix_lm.BITS) | 0], np.int64)
+    tree.levels.append(suffix_lm.grow(tree, grams, np.array([40.0, 9.0]), np.array([50.0, 10.0]), 0.1))
+    for context in (0, 1, 2):
+        p = sum(10 ** tree.score(np.array([context, s]))[0] for s in (0, 1, 2))
+        other = 10 ** tree.score(np.array([context, -1]))[0] * 0.1
+        assert p + other == pytest.approx(1)
+
+
+def test_pii(spark, odd, empty):
+    texts_ = ["Mail und.34@mail7.example.com or UND.34@MAIL7.EXAMPLE.COM.", "Call +1 (017) 555-7713, or (017) 555-7713!", "Card 9807915762804490, again 9807-9157-6280-4490.", "From 97.51.17.173 and 129.38.82.176", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "Mrs Anna Schmidt met Mr Smith", "version 3.0 and 12 apples, 2.5 of them"]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts_)] + [(0, texts_[0], 1), (9, None, 1)], "doc_id long, text string, entities int")
+    rows = pii.anonymise(df.drop("entities")).collect()
+    new = {r.doc_id: r.text for r in rows}
+    assert len(rows) == 9 and new[9] is None and new[6] == texts_[6]
+    for k, t in enumerate(texts_):
+        for start, end, *_ in pii.mentions(t):
+            assert t[start:end] not in new[k]
+    a, b = (pii.mentions(new[0])[k][3] for k in (0, 1))
+    assert a == b and "@" in a
+    assert pii.mentions(new[2])[0][3] == pii.mentions(new[2])[1][3]
+    assert new[5].startswith("Mrs ") and new[5].split()[1][-1] == "a"
+    assert pii.anonymise(odd).count() == 10 and pii.anonymise(empty).count() == 0
+
+
+def test_pii_collisions(spark):
+    rows = [("ip", f"10.0.{a}.{b}") for a in range(20) for b in range(250)] + [("ssn", f"{k:03d}") for k in range(400)]
+    df = spark.createDataFrame(rows, "kind string, ident string")
+    moved = {(r.kind, r.ident): r.attempt for r in pii.taken_again(df, b"k").collect()}
+    new = [(k, pii.surrogate(k, i, moved.get((k, i), 0), b"k")) for k, i in rows if k == "ip"]
+    assert len(set(new)) == len(new) and not set(new) & set(rows)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, left = left, stage(spark, left, SMALL)
+        assert left.columns == docs.columns and left.count() <= before.count(), name
+    rows = corpus_pipeline.run(spark, SMALL).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in left.select("doc_id").collect()}
+    check_packing(rows, texts(left))
+    # the plain version: models by the operators' own fits, one document for each brute-force component
+    good = {r.doc_id for r in quality.score_quality(docs.select("doc_id", "text"), quality.fit_quality(docs, labels)).collect() if r.score >= 0.5}
+    kept = docs.where(F.col("doc_id").isin(*good))
+    clean = {r.doc_id for r in toxicity.score_toxicity(kept.select("doc_id", "text"), toxicity.fit_toxicity(kept, labels)).collect() if r.score < 0.5}
+    fp = {i: simhash.fingerprint(t) for i, t in texts(kept).items() if i in clean}
+    ids = sorted(fp)
+    least = reachable(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 3])
+    assert {r.doc_id for r in rows} == {i for i in ids if least[i] == i}
