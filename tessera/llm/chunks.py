@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, read_table
-from .tokens import in_blocks, load, tokenizer_path
+from .tokens import in_blocks, kept, load, tokenizer_path
 
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _WINDOW = 16
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", wit
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{k} {t}" for k, (t, _) in new.items()])
 
     def run(batches):
-        memory, decoder = ChunkMemory(path), Decoder(path)
+        memory, decoder = kept(f"chunks {path}", lambda: ChunkMemory(path)), kept(f"decoder {path}", lambda: Decoder(path))
         for b in batches:
             out: dict[str, list] = {k: [] for k in new}
             for block in in_blocks(b.column(b.num_columns - 1).to_pylist()):

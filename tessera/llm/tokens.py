@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 from array import array
+from collections.abc import Callable
 
 
 def tokenizer_path(name: str) -> str:
@@ -13,15 +14,30 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def kept(name: str, make: Callable):
+    """make(), once for each worker process: tasks that follow find it on the tokenizers module, as functions that
+    travel with a job bring no state of their own."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_kept_by_tasks", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def load(path: str):
     """The tokenizer of a file, without truncation and padding, on the task's own thread."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+    def make():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        return t
+
+    return kept(f"tokenizer {path}", make)
 
 
 class ByteEncoder:
@@ -35,8 +51,12 @@ class ByteEncoder:
         import public_tokenizers
         import tiktoken
 
-        ranks = {base64.b64decode(t): int(n) for t, n in (line.split() for line in open(ranks_path, "rb"))}
-        self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        def make():
+            with open(ranks_path, "rb") as f:
+                ranks = {base64.b64decode(t): int(n) for t, n in map(bytes.split, f)}
+            return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+        self.fast = kept(f"ranks {ranks_path}", make)
         self.whole = load(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
