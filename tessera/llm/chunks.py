@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +65,15 @@ def cut(data: bytes, table: np.ndarray, bits: int = 9, least: int = 192, most: i
 
 
 class ChunkMemory:
-    """Ids of chunks, each distinct chunk encoded once while it is remembered (`most` bytes of chunks; memory only)."""
+    """Ids of chunks, each distinct chunk encoded once while it is remembered, and so each distinct word of new chunks.
 
-    def __init__(self, path: str, most: int = 40_000_000) -> None:
-        self.tokenizer, self.table, self.most = load(path), _rolling_table(), most
-        self.ids: dict[bytes, np.ndarray] = {}
+    `most` bytes of chunks and most_words words are held; both bound memory only.
+    """
+
+    def __init__(self, path: str, most: int = 40_000_000, most_words: int = 400_000) -> None:
+        self.tokenizer, self.table, self.most, self.most_words = load(path), _rolling_table(), most, most_words
+        self.ids: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.held = self.encoded = self.used = 0
 
     def parts(self, data: bytes) -> list[bytes]:
@@ -91,12 +96,20 @@ class ChunkMemory:
             self.ids.clear()
             self.held = 0
         new = list({c for p in parts for c in p} - self.ids.keys())
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self.ids[c] = np.array(e.ids, np.uint32)
-            self.held += len(c) + 4 * len(e.ids) + 150
+        split = [c.split() for c in new]
+        if len(self.words) > self.most_words:
+            self.words.clear()
+        # tokens do not reach over white space, so a chunk's ids are those of its words
+        unmet = list({w for ws in split for w in ws} - self.words.keys())
+        for w, e in zip(unmet, self.tokenizer.encode_batch_fast([w.decode() for w in unmet], add_special_tokens=False), strict=True):
+            self.words[w] = array("I", e.ids).tobytes()
+        get = self.words.__getitem__
+        for c, ws in zip(new, split, strict=True):
+            self.ids[c] = b"".join(map(get, ws))
+            self.held += len(c) + len(self.ids[c]) + 150
         self.encoded += len(new)
         self.used += sum(map(len, parts))
-        return [np.concatenate([self.ids[c] for c in p]) for p in parts]
+        return [np.frombuffer(b"".join(self.ids[c] for c in p), np.uint32) for p in parts]
 
 
 class Decoder:
