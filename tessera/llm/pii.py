@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,9 @@ _SECRET_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|aut
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|Signora|Госпожа|Κυρία"
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Signor|Господин|Κύριος"
 
-_CAP = r"[^\W\d_]{2,31}"
+_CAPITALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() and c.isalpha())
+# A capitalised word, also in the case-blind pattern.
+_CAP = rf"(?-i:[{_CAPITALS}])[^\W\d_]{{1,30}}"
 _PATTERN = re.compile(
     rf"""(?P<email>(?<![\w.%+\-])[\w.%+\-]{{1,64}}@[\w\-]{{1,63}}(?:\.[\w\-]{{1,63}}){{0,6}}\.[^\W\d_]{{2,24}}(?![\w\-]))
     |(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:]))
@@ -34,17 +37,34 @@ _PATTERN = re.compile(
     re.VERBOSE | re.IGNORECASE,
 )
 _KINDS = ("email", "ipv6", "ip", "ssn", "iban", "card", "phone", "key", "secret", "woman", "man", "hex")
-# Every entity's line holds one of these, so only such lines meet the pattern.
-_ANCHOR = re.compile("[0-9@=:]")
-_TITLES = [f"{t}{end}" for w in f"{_FEMALE}|{_MALE}".split("|") for t in (w, w.upper()) for end in (" ", ".")]
-_TITLE = re.compile("|".join(map(re.escape, _TITLES)))
+# The line of every entity but a titled name and a key holds one of these; those two have their own beginnings. Only such
+# lines meet the pattern.
+_ANCHOR = re.compile(r"[\d@=:]")
+_TITLES = [f"{w.lower().replace('ς', 'σ')}{end}" for w in f"{_FEMALE}|{_MALE}".split("|") for end in (" ", ". ")]
+_KEYS = ["akia", "asia", *(f"gh{c}_" for c in "pousr"), *(f"xox{c}-" for c in "abpr"), "sk-", "glpat-", "eyj"]
+
+
+def _lower(text: str) -> str:
+    """Lower case, character by character, with the letters that a case-blind pattern takes for i, s and σ."""
+    return text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").lower().replace("ς", "σ")
+
+
+def _starts(text: str) -> list[int]:
+    """Where a title before a capital, or the beginning of a key, stands at a word's start."""
+    low, found = _lower(text), []
+    for begin, name in [(t, True) for t in _TITLES] + [(k, False) for k in _KEYS]:
+        at = low.find(begin)
+        while at >= 0:
+            then = text[at + len(begin) : at + len(begin) + 1]
+            if (then.isupper() if name else then.isalnum() or then in ("_", "-")) and not (at and (low[at - 1].isalnum() or low[at - 1] == "_")):
+                found.append(at)
+            at = low.find(begin, at + 1)
+    return found
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
     """The lines that may hold an entity."""
-    at = [m.start() for m in _ANCHOR.finditer(text)]
-    if any(t in text for t in _TITLES):
-        at = sorted(at + [m.start() for m in _TITLE.finditer(text)])
+    at = sorted([m.start() for m in _ANCHOR.finditer(text)] + _starts(text))
     lines: list[tuple[int, int]] = []
     end = -1
     for x in at:
@@ -61,15 +81,10 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     for begin, end in _lines(text or ""):
         for m in _PATTERN.finditer(text, begin, end):
             kind = next(k for k in _KINDS if m.group(k) is not None)
-            if kind not in ("woman", "man") or _titled(m[kind]):
-                found.append((*m.span(kind), kind, identity(kind, m[kind])))
+            found.append((*m.span(kind), kind, identity(kind, m[kind])))
     return found
 
 
-def _titled(name: str) -> bool:
-    return all(w[0].isupper() for w in name.split())
-
-
 def identity(kind: str, mention: str) -> str:
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", mention)
