@@ -39,6 +39,7 @@ _PATTERN = re.compile(
 _KINDS = ("email", "ipv6", "ip", "ssn", "iban", "card", "phone", "key", "secret", "woman", "man", "hex")
 # The line of every entity but a titled name and a key holds one of these; those two have their own beginnings. Only such
 # lines meet the pattern.
+_HEAD = re.compile("AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk-|glpat-|eyJ|", re.IGNORECASE)
 _ANCHOR = re.compile(r"[\d@=:]")
 _TITLES = [f"{w.lower().replace('ς', 'σ')}{end}" for w in f"{_FEMALE}|{_MALE}".split("|") for end in (" ", ". ")]
 _KEYS = ["akia", "asia", *(f"gh{c}_" for c in "pousr"), *(f"xox{c}-" for c in "abpr"), "sk-", "glpat-", "eyj"]
@@ -76,15 +77,24 @@ def _lines(text: str) -> list[tuple[int, int]]:
 
 
 def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, identity) of each entity. Mentions of one thing in several formats share their identity."""
+    """(start, end, kind, identity) of each entity. Mentions of one thing in several formats share their identity.
+
+    A blank to be filled in, with neither letter nor digit, is no secret and no key.
+    """
     found = []
     for begin, end in _lines(text or ""):
         for m in _PATTERN.finditer(text, begin, end):
             kind = next(k for k in _KINDS if m.group(k) is not None)
-            found.append((*m.span(kind), kind, identity(kind, m[kind])))
+            if kind not in ("key", "secret") or any(map(str.isalnum, m[kind][len(_head(kind, m[kind])) :])):
+                found.append((*m.span(kind), kind, identity(kind, m[kind])))
     return found
 
 
+def _head(kind: str, mention: str) -> str:
+    """What a key begins with, whatever its holder."""
+    return _HEAD.match(mention)[0] if kind == "key" else ""
+
+
 def identity(kind: str, mention: str) -> str:
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", mention)
@@ -119,12 +129,15 @@ _SYLLABLES = {"Latin": ("bdfgklmnprstv", "aeiou"), "Greek": ("βγδζθκλμν
 
 
 def _shaped(text: str, r: _Stream, hexadecimal: bool = False) -> str:
-    """A text of the same shape: digits for digits, letters of the same script and case for letters, the rest as it is."""
+    """A text of the same shape: digits for digits and other numerals, letters of the same script and case for letters, the
+    rest as it is."""
     out = []
     for c in text:
         low = c.lower()
         script = next((s for s in _SCRIPTS if low in s), "")
-        if c.isdecimal() and c.isascii():
+        if c.isdecimal():
+            out.append(chr(ord(c) - int(c) + r.below(10)))
+        elif c.isnumeric() and not c.isalpha():
             out.append("0123456789"[r.below(10)])
         elif script:
             new = "abcdef"[r.below(6)] if hexadecimal else script[r.below(len(script))]
@@ -142,16 +155,27 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+#: Attempts that keep the size of a secret, a key or a phone number.
+_SAME_SIZE = 4
+
+
 def surrogate(kind: str, ident: str, attempt: int, key: bytes) -> str:
-    """The identity that replaces this one. Attempts above 0 serve identities whose earlier surrogate was taken."""
+    """The identity that replaces this one. Attempts above 0 serve identities whose earlier surrogate was taken.
+
+    Names grow by a syllable an attempt; secrets, keys and phone numbers, which can be short, by a character an attempt
+    after the first few. So any number of identities finds surrogates.
+    """
     r = _Stream(key, kind, ident, str(attempt))
     while True:
-        new = _surrogate(kind, ident, r)
+        new = _surrogate(kind, ident, r, attempt)
+        if kind in ("key", "secret", "phone"):
+            signs = "0123456789" if kind == "phone" else "0123456789abcdef"
+            new += "".join(signs[r.below(len(signs))] for _ in range(attempt - _SAME_SIZE))
         if new != ident:
             return new
 
 
-def _surrogate(kind: str, ident: str, r: _Stream) -> str:
+def _surrogate(kind: str, ident: str, r: _Stream, attempt: int) -> str:
     if kind == "email":
         local, _, domain = ident.partition("@")
         labels = domain.split(".")
@@ -165,29 +189,29 @@ def _surrogate(kind: str, ident: str, r: _Stream) -> str:
     if kind == "iban":
         return ident[:2] + _shaped(ident[2:], r)
     if kind in ("man", "woman"):
-        return " ".join(_name(w, kind == "woman", k == 0, r) for k, w in enumerate(ident.split()))
+        return " ".join(_name(w, kind == "woman", k == 0, r, 0 if k else attempt) for k, w in enumerate(ident.split()))
     if kind == "key":
-        head = re.match(r"AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk-|glpat-|eyJ|", ident, re.IGNORECASE)[0]
+        head = _head(kind, ident)
         return head + _shaped(ident[len(head) :], r)
     return _shaped(ident, r, bool(re.fullmatch("[0-9a-f]+", ident)))
 
 
-def _name(word: str, woman: bool, given: bool, r: _Stream) -> str:
-    """A made-up name in the word's script; given names end as the gender's names commonly do."""
+def _name(word: str, woman: bool, given: bool, r: _Stream, more: int) -> str:
+    """A made-up name in the word's script, longer by some syllables; given names end as the gender's names commonly do."""
     script = "Cyrillic" if re.search("[а-я]", word) else "Greek" if re.search("[α-ω]", word) else "Latin"
     consonants, vowels = _SYLLABLES[script]
-    base = "".join(consonants[r.below(len(consonants))] + vowels[r.below(len(vowels))] for _ in range(max(2, (len(word) + 1) // 2)))
+    base = "".join(consonants[r.below(len(consonants))] + vowels[r.below(len(vowels))] for _ in range(max(2, (len(word) + 1) // 2) + more))
     return (base[:-1] + vowels[0] if woman else base + consonants[r.below(len(consonants))]) if given else base
 
 
 def render(kind: str, mention: str, new: str) -> str:
     """The new identity in the mention's own format: its separators, its letter case, its country code."""
     if kind in ("card", "ssn", "phone"):
-        spots = [i for i, c in enumerate(mention) if c.isdecimal()][-len(new) :]
+        spots = [i for i, c in enumerate(mention) if c.isdecimal()][-(10 if kind == "phone" else len(new)) :]
         out = list(mention)
-        for i, c in zip(spots, new[-len(spots) :], strict=True):
+        for i, c in zip(spots, new, strict=False):
             out[i] = c
-        return "".join(out)
+        return "".join(out) + new[len(spots) :]
     if kind == "iban":
         out, at = [], iter(new)
         for c in mention:

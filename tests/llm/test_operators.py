@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -305,6 +306,23 @@ def test_pii_names_and_keys():
     assert found("call +٩٦٦ ٥٥٥ ٤٤٤ ٣٣٣")[0][0] == "phone"
 
 
+def test_pii_blanks():
+    for blank in ("Password: ________", "password: ........", "Secret: ------------", "a sk-" + "-" * 40, "the ghp_" + "_" * 20):
+        assert pii.replace(blank, None, b"k") == (blank, [])
+    for full in ("Password: ٣٣٣٣٣٣", "Password: ²²²²²²", "Password: _____1", "ssn ١٢٣-٤٥-٦٧٨٩"):
+        new, spans = pii.replace(full, None, b"k")
+        assert new != full and len(spans) == 1
+    assert pii.render("phone", "+1 23 45", "678901") == "+6 78 901"
+
+
+def test_pii_short_names(spark):
+    rows = [("woman", "".join(x)) for x in itertools.product("bdfgklmnprstv", "aeiou", "bdfgklmnprstv", "a")] + [("secret", f"_____{k}") for k in range(10)]
+    df = spark.createDataFrame(rows, "kind string, ident string")
+    moved = {(r.kind, r.ident): r.attempt for r in pii.taken_again(df, b"k").collect()}
+    new = [(k, pii.surrogate(k, i, moved.get((k, i), 0), b"k")) for k, i in rows]
+    assert len(set(new)) == len(new) and not set(new) & set(rows)
+
+
 def test_pii_collisions(spark):
     rows = [("ip", f"10.0.{a}.{b}") for a in range(20) for b in range(250)] + [("ssn", f"{k:03d}") for k in range(400)]
     df = spark.createDataFrame(rows, "kind string, ident string")
