@@ -138,12 +138,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
 
 
 def keep_first(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest id (one row of it, if repeated)."""
-    groups = near_duplicates(docs, radius, id_col, text_col)
-    ids = groups.groupBy("component_id").agg(F.min(id_col).alias(id_col)).select(id_col)
-    kept = docs.join(ids.where(F.col(id_col).isNotNull()), id_col, "left_semi")
-    repeated = groups.groupBy(id_col).count().where("count > 1").select(id_col)
-    return kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)
+    """docs with one row of each group of near-duplicate texts: that with the smallest id, null ids last.
+
+    Rows are numbered first, and the smallest number decides between equal ids. So every text is kept or has a near copy in
+    its group that is, whether ids are null or repeated with other texts.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    marks = stored(fingerprints(rows.select("__row", id_col, text_col), text_col), "fingerprints")
+    firsts = marks.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__row")).alias("first"))
+    groups = connected_components(near_links(firsts, radius))
+    named = firsts.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -98,6 +98,13 @@ def test_simhash_odd(spark, odd, empty):
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 2, 4, 5, 8]
 
 
+def test_simhash_keeps_every_text(spark):
+    one, two, three = ("alpha beta gamma delta", "some quite different words here", "nothing like the others at all")
+    rows = [(None, one), (None, two), (7, three), (7, one), (8, three), (None, three)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.text, r.doc_id or 0) for r in kept) == [(one, 7), (three, 7), (two, 0)]
+
+
 def test_metric_join_brute(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
