@@ -47,8 +47,9 @@ def gravity_ppml(s, d):
     f = V.flows(s, d).where("year in (1997, 1998)")
     pairs = V.covariates(s, d).where("dist > 1").withColumn("log_dist", F.log("dist"))
     sums = P.window_calendar_mean(f, [1997, 1998], C.LANE)
-    stages = V.registry(s).select(F.explode(F.map_keys("stages")).alias("stage")).where("stage in ('Brand#3', 'Brand#8')")
+    stages = V.registry(s).select(F.explode(F.map_keys("stages")).alias("stage"))
     dyads = pairs.crossJoin(F.broadcast(stages)).join(sums, C.LANE, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    dyads = stored(dyads, "dyads")  # each stage's fit passes over its rows many times
     return L.gravity_ppml(dyads, ["log_dist"], ["contig", "comlang"]).select(*C.LANE, "v", "grav")
 
 
