@@ -18,9 +18,12 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where it is unset, as in tests, a local one is made."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local master, as in tests, gets a folder of
+    its own; on a cluster that is an error, as no machine could read what another one wrote."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="tessera-")
@@ -28,14 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut and a lost executor recomputes nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what stored() has written. Call it once the results that read those tables are written themselves."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
@@ -54,13 +76,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, held: int) -> DataFrame:
-    """Rows of docs with a label, outside the held-out remainder: at most per_class of each class, lowest id hash first.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, held: int, most_chars: int = 1_000_000) -> DataFrame:
+    """(doc_id, text, label) of documents with a label, outside the held-out remainder: at most per_class ids of each class,
+    lowest id hash first, and one row an id.
 
-    per_class bounds the ids, which are therefore safe to broadcast; everything else of the library covers all rows.
+    per_class bounds the rows, which are therefore safe to broadcast or collect; a text of more than most_chars characters
+    is left out of the sample (never out of what is scored), as a few of them would outweigh it. Null ids and labels other
+    than 0 and 1 teach nothing; an id labelled both ways counts as 1.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(remainder("doc_id", folds) != held)
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = rows.where("label = 0").orderBy(*by_hash).limit(per_class).unionByName(rows.where("label = 1").orderBy(*by_hash).limit(per_class))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return one_text(docs, most_chars).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+
+
+def one_text(docs: DataFrame, most_chars: int) -> DataFrame:
+    """(doc_id, text) with nulls as empty texts, without texts longer than most_chars."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars)

@@ -16,6 +16,9 @@ def _smallest(neighbours: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node in an edge; component is the smallest node reachable.
 
+    Nodes are of any ordered type. A struct that begins with a document's id makes the component carry that id, so no
+    join on the component, which one group may dominate, has to look it up.
+
     Edges may repeat, run either way, or join a node to itself; nulls are ignored. An empty table gives an empty table.
     Each round is two joins on the node; hot nodes are split by the adaptive skew join, and rounds are written to the
     shared folder, so the driver sees only two numbers a round.
