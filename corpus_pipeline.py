@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. The
 classifiers learn from labels of the documents that reach them.
+
+Rows at the edge: null and empty texts are scored like any text (and are copies of each other), repeated rows are rows,
+null ids stay null, an empty table passes as an empty one, and columns beside text keep their values whatever their names.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data; n_chars follows the new text."""
-    done = pii.anonymise(docs)
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Texts with surrogates for personal data; n_chars, where there is one, follows the new text."""
+    done = pii.anonymise(docs, pii.session_key(spark), entities_col=None)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
