@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 def one_text(docs: DataFrame, most_chars: int) -> DataFrame:
     """(doc_id, text) with nulls as empty texts, without texts longer than most_chars."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars)
+
+
+_SLICE = 1 << 16
+
+
+def key_filter(keys: DataFrame, n: int, most_bits: int = 1 << 28) -> np.ndarray:
+    """A bitmap with the bits `key mod its size` of all keys (long) set; it tells tasks which keys may be in the table.
+
+    It has some 16 bits a key and at most most_bits, 32 MB, whatever the table's size. A key that is not there may pass,
+    so the table itself decides later; a bitmap that is too full costs rows that travel in vain, no results. It is made of
+    slices, so no task sets the bits of more than a slice.
+    """
+    bits = max(_SLICE, min(most_bits, 1 << (16 * max(n, 1) - 1).bit_length()))
+    place = F.pmod(F.col("key"), F.lit(bits))
+    slices = keys.select(F.floor(place / _SLICE).alias("slice"), (place % _SLICE).cast("int").alias("bit")).groupBy("slice").agg(F.collect_set("bit").alias("bits"))
+    out = pa.schema([("slice", pa.int64()), ("bytes", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for slice_, own in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                flags = np.zeros(_SLICE, np.uint8)
+                flags[own.values.to_numpy()] = 1
+                yield batch(out, [slice_], [np.packbits(flags, bitorder="little").tobytes()])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in arrow_map(slices, run, "slice bigint, bytes binary").collect():
+        whole[r.slice * _SLICE // 8 : (r.slice + 1) * _SLICE // 8] = np.frombuffer(r.bytes, np.uint8)
+    return whole
+
+
+def may_be_in(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which unsigned or signed 64-bit keys pass a key_filter; its size is a power of two, so signs do not matter."""
+    place = keys.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -14,15 +14,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_KEPT: dict = {}
+
+
 def kept(name: str, make: Callable):
-    """make(), once for each worker process: tasks that follow find it on the tokenizers module, as functions that
-    travel with a job bring no state of their own."""
-    import tokenizers
-
-    held = vars(tokenizers).setdefault("_kept_by_tasks", {})
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    """make(), once for each worker process; tasks that follow in it find the same object here."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def load(path: str):

@@ -189,27 +189,63 @@ def test_licences(spark, empty):
     assert licences.scan(empty, model).count() == 0
 
 
-def test_chunked_encoding(spark, odd, empty):
+def test_chunk_joins_are_repaired():
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
-    t, memory = Tokenizer.from_file(path), chunks.ChunkMemory(path)
+    t, encoder = Tokenizer.from_file(path), chunks.WordEncoder(path)
     rng = random.Random(4)
-    for k in range(60):
-        text = "".join(rng.choice("abc é́ <|endoftext|>  ñ's 12,.  日本 ") for _ in range(rng.choice([0, 5, 6000])))
-        text = text.replace(" ", "") if k % 4 == 0 else text
-        assert memory.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
-    passage = "".join(rng.choice("abcdefgh     ") for _ in range(5000))
-    shared = chunks.ChunkMemory(path)
-    shared.encode(["start " + passage, "another beginning " + passage])
-    assert shared.encoded < shared.used
-    got = chunks.encode(chunks.together(odd)).collect()
-    assert len(got) == 10
+    repaired = 0
+    for k in range(80):
+        text = "".join(rng.choice("abc é́ <|endoftext|>  ñ's 12,.  日本 \u00a0ABC") for _ in range(rng.choice([0, 5, 300, 6000])))
+        text = (text.replace(" ", "") if k % 4 == 0 else text).encode()
+        size = rng.choice([1, 7, 40])
+        places = sorted({chunks._character(text, rng.randrange(len(text) + 1)) for _ in range(len(text) // size)} | {0, len(text)})
+        cut = [text[a:b] for a, b in zip(places, places[1:], strict=False)]
+        for own in (cut, chunks.chunks_of(text, encoder.table)):
+            assert b"".join(own) == text
+            of = encoder.learn({w for c in own for w in c.split()})
+            parts, repairs = chunks.join_pieces([chunks.Piece.unpacked(chunks.Piece.encoded(c, of).packed()) for c in own if c])
+            of = encoder.learn({w for _, w, _ in repairs})
+            for i, w, given in repairs:
+                repaired += given != of[w]
+                parts[i] = of[w]
+            assert np.frombuffer(b"".join(parts), np.uint16).tolist() == t.encode(text.decode(), add_special_tokens=False).ids
+    assert repaired > 100
+
+
+def test_cuts_follow_content():
+    table = chunks._rolling_table()
+    rng = random.Random(3)
+    passage = bytes(rng.choice(b"abcdefgh     ") for _ in range(20_000))
+    a, b = (set(chunks.chunks_of(x + passage, table)) for x in (b"start ", b"another beginning, somewhat longer " * 9))
+    assert len(a & b) > 0.8 * len(a)
+    sizes = [len(c) for c in chunks.chunks_of(b"x" * 100_000, table)]
+    assert sum(sizes) == 100_000 and max(sizes) <= 4096
+
+
+def test_chunked_encoding(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh     é") for _ in range(5000))
+    extra = spark.createDataFrame([(100 + k, f"{k} begins. {'x' * 40 * k}" + passage + "z" * k + " end", "en", k, 0.5) for k in range(12)], DOCS)
+    rows = odd.unionByName(extra).withColumn("n_tokens", F.lit(-1)).withColumn("row", F.lit("kept"))
+    source = {(r.doc_id, r.text) for r in rows.collect()}
+    got = chunks.encode(rows).collect()
+    assert len(got) == 22 and all(r.row == "kept" for r in got)
+    texts_of = collections.defaultdict(set)
+    for i, text in source:
+        texts_of[i].add(text or "")
     for r in got:
-        source = next(x.text for x in odd.collect() if x.doc_id == r.doc_id) or ""
-        ids = t.encode(source, add_special_tokens=False).ids
-        assert r.ids == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
+        (text,) = texts_of[r.doc_id]
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == t.decode(ids, skip_special_tokens=False)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    shared = chunks.shared_chunks(rows, tokenizer_path("word_bpe_49k.json")).collect()
+    assert max(r.n for r in shared) >= 12  # the passage's chunks are met in all twelve
     assert chunks.encode(empty).count() == 0
 
 
