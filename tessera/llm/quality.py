@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, labelled_sample, read_table, remainder
+from .common import arrow_map, batch, labelled_sample, new_name, read_table, remainder
 
 # Classes of bytes that a line's features count.
 _CLASSES = [rb"[A-Z]", rb"[a-z]", rb"[0-9]", rb"[#*$%&<>]", rb"\|", rb"!", rb"[.,;:?]", rb"[\x80-\xff]", rb"[ \t]"]
@@ -174,17 +174,22 @@ def line_features(docs: DataFrame) -> DataFrame:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, folds: int = 3, held: int = 1, label: str = "quality") -> LineField:
     """Fit on at most per_class labelled documents of each class (a documented bound), none of them held out."""
-    rows = line_features(labelled_sample(docs, labels, label, per_class, folds, held)).collect()
+    rows = line_features(labelled_sample(docs, labels, label, per_class, folds, held).orderBy("doc_id")).collect()
     base = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, N_BASE)
     length = np.frombuffer(b"".join(r.length for r in rows), np.int64)
     return fit_field(base, length, np.array([len(r.length) // 8 for r in rows], np.int64), np.array([r.label for r in rows], np.float64))
 
 
-def score_quality(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
-    """docs without its text, and score: every row is scored over its whole text; null counts as empty (one empty line)."""
-    fields = [f for f in docs.schema.fields if f.name != text_col]
-    plain = docs.select(*[f.name for f in fields], text_col)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double"])
+def score_quality(docs: DataFrame, field: LineField, text_col: str = "text", score_col: str = "score", keep_text: bool = False) -> DataFrame:
+    """docs (without its text, unless kept) and the score: every row is scored over its whole text.
+
+    Null counts as empty, which is one empty line. Rows repeat; equal texts score alike; a column of docs that has
+    score_col's name is replaced.
+    """
+    fields = [f for f in docs.schema.fields if f.name not in (text_col, score_col)] + [docs.schema[text_col]]
+    kept = fields if keep_text else fields[:-1]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{score_col}` double"])
+    names = [*(f.name for f in kept), score_col]
 
     def run(batches):
         for b in batches:
@@ -192,20 +197,24 @@ def score_quality(docs: DataFrame, field: LineField, text_col: str = "text") ->
                 part = b.slice(at, 1000)
                 base, length, n = base_features(part.column(part.num_columns - 1).to_pylist())
                 s = field.score(field.marginals(with_neighbours(base, n), n), length, n)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s)], names=[*part.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(s)], names=names)
 
-    return arrow_map(plain, run, schema)
+    return arrow_map(docs.select(*[f"`{f.name}`" for f in fields]), run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose quality score reaches the threshold; rows repeat and null ids stay as they are."""
-    names = docs.columns
-    field = fit_quality(docs, labels)
-    scored = score_quality(docs.withColumn("__text", F.col("text")), field, "__text")
-    return scored.where(F.col("score") >= threshold).select(*names)
+    """The rows of docs whose quality score reaches the threshold.
+
+    Rows repeat, null ids stay null, null and empty texts are scored as one empty line, a score equal to the threshold
+    stays, an empty table gives an empty one, and all columns of docs stay, whatever their names.
+    """
+    score = new_name(docs, "score")
+    scored = score_quality(docs, fit_quality(docs, labels), score_col=score, keep_text=True)
+    return scored.where(F.col(score) >= threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted. Rows at the edge: see score_quality; a score of 0.5 counts as 1."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, labelled_sample, read_table, remainder
+from .common import arrow_map, batch, labelled_sample, new_name, one_text, read_table, remainder
 
 _PREFIXES = (3, 4, 5, 6, 7)
 # ASCII other than letters and digits becomes a space; A-Z become a-z.
@@ -33,6 +33,10 @@ class PUModel:
     weight: dict[bytes, float]
     bias: float
 
+    def margin(self, counts: dict[bytes, int]) -> float:
+        """The log odds of counted features."""
+        return self.bias + sum(self.weight[x] * math.log2(1 + n) for x, n in sorted(counts.items()) if x in self.weight)
+
     def score(self, text: str | None, known: dict[bytes, tuple]) -> float:
         """P(toxic) of the whole text from log2(1 + count) of each feature. known: words met before, and their features."""
         found: Counter = Counter()
@@ -118,50 +122,92 @@ def _counted(docs: DataFrame) -> list[dict[bytes, int]]:
         for b in batches:
             yield batch(out, [count(t) for t in b.column(0).to_pylist()])
 
-    rows = arrow_map(docs.select("text"), run, "features binary").collect()
+    rows = arrow_map(docs.orderBy("doc_id").select("text"), run, "features binary").collect()
     return [dict(zip(x[::2], map(int, x[1::2]), strict=True)) for x in (r.features.split() for r in rows)]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, folds: int = 5, held: int = 0, prior: float | None = None) -> PUModel:
-    """Confirmed toxic rows against unlabelled text, each at most per_class documents (documented bounds), none held out.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from scores of rows that the scoring model has not seen.
+
+    Above any threshold the unlabelled hold at least the prior times the share that positives hold there, so the smallest
+    ratio of the two shares bounds the prior from above and meets it where only positives score so high. Thresholds leave
+    at least a fifth of the positives above them, and two standard errors are added to the unlabelled's share, as the
+    smallest of many ratios leans low by chance.
+    """
+    if len(positive) < 10 or not len(unlabelled):
+        return 0.005  # nothing tells that there is toxic text
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = p[: max(1, int(0.8 * len(p)))]
+    p_share = 1 - np.searchsorted(p, at, side="left") / len(p)
+    u_share = (len(u) - np.searchsorted(u, at, side="left") + 0.5) / (len(u) + 1)
+    u_share = u_share + 2 * np.sqrt(u_share * (1 - u_share) / len(u))
+    return float(np.clip((u_share / p_share).min(), 0.005, 0.9))
+
+
+def prior_of(positive: list[dict[bytes, int]], unlabelled: list[dict[bytes, int]], guess: float = 0.2) -> float:
+    """The class prior by two-fold cross-fitting: each half is scored by a model of the other half."""
+    scores: tuple[list, list] = ([], [])
+    for k in (0, 1):
+        model = fit_rows(positive[k::2], unlabelled[k::2], guess)
+        for own, rows in zip(scores, (positive, unlabelled), strict=True):
+            own += [model.margin(c) for c in rows[1 - k :: 2]]
+    return estimate_prior(np.array(scores[0]), np.array(scores[1]))
+
+
+def unlabelled_sample(docs: DataFrame, rows: int, folds: int, held: int, most_chars: int = 1_000_000) -> DataFrame:
+    """(doc_id, text) of at most `rows` documents outside the held-out remainder, drawn by id hash from the whole corpus.
+
+    No label is looked at: the sample holds both classes as they come. One row an id; null ids are left out.
+    """
+    own = docs.where(F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != held)).groupBy("doc_id").count()
+    ids = own.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
+    return one_text(docs, most_chars).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: int = 3000, folds: int = 5, held: int = 0, prior: float | None = None) -> PUModel:
+    """Confirmed toxic rows against unlabelled text of all documents; both bounds are documented, and none is held out.
 
-    The unlabelled side is drawn from training rows by id hash and its labels are dropped: it holds both classes as they
-    come. prior: the share of toxic text in it; by default the share among the training labels.
+    prior: the share of toxic text among all documents; by default estimated from the two samples. Negative labels play
+    no part.
     """
-    train = labels.where(F.col("toxic").isin(0, 1) & (remainder("doc_id", folds) != held))
-    if prior is None:
-        share = train.agg(F.avg("toxic")).first()[0]
-        prior = float(min(max(share if share is not None else 0.5, 0.005), 0.9))
-    n = train.count()
-    drawn = train.withColumn("toxic", F.lit(0)).where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(1, n // (2 * per_class)))) == 0)
-    positives = _counted(labelled_sample(docs, train.where("toxic = 1"), "toxic", per_class, folds, held))
-    others = _counted(labelled_sample(docs, drawn, "toxic", per_class, folds, held))
-    return fit_rows(positives, others, prior)
-
-
-def score_toxicity(docs: DataFrame, model: PUModel, text_col: str = "text") -> DataFrame:
-    """docs without its text, and score. Every row's whole text counts; null or wordless text scores by the bias alone."""
-    fields = [f for f in docs.schema.fields if f.name != text_col]
-    plain = docs.select(*[f.name for f in fields], text_col)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double"])
+    toxic = _counted(labelled_sample(docs, labels.where("toxic = 1"), "toxic", positives, folds, held))
+    others = _counted(unlabelled_sample(docs, unlabelled, folds, held))
+    return fit_rows(toxic, others, prior if prior is not None else prior_of(toxic, others))
+
+
+def score_toxicity(docs: DataFrame, model: PUModel, text_col: str = "text", score_col: str = "score", keep_text: bool = False) -> DataFrame:
+    """docs (without its text, unless kept) and the score of every row's whole text.
+
+    Null and wordless texts score by the bias alone. Rows repeat; equal texts score alike; a column of docs that has
+    score_col's name is replaced.
+    """
+    fields = [f for f in docs.schema.fields if f.name not in (text_col, score_col)] + [docs.schema[text_col]]
+    kept = fields if keep_text else fields[:-1]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{score_col}` double"])
+    names = [*(f.name for f in kept), score_col]
 
     def run(batches):
         known: dict[bytes, tuple] = {}
         for b in batches:
             s = [model.score(t, known) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(s, pa.float64())], names=names)
 
-    return arrow_map(plain, run, schema)
+    return arrow_map(docs.select(*[f"`{f.name}`" for f in fields]), run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold."""
-    model = fit_toxicity(docs, labels)
-    scored = score_toxicity(docs.withColumn("__text", F.col("text")), model, "__text")
-    return scored.where(F.col("score") < threshold).select(*docs.columns)
+    """The rows of docs that score below the threshold.
+
+    Rows repeat, null ids stay null, null and empty texts score by the bias, a score equal to the threshold goes, an empty
+    table gives an empty one, and all columns of docs stay, whatever their names.
+    """
+    score = new_name(docs, "score")
+    scored = score_toxicity(docs, fit_toxicity(docs, labels), score_col=score, keep_text=True)
+    return scored.where(F.col(score) < threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted. Rows at the edge: see score_toxicity; 0.5 counts as 1."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

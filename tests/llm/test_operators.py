@@ -128,9 +128,11 @@ def test_quality_held_out(spark, odd, empty):
     field = quality.fit_quality(docs, labels)
     rows = quality.score_quality(docs.select("doc_id", "text"), field).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).collect()
     assert np.mean([(r.score >= 0.5) == (r.quality == 1) for r in rows]) >= 0.9
-    scores = [r.score for r in quality.score_quality(odd.select("doc_id", "text", "lang"), field).collect()]
+    scores = [r.score for r in quality.score_quality(odd, field).collect()]
     assert len(scores) == 10 and all(0 <= s <= 1 for s in scores)
-    assert quality.score_quality(empty.select("doc_id", "text"), field).count() == 0
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns and {(r.doc_id, r.text, r.score) for r in kept.collect()} <= {(r.doc_id, r.text, r.score) for r in odd.collect()}
+    assert quality.score_quality(empty, field).count() == 0 and quality.keep_good(empty, labels).count() == 0
     one = quality.fit_quality(docs, labels.where("quality = 1"))
     assert all(r.score > 0.5 for r in quality.score_quality(docs.select("doc_id", "text"), one).take(5))
 
@@ -160,12 +162,76 @@ def test_toxicity_held_out(spark, odd, empty):
     model = toxicity.fit_toxicity(docs, labels)
     rows = toxicity.score_toxicity(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()
     assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in rows]) >= 0.95
-    scores = [r.score for r in toxicity.score_toxicity(odd.select("doc_id", "text"), model).collect()]
+    scores = [r.score for r in toxicity.score_toxicity(odd, model).collect()]
     assert len(scores) == 10 and all(0 <= s <= 1 for s in scores)
-    assert toxicity.score_toxicity(empty.select("doc_id", "text"), model).count() == 0
+    clean = toxicity.drop_toxic(odd, labels)
+    assert clean.columns == odd.columns and clean.count() == 10
+    assert toxicity.score_toxicity(empty, model).count() == 0 and toxicity.drop_toxic(empty, labels).count() == 0
     assert toxicity.fit_rows([], [], 0.1).score("anything", {}) == pytest.approx(0.1)
 
 
+def test_toxicity_score_and_loss():
+    """The score of a text and the steps of the non-negative risk, by plain loops."""
+    rng = random.Random(8)
+    words = ["stupid", "stupidly", "table", "river", "clown", "cloud"]
+    rows = [[rng.choice(words[:2] + words[4:5]) if toxic and k < 2 else rng.choice(words[2:4] + words[5:]) for k in range(12)] for toxic in (1, 0) for _ in range(40)]
+    positive, unlabelled = rows[:25], rows[25:]
+    counted = lambda r: collections.Counter(f for w in r for f in toxicity.features(w.encode()))
+    model = toxicity.fit_rows([counted(r) for r in positive], [counted(r) for r in unlabelled], 0.3)
+    for r in rows:
+        text = "!".join(r).upper()
+        z = model.bias + sum(model.weight.get(f, 0.0) * math.log2(1 + n) for f, n in counted(r).items())
+        assert model.score(text, {}) == pytest.approx(1 / (1 + math.exp(-z))) and model.margin(counted(r)) == pytest.approx(z)
+    names = sorted(model.weight)
+    x = lambda r: [math.log2(1 + counted(r).get(f, 0)) for f in names]
+    p, u, prior = [x(r) for r in positive], [x(r) for r in unlabelled], 0.3
+    w, m, v = ([0.0] * (len(names) + 1) for _ in range(3))
+    sigmoid = lambda r: 1 / (1 + math.exp(-w[-1] - sum(a * b for a, b in zip(w, r, strict=False))))
+    reversed_steps = 0
+    for k in range(1, 61):
+        sp, su = [sigmoid(r) for r in p], [sigmoid(r) for r in u]
+        negative = sum(-math.log(1 - s + 1e-12) for s in su) / len(u) - prior * sum(-math.log(1 - s + 1e-12) for s in sp) / len(p)
+        g = []
+        for j in range(len(w)):
+            at = lambda r, j=j: 1.0 if j == len(names) else r[j]
+            neg = sum(s * at(r) for s, r in zip(su, u, strict=True)) / len(u) - prior * sum(s * at(r) for s, r in zip(sp, p, strict=True)) / len(p)
+            pos = prior * sum((s - 1) * at(r) for s, r in zip(sp, p, strict=True)) / len(p)
+            g.append((pos + neg if negative >= 0 else -neg) + (1e-4 * w[j] if j < len(names) else 0.0))
+        reversed_steps += negative < 0
+        for j in range(len(w)):
+            m[j], v[j] = 0.9 * m[j] + 0.1 * g[j], 0.99 * v[j] + 0.01 * g[j] ** 2
+            w[j] -= 0.05 * (m[j] / (1 - 0.9**k)) / (math.sqrt(v[j] / (1 - 0.99**k)) + 1e-8)
+    sparse = lambda rs: [([j for j, y in enumerate(r) if y], [y for y in r if y]) for r in rs]
+    got, bias = toxicity.nn_pu(sparse(p), sparse(u), len(names), prior, steps=60)
+    assert [*got, bias] == pytest.approx(w, abs=1e-6)
+
+
+def test_toxicity_prior():
+    rng = np.random.default_rng(1)
+    positive = rng.normal(4, 1, 1000)
+    for prior in (0.05, 0.3):
+        n = int(3000 * prior)
+        assert toxicity.estimate_prior(positive, np.concatenate([rng.normal(4, 1, n), rng.normal(-4, 1, 3000 - n)])) == pytest.approx(prior, abs=0.03)
+
+
+def test_quality_score_is_weighted():
+    """The score by enumerating all labellings of a text's lines."""
+    rng = np.random.default_rng(5)
+    field = quality.LineField(rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2)), (1.7, -0.3))
+    text = "A line that ends.\n| a | b |\n\nSHOUT"
+    base, length, n = quality.base_features([text])
+    x = quality.with_neighbours(base, n)
+    total, good = 0.0, np.zeros(4)
+    for bits in itertools.product((0, 1), repeat=4):
+        w = math.exp(sum(b * float(x[k] @ field.w) for k, b in enumerate(bits)) + sum(field.t[a, b] for a, b in itertools.pairwise(bits)))
+        total += w
+        good += w * (1 - np.array(bits))
+    weight = np.maximum([len(y) for y in text.split("\n")], 1)
+    g = float((good / total) @ weight / weight.sum())
+    want = 1 / (1 + math.exp(-(1.7 * math.log(g / (1 - g)) - 0.3)))
+    assert field.score(field.marginals(x, n), length, n)[0] == pytest.approx(want, abs=1e-6)
+
+
 def test_rules_odd(spark, odd, empty, docs, duck):
     got = rules.apply_rules(odd.select("doc_id", "text", "lang", F.lit(1).alias("kept"))).collect()
     assert len(got) == 10 and not any(r.kept for r in got if r.doc_id != 4)
