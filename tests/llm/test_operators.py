@@ -357,36 +357,81 @@ def test_islands_improve():
     assert np.bincount(where, size).max() <= 2048
 
 
+class PlainTree:
+    """The suffix tree in dictionaries, scored by going down from the longest retained suffix."""
+
+    def __init__(self, texts, depth=3, least_count=4, least_gain=2.0):
+        runs = [["<", *suffix_lm.lm_words(t), ">"] for t in texts]
+        count = [collections.Counter(tuple(r[k : k + size]) for r in runs for k in range(len(r) - size + 1)) for size in range(depth + 2)]
+        self.words = collections.Counter({k[0]: n for k, n in count[1].items() if k[0] != "<"})
+        self.total, self.kinds = sum(self.words.values()), len(self.words)
+        self.kept, self.rest, self.tested = {}, {}, []
+        for size in range(2, depth + 2):
+            after = collections.defaultdict(dict)
+            for g, n in count[size].items():
+                if n >= least_count:
+                    after[g[:-1]][g[-1]] = n
+            kept, rest = {}, {}
+            for context, own in after.items():
+                every, some = max(count[size - 1][context], sum(own.values())), sum(own.values())
+                left = every - some + len(own)
+                q = {w: self.p(context[1:], w) for w in own}
+                p = {w: (n + left * q[w]) / (some + left) for w, n in own.items()}
+                gain = sum(n * math.log(p[w] / q[w]) for w, n in own.items()) + (every - some) * math.log(left / (some + left))
+                if gain >= least_gain * len(own):
+                    kept[context], rest[context] = p, left / (some + left)
+            if not after:
+                break
+            self.tested.append((size - 1, len(after), len(kept)))
+            self.kept |= kept
+            self.rest |= rest
+            if not kept:
+                break
+
+    def p(self, context, w):
+        if not context:
+            return (self.words[w] + 0.5) / (self.total + 0.5 * (self.kinds + 1))
+        if context in self.kept:
+            return self.kept[context].get(w) or self.rest[context] * self.p(context[1:], w)
+        return self.p(context[1:], w)
+
+    def score(self, text, depth=3):
+        r = ["<", *suffix_lm.lm_words(text), ">"]
+        return sum(math.log10(self.p(tuple(r[max(0, k - depth) : k]), r[k])) for k in range(1, len(r)))
+
+
 def test_suffix_tree(spark, docs, odd, empty):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
-    got = {r.doc_id: r for r in suffix_lm.score_documents(docs.withColumn("train", train)).collect()}
+    rows = docs.withColumn("train", train)
+    got = {r.doc_id: r for r in suffix_lm.score_documents(rows, hot=300).collect()}
     own = texts(docs)
-    c = collections.Counter()
-    for i, t in own.items():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            c.update([*suffix_lm.lm_words(t), b"\n"])
-    total, kinds = sum(c.values()), len(c)
+    plain = PlainTree([t for i, t in own.items() if zlib.crc32(str(i).encode()) % 5 != 1])
+    c, total, kinds = plain.words, plain.total, plain.kinds
     for i, t in own.items():
-        w = [*suffix_lm.lm_words(t), b"\n"]
+        w = [*suffix_lm.lm_words(t), ">"]
         base = sum(math.log10((c[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(c[x] > 0 for x in w), total)
         assert got[i].base_score == pytest.approx(base)
+        assert got[i].score == pytest.approx(plain.score(t))
     held = [r for r in got.values() if not r.train]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    tested = suffix_lm.fit_tree(rows).tested
+    assert tested == plain.tested and tested[-1][1] > 1.2 * tested[-1][2]  # the divergence test drops contexts
+    wide = {r.doc_id: r.score for r in suffix_lm.score_documents(rows).collect()}
+    assert wide == pytest.approx({i: r.score for i, r in got.items()})  # where a run is looked up does not matter
     rows = suffix_lm.score_documents(odd.withColumn("train", F.col("doc_id") < 5)).collect()
     assert len(rows) == 10 and all(r.score < 0 for r in rows)
     assert suffix_lm.score_documents(empty.withColumn("train", F.lit(True))).count() == 0
 
 
 def test_suffix_tree_sums_to_one():
-    base = np.log10(np.array([0.2, 0.3, 0.4]))  # the rest is for words without an id
-    tree = suffix_lm.SuffixTree(base, [])
-    grams = np.array([(1 << suffix_lm.BITS) | 2, (2 << suffix_lm.BITS) | 0], np.int64)
-    tree.levels.append(suffix_lm.grow(tree, grams, np.array([40.0, 9.0]), np.array([50.0, 10.0]), 0.1))
-    for context in (0, 1, 2):
-        p = sum(10 ** tree.score(np.array([context, s]))[0] for s in (0, 1, 2))
-        other = 10 ** tree.score(np.array([context, -1]))[0] * 0.1
-        assert p + other == pytest.approx(1)
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["a b c", "a b d", "c", "b a"]) for _ in range(300))
+    plain = PlainTree([text, text[:400]])
+    assert plain.kept
+    for context in list(plain.kept) + [("a", "b", "never"), ("<",)]:
+        p = sum(plain.p(context, w) for w in plain.words) + plain.p(context, "unknown")
+        assert p == pytest.approx(1)
 
 
 def test_pii(spark, odd, empty):
