@@ -360,7 +360,7 @@ def test_islands_improve():
 class PlainTree:
     """The suffix tree in dictionaries, scored by going down from the longest retained suffix."""
 
-    def __init__(self, texts, depth=3, least_count=4, least_gain=2.0):
+    def __init__(self, texts, depth=3, least_count=8, least_gain=2.0):
         runs = [["<", *suffix_lm.lm_words(t), ">"] for t in texts]
         count = [collections.Counter(tuple(r[k : k + size]) for r in runs for k in range(len(r) - size + 1)) for size in range(depth + 2)]
         self.words = collections.Counter({k[0]: n for k, n in count[1].items() if k[0] != "<"})
@@ -427,7 +427,7 @@ def test_suffix_tree(spark, docs, odd, empty):
 def test_suffix_tree_sums_to_one():
     rng = random.Random(2)
     text = " ".join(rng.choice(["a b c", "a b d", "c", "b a"]) for _ in range(300))
-    plain = PlainTree([text, text[:400]])
+    plain = PlainTree([text, text[:400]], least_count=4)
     assert plain.kept
     for context in list(plain.kept) + [("a", "b", "never"), ("<",)]:
         p = sum(plain.p(context, w) for w in plain.words) + plain.p(context, "unknown")
