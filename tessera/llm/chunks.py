@@ -8,7 +8,6 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,7 +212,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", wit
     is encoded once, and their ids are joined back to the texts that hold them; all other runs are encoded where the text
     is. At each join of two pieces the word around it is encoded again and replaces what the pieces had for it where
     the two differ; a word that reaches over further pieces widens the window until both its ends stand at white space.
-    A text without a shared chunk is encoded as a whole and does not travel.
+    A text without a shared chunk is encoded as a whole and does not travel; equal texts that do are put together once.
 
     Whole texts are encoded; null counts as empty, with no tokens. Repeated rows are returned as often as they come. Columns
     of docs that have a new column's name are replaced; the others stay, whatever their names.
@@ -225,7 +224,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", wit
     fields = [f for f in docs.schema.fields if f.name != text_col and f.name not in new]
     carried = [f.name for f in fields]
     row, part, h, data = (new_name(docs, c) for c in ("row", "part", "h", "data"))
-    own = {row: ("bigint", pa.int64()), part: ("int", pa.int32()), h: ("binary", pa.binary()), data: ("binary", pa.binary())}
+    own = {row: ("binary", pa.binary()), part: ("int", pa.int32()), h: ("binary", pa.binary()), data: ("binary", pa.binary())}
     shared = stored(shared_chunks(docs, path, text_col), "shared-chunks")
     n_shared = shared.count()
     seen = docs.sparkSession.sparkContext.broadcast(key_filter(shared, n_shared) if n_shared else None)
@@ -241,51 +240,55 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", wit
         return list(out.values())
 
     def split(batches):
-        """A row for each text, finished or with part -1; part 0 and on: its pieces, own (data) or shared (h); part -2: the
-        text of a chunk that may be shared."""
+        """A row for each text, finished or with part -1 and the text's hash; part 0 and on: the pieces of a hash, own (data)
+        or shared (h); part -2: the text of a chunk that may be shared."""
         encoder, decoder = kept(f"words {path}", lambda: WordEncoder(path)), kept(f"decoder {path}", lambda: Decoder(path))
         bitmap = seen.value
-        number = TaskContext.get().partitionId() << 40
         given: set[bytes] = set()
+        cut: set[bytes] = set()
         for b in batches:
             at = 0
             names = [*b.schema.names[:-1], *own, *new]
             types = [*b.schema.types[:-1], *(t for _, t in own.values()), *(t for _, t in new.values())]
             for block in in_blocks(b.column(b.num_columns - 1).to_pylist()):
                 whole, runs, texts = [], [], []
-                for k, t in enumerate(block):
+                for t in block:
                     raw = t.encode()
                     pieces = chunks_of(raw, encoder.table) if bitmap is not None and raw else []
                     keys = [_key(c) for c in pieces]
                     hit = may_be_in(np.frombuffer(b"".join(keys), np.uint64)[::2].copy(), bitmap).tolist() if pieces else []
                     if not any(hit):
-                        whole.append((k, raw))
+                        whole.append((None, raw))
                         continue
                     own_run: list[bytes] = []
                     n = 0
+                    whole.append((_key(raw), None))
+                    if whole[-1][0] in cut:
+                        continue
+                    cut.add(whole[-1][0])
                     for c, key, x in zip([*pieces, b""], [*keys, b""], [*hit, True], strict=True):
                         if not x:
                             own_run.append(c)
                             continue
                         if own_run:
-                            runs.append((number + k, n, None, b"".join(own_run)))
+                            runs.append((whole[-1][0], n, None, b"".join(own_run)))
                             n, own_run = n + 1, []
                         if key:
-                            runs.append((number + k, n, key, None))
+                            runs.append((whole[-1][0], n, key, None))
                             n += 1
                             if key not in given:
                                 given.add(key)
                                 texts.append((key, c))
-                    whole.append((k, None))
-                if len(given) > 200_000:
+                if len(given) + len(cut) > 300_000:
                     given.clear()
+                    cut.clear()
                 ids = iter(encoder.encode([r for _, r in whole if r is not None]))
                 done = results([next(ids) for _, r in whole if r is not None], decoder)
                 finished = np.array([r is not None for _, r in whole], bool)
                 place = pa.array(np.where(finished, np.cumsum(finished) - 1, 0), mask=~finished)
                 rows = len(whole)
                 yield pa.RecordBatch.from_arrays([
-                    *(c.slice(at, rows) for c in b.columns[:-1]), pa.array(np.arange(number, number + rows)), pa.array(np.where(finished, 0, -1).astype(np.int32), mask=finished),
+                    *(c.slice(at, rows) for c in b.columns[:-1]), pa.array([k for k, _ in whole], pa.binary()), pa.array(np.where(finished, 0, -1).astype(np.int32), mask=finished),
                     pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary()), *(pa.array(c, t).take(place) for c, (_, t) in zip(done, new.values(), strict=True)),
                 ], names=names)
                 of = encoder.learn({w for *_, c in runs if c for w in c.split()})
@@ -296,7 +299,6 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", wit
                         columns[k] = pa.array(c, types[k])
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += rows
-                number += rows
 
     listed = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     found = [f"{k} {t}" for k, (t, _) in new.items()]
@@ -318,7 +320,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", wit
     known = arrow_map(once, table, "h binary, piece binary")
     parts = pieces.where(F.col(part) >= 0).select(F.col(row).alias("row"), F.col(part).alias("part"), F.col(h).alias("h"), F.col(data).alias("piece"))
     joined = parts.where("h is not null").drop("piece").join(known, "h").select("row", "part", "piece").unionByName(parts.where("h is null").drop("h"))
-    gathered = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("part", "piece"))).alias("pieces"))
+    gathered = joined.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("part", "piece"))).alias("pieces"))
 
     def assemble(batches):
         encoder, decoder = kept(f"words {path}", lambda: WordEncoder(path)), kept(f"decoder {path}", lambda: Decoder(path))
@@ -334,7 +336,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", wit
                 done = results([b"".join(parts) for parts, _ in texts], decoder)
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, (_, t) in zip(done, new.values(), strict=True))], names=["row", *new])
 
-    finished = arrow_map(gathered, assemble, ", ".join(["row bigint", *found]))
+    finished = arrow_map(gathered, assemble, ", ".join(["row binary", *found]))
     open_rows = pieces.where(F.col(part) == -1).select(*[f"`{c}`" for c in carried], F.col(row).alias(row))
     return pieces.where(F.col(part).isNull()).select(*outcome).unionByName(open_rows.join(finished.withColumnRenamed("row", row), row).select(*outcome))
 
