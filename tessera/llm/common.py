@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut and a lost executor recomputes nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     # the driver's collector tells executors which shuffle files nothing needs any more
     spark.sparkContext._jvm.System.gc()
