@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where it is unset, as in tests, a local one is made."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local master, as in tests, gets a folder of
+    its own; on a cluster that is an error, as no machine could read what another one wrote."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="tessera-")
@@ -33,7 +36,8 @@ def running_sums(df: DataFrame, group: list[str], order: list[Column], values: d
     The order must be total within a group. Rows are dealt by range, summed within each piece, and each piece gets the
     sums of the pieces before it, so a group of any size is spread over tasks.
     """
-    keyed = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("__piece", F.spark_partition_id())
+    # the range's sample reads the rows too, so what makes them must not run twice
+    keyed = stored(df, "unranged").repartitionByRange(*[F.col(g) for g in group], *order).withColumn("__piece", F.spark_partition_id())
     pieces = stored(keyed, "ranged")
     inside = Window.partitionBy("__piece", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = pieces.withColumns({new: F.sum(old).over(inside) for new, old in values.items()})

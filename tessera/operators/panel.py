@@ -37,6 +37,16 @@ def window_calendar_mean(raw: DataFrame, years: list[int], keys: list[str], year
     return rows.groupBy(*keys).agg((F.sum(value_col).cast("double") / len(years)).alias(value_col))
 
 
+def window_pair(raw: DataFrame, early: list[int], late: list[int], keys: list[str], year_col: str = "year", value_col: str = "v") -> tuple[DataFrame, DataFrame]:
+    """Both windows' calendar means, as window_calendar_mean gives them, from one pass over the flows."""
+    from ..functions.shared import stored
+
+    total = lambda years: F.sum(F.when(F.col(year_col).isin(*years), F.col(value_col)))
+    sums = raw.where(F.col(year_col).isin(*early, *late)).groupBy(*keys).agg(total(early).alias("__e"), total(late).alias("__l"))
+    both = stored(sums, "windows")
+    return tuple(both.where(F.col(c).isNotNull()).select(*keys, (F.col(c).cast("double") / len(y)).alias(value_col)) for c, y in (("__e", early), ("__l", late)))
+
+
 def window_present_mean(raw: DataFrame, years: list[int], keys: list[str], product_col: str = "k", year_col: str = "year", value_col: str = "v") -> DataFrame:
     """The older rule: each product's mean over the years in which it is present, summed over products."""
     yearly = raw.where(F.col(year_col).isin(*years)).groupBy(*keys, product_col, year_col).agg(F.sum(value_col).cast("double").alias(value_col))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import running_sums
+from ..functions.shared import running_sums, stored
 
 #: Keys that break ties of each track, in order.
 KEYS = {"A": ["i_iso", "stage", "j_iso"], "B1": ["i_iso", "stage"], "B2": ["j_iso"]}
@@ -54,12 +57,30 @@ def midrank_ecdf(df: DataFrame, score: str, group: list[str] | None = None) -> D
     return joined.withColumn("ecdf", (F.col("midrank") - 0.5) / F.col("__n")).drop("__n")
 
 
+def exact_quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles of a column, linear between neighbouring values; null values are left out.
+
+    Equal values are combined first and places are taken by range, so no task holds the column; two rows a quantile at
+    most come back.
+    """
+    blocks = stored(score_blocks(df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x")), "x", {"n": F.lit(1).cast("long")}, descending=False), "blocks")
+    n = blocks.agg(F.sum("n")).first()[0]
+    if not n:
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    wanted = sorted({int(f(x)) + 1 for x in places for f in (math.floor, math.ceil)})
+    holds = [(F.col("c_n") >= k) & (F.col("c_n") - F.col("n") < k) for k in wanted]
+    rows = blocks.where(reduce(lambda a, b: a | b, holds)).select("x", "n", "c_n").collect()
+    at = {k: next(r.x for r in rows if r.c_n - r.n < k <= r.c_n) for k in wanted}
+    low = [(at[math.floor(x) + 1], at[math.ceil(x) + 1], x - math.floor(x)) for x in places]
+    return [a + (b - a) * t for a, b, t in low]
+
+
 def quantile_bins(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """df with bin: right-open ranges between distinct exact quantiles, the last one closed; one edge means one bin."""
-    edges = df.agg(F.array_distinct(F.percentile(col, F.array(*[F.lit(b / bins) for b in range(bins + 1)]))).alias("__e"))
-    inner = F.when(F.size("__e") > 2, F.slice("__e", 2, F.size("__e") - 2)).otherwise(F.array().cast("array<double>"))
-    joined = df.crossJoin(F.broadcast(edges.select(inner.alias("__i"))))
-    return joined.withColumn("bin", F.size(F.filter("__i", lambda e: e <= F.col(col)))).drop("__i")
+    edges = [e for e in exact_quantiles(df, col, [b / bins for b in range(bins + 1)]) if e is not None]
+    inner = sorted(set(edges))[1:-1]
+    return df.withColumn("bin", reduce(lambda a, e: a + F.when(F.col(col) >= e, 1).otherwise(0), inner, F.lit(0)))
 
 
 def zscore(df: DataFrame, columns: list[str], eps: float = 1e-9) -> DataFrame:

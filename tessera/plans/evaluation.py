@@ -190,8 +190,9 @@ _ERANK = "SELECT *, row_number() OVER (ORDER BY round(size, 9) DESC, i_iso, stag
   SELECT count(*) AS positive_entries, round(avg(inside * hits / positives), 9) AS macro_recall, round(avg(inside * captured / available), 9) AS macro_value, round(sum(inside * hits) / greatest(sum(positives), 1), 9) AS micro_recall, round(sum(inside * captured) / greatest(sum(available), 1), 9) AS value_capture,
   (SELECT count(*) FROM g) AS effective_b1, (SELECT CAST(sum(z) AS BIGINT) FROM g) AS selected_positive, round((SELECT sum(z) / greatest(count(*), 1) FROM g), 9) AS gate_precision, round((SELECT sum(z) FROM g) / greatest(count(*), 1), 9) AS gate_recall FROM t""")
 def two_stage_metrics(s, d):
-    lanes = V.track_b(s, d).withColumn("b2", F.round("log_importer_demand", 9))
-    return _rounded(M.two_stage(lanes, _entries(s, d), "b2", 50, 3))
+    lanes = V.track_b_once(s, d).withColumn("b2", F.round("log_importer_demand", 9))
+    entries = C.entry_view(lanes).withColumn("score", F.round("size", 9))
+    return _rounded(M.two_stage(lanes, entries, "b2", 50, 3))
 
 
 @query("SELECT k, effective, coalesce(precision, 0) AS precision, round(found / greatest(p, 1), 9) AS recall, round(coalesce(value_captured, 0) * v / greatest(v, 1), 9) AS value_captured FROM (" + _BUDGET.format(y="z", v="entry_lateval", t=_ERANK) + "), (SELECT sum(z) AS p, sum(entry_lateval) AS v FROM entries)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..operators import cohorts as C
 from ..operators import graph as G
 from ..operators import panel as P
@@ -156,18 +157,22 @@ def supporting_paths(s, d):
 
 _TOT = "tot AS (SELECT i_iso, substr(k, 1, 4) AS p, CAST(sum(v) AS DOUBLE) AS v FROM flows WHERE year IN (1997, 1998) GROUP BY ALL)"
 _MEM = f"{_TOT}, mem AS (SELECT i_iso, p FROM (SELECT i_iso, p, v, sum(v) OVER (PARTITION BY i_iso) AS r, sum(v) OVER (PARTITION BY p) AS c, sum(v) OVER () AS t FROM tot) WHERE round((v / r) / (c / t), 9) >= 1)"
-_TGT = "tgt AS (SELECT DISTINCT p FROM mem WHERE CAST(substr(p, 1, 2) AS INTEGER) % 5 = 0)"
+_TGT = "tgt AS (SELECT DISTINCT p FROM mem WHERE 'Brand#' || CAST(substr(p, 1, 2) AS INTEGER) IN (SELECT stage FROM upstream))"
 _PROX = f"{_MEM}, {_TGT}, ub AS (SELECT p, count(*) AS u FROM mem GROUP BY p), co AS (SELECT a.p, b.p AS q, count(*) AS n FROM mem a SEMI JOIN tgt ON tgt.p = a.p JOIN mem b ON a.i_iso = b.i_iso GROUP BY ALL), prox AS (SELECT co.p, co.q, n / greatest(x.u, y.u) AS proximity FROM co JOIN ub x ON x.p = co.p JOIN ub y ON y.p = co.q WHERE co.p <> co.q)"
 _DENS = f"{_PROX}, dens AS (SELECT m.i_iso, x.p, sum(proximity) / t.t AS density FROM prox x JOIN mem m ON m.p = x.q JOIN (SELECT p, sum(proximity) AS t FROM prox GROUP BY p) t ON t.p = x.p GROUP BY m.i_iso, x.p, t.t)"
 
 
 def _members(s, d):
     f = V.flows(s, d).where("year in (1997, 1998)")
-    return G.rca_membership(f.groupBy("i_iso", F.substring("k", 1, 4).alias("p")).agg(F.sum("v").cast("double").alias("v")))
+    totals = stored(f.groupBy("i_iso", F.substring("k", 1, 4).alias("p")).agg(F.sum("v").cast("double").alias("v")), "totals")
+    return stored(G.rca_membership(totals), "members")
 
 
-def _targets(members):
-    return members.select("p").distinct().where(F.substring("p", 1, 2).cast("int") % 5 == 0)
+def _targets(s, members):
+    """(stage, p): the products of every stage that has upstream stages, as far as any exporter is a member."""
+    stages = V.upstream(s).select("stage").distinct()
+    own = members.select("p").distinct().select(F.concat(F.lit("Brand#"), F.substring("p", 1, 2).cast("int")).alias("stage"), "p")
+    return own.join(F.broadcast(stages), "stage", "left_semi")
 
 
 @query(f"WITH {_MEM} SELECT i_iso, p FROM mem")
@@ -178,28 +183,27 @@ def rca_membership(s, d):
 @query(f"WITH {_PROX} SELECT p, q, n FROM co")
 def product_cooccurrence(s, d):
     m = _members(s, d)
-    return G.cooccurrence(m, _targets(m))
+    return G.cooccurrence(m, _targets(s, m))
 
 
 @query(f"WITH {_PROX} SELECT p, q, round(proximity, 9) AS proximity FROM prox")
 def product_proximity(s, d):
     m = _members(s, d)
-    return G.proximity(m, _targets(m)).withColumn("proximity", F.round("proximity", 9))
+    return G.proximity(m, _targets(s, m)).withColumn("proximity", F.round("proximity", 9))
 
 
-def _density(s, d):
-    m = _members(s, d)
-    return G.density(m, G.proximity(m, _targets(m)))
+def _density(s, m):
+    return G.density(m, stored(G.proximity(m, _targets(s, m)), "proximity"))
 
 
 @query(f"WITH {_DENS} SELECT i_iso, p, round(density, 8) AS density FROM dens")
 def product_density(s, d):
-    return _density(s, d).withColumn("density", F.round("density", 8))
+    return _density(s, _members(s, d)).withColumn("density", F.round("density", 8))
 
 
 @query(f"WITH {_DENS}, sp AS (SELECT 'Brand#' || CAST(substr(p, 1, 2) AS INTEGER) AS stage, p FROM tgt) SELECT e.i_iso, e.stage, round(coalesce(sum(density) / any_value(n.k), 0), 8) AS score FROM entries e LEFT JOIN (SELECT stage, count(*) AS k FROM sp GROUP BY stage) n ON n.stage = e.stage LEFT JOIN sp ON sp.stage = e.stage LEFT JOIN dens ON dens.i_iso = e.i_iso AND dens.p = sp.p GROUP BY e.i_iso, e.stage")
 def stage_density_score(s, d):
     m = _members(s, d)
-    products = _targets(m).select(F.concat(F.lit("Brand#"), F.substring("p", 1, 2).cast("int")).alias("stage"), "p")
+    products = _targets(s, m)
     entries = C.entry_view(V.track_b(s, d)).select(*C.ENTRY)
-    return G.stage_density(entries, _density(s, d), products).withColumn("score", F.round("score", 8))
+    return G.stage_density(entries, _density(s, m), products).withColumn("score", F.round("score", 8))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import stored
@@ -53,13 +56,18 @@ def gravity_ppml(s, d):
     return L.gravity_ppml(dyads, ["log_dist"], ["contig", "comlang"]).select(*C.LANE, "v", "grav")
 
 
-@query()
+_HG = f"(SELECT x.*, log_grav FROM h_a_lanes x {_G})"
+_FILL = ", ".join(f"round(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM {_HG})), 6) AS {c}__filled" for c in FEATURES)
+
+
+@query(f"SELECT x.i_iso, x.j_iso, x.stage, {_FILL}, CASE WHEN log_grav IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS log_grav__missing FROM a_lanes x {_G}")
 def impute_with_indicator(s, d):
     frozen = L.freeze_medians(_a(s, d, "history"), FEATURES)
-    return frozen.prepare(_a(s, d, "main")).select(*C.LANE, *frozen.inputs)
+    return frozen.prepare(_a(s, d, "main")).select(*C.LANE, *[F.round(c, 6).alias(c) for c in frozen.inputs])
 
 
-@query()
+@query("""SELECT CAST(f AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS positives, count(*) AS entries, 5 AS folds FROM (
+  SELECT *, (row_number() OVER (ORDER BY p DESC, n DESC, sha256('fold|' || entry_id), entry_id) - 1) % 5 AS f FROM (SELECT i_iso || '|' || stage AS entry_id, sum(y) AS p, count(*) AS n FROM h_a_raw GROUP BY ALL)) GROUP BY f""")
 def group_kfold(s, d):
     rows, k = L.group_folds(V.track_a(s, d, "history").withColumn("entry_id", C.entry_id()), "entry_id", "y")
     return rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.count_distinct("entry_id").alias("entries")).withColumn("folds", F.lit(k))
@@ -73,23 +81,37 @@ def _scored(s, d, select):
 
 @query()
 def logistic_select(s, d):
-    _, x = _scored(s, d, lambda *a: L.logistic_select(*a, grid=(0.1, 1.0)))
+    _, x = _scored(s, d, L.logistic_select)
     return x.select(*C.LANE, "y", "score")
 
 
 @query()
 def gbdt_select(s, d):
-    _, x = _scored(s, d, lambda *a: L.gbdt_select(*a, grid=[{"depth": 2, "rounds": 5}, {"depth": 3, "rounds": 5}]))
+    # the four declared points with a twentieth of their rounds, as each round is a Spark job of its own
+    grid = [{"depth": 2, "rounds": 5}, {"depth": 3, "rounds": 5}, {"depth": 3, "rounds": 10}, {"depth": 4, "rounds": 10}]
+    _, x = _scored(s, d, lambda *a: L.gbdt_select(*a, grid=grid))
     return x.select(*C.LANE, "y", "score")
 
 
 @query()
 def freeze_then_score(s, d):
-    """Average precision on the main fold of what was frozen on history, beside the raw size."""
-    frozen, x = _scored(s, d, lambda *a: L.logistic_select(*a, grid=(1.0,)))
-    x = stored(x, "scored")
-    long = x.select("y", F.explode(F.array(F.struct(F.lit("logistic").alias("model"), F.col("score").alias("score")), F.struct(F.lit("size").alias("model"), F.col("size").alias("score")))).alias("m")).select("y", "m.*")
-    return M.average_precision(long, "y", "score", ["model"])
+    """Average precision on the main fold of what was frozen on history, beside the raw size, of tracks A, B1 and B2.
+
+    All three models are frozen before a main table is opened; all B lanes are scored before B2 is conditioned on entry.
+    """
+    b = lambda fold: stored(_with_gravity(s, d, V.track_b(s, d, fold)), "lanes")
+    entry = lambda lanes: C.entry_view(lanes).withColumn("y", F.col("z"))
+    past = {"A": _a(s, d, "history"), "B": b("history")}
+    tasks = {
+        "A": L.logistic_select(past["A"].withColumn("entry_id", C.entry_id()), FEATURES, "y", "entry_id"),
+        "B1": L.logistic_select(entry(past["B"]), ["log_upstream_capacity", "n_candidate_destinations"], "y", "i_iso"),
+        "B2": L.logistic_select(C.conditional_lanes(past["B"]).withColumn("entry_id", C.entry_id()), FEATURES, "y", "entry_id"),
+    }
+    lanes = b("main")
+    scored = {"A": tasks["A"].score(_a(s, d, "main")), "B1": tasks["B1"].score(entry(lanes)), "B2": C.conditional_lanes(tasks["B2"].score(lanes))}
+    each = lambda m, c: F.struct(F.lit(m).alias("model"), F.col(c).alias("score"))
+    long = [x.select(F.lit(t).alias("track"), "y", F.explode(F.array(each("logistic", "score"), each("size", "size"))).alias("m")).select("track", "y", "m.*") for t, x in scored.items()]
+    return M.average_precision(stored(reduce(DataFrame.unionByName, long), "scored"), "y", "score", ["track", "model"])
 
 
 @query()
@@ -98,10 +120,7 @@ def signal_recombination(s, d):
     rows = R.zscore(_a(s, d, "main"), ["log_exporter_capacity", "log_importer_demand"])
     rows = stored(rows.withColumn("half", F.when(C.split_uniform(F.concat_ws("|", *C.LANE), "half") < 0.5, 0).otherwise(1)), "halves")
     frozen = L.freeze_medians(rows.where("half = 0"), ["z_log_exporter_capacity", "z_log_importer_demand"])
-    from pyspark.ml.classification import LogisticRegression
-
-    frozen.model = L._pipeline(frozen, rows.where("half = 0"), LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=50), "y")
-    return frozen.score(rows.where("half = 1")).select(*C.LANE, "y", "score")
+    return L.fit_logistic(frozen, rows.where("half = 0"), "y", 1.0).score(rows.where("half = 1")).select(*C.LANE, "y", "score")
 
 
 @query()

@@ -95,7 +95,7 @@ def label_free_scan(s, d):
     return s.read.parquet(path).select(*C.LANE)
 
 
-@query()
+@query("SELECT i_iso, j_iso, stage, y FROM a_raw")
 def sink_tables(s, d):
     path = _path(s, "sorted")
     S.write_sorted(V.track_a(s, d).select(*C.LANE, "y"), C.LANE, path)

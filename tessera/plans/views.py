@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..operators import cohorts as C
 from ..operators import panel as P
 from ..sources import tables as S
@@ -64,7 +65,7 @@ def upstream(spark: SparkSession) -> DataFrame:
 def windows(spark: SparkSession, sf_dir: str, fold: str = "main", view: str = "S", rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All window means of a fold, inactive lanes too."""
     rows, f = rows or flows(spark, sf_dir, view), FOLDS[fold]
-    return tuple(P.window_calendar_mean(rows, list(y), C.LANE) for y in (f.early, f.late))
+    return P.window_pair(rows, list(f.early), list(f.late), C.LANE)
 
 
 def fold(spark: SparkSession, sf_dir: str, name: str = "main") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,6 +82,11 @@ def track_b(spark, sf_dir, name="main") -> DataFrame:
     return C.track_b(*fold(spark, sf_dir, name))
 
 
+def track_b_once(spark, sf_dir, name="main") -> DataFrame:
+    """Track B written to the shared folder, for queries that read its lanes several times."""
+    return stored(track_b(spark, sf_dir, name), "track-b")
+
+
 def n_early(spark, sf_dir) -> DataFrame:
     """View N's early lanes: those above the average mean of the window."""
     means = P.window_calendar_mean(flows(spark, sf_dir, "N"), list(FOLDS["main"].early), C.LANE)

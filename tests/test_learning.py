@@ -1,8 +1,14 @@
 """Fitted queries over the whole registry."""
 
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.operators import models as L
+from tessera.operators import rank as R
 
 from .conftest import SMALL
 
@@ -11,3 +17,51 @@ def test_gravity_fits_every_stage(spark):
     rows = entry.queries()["gravity_ppml"](spark, SMALL).groupBy("stage").agg(F.sum("v").alias("v"), F.count("grav").alias("fitted"), F.count("*").alias("n")).collect()
     assert {r.stage for r in rows} == {f"Brand#{k}" for k in range(1, 26)}
     assert all(r.fitted == (r.n if r.v > 0 else 0) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def lanes(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        a, b = rng.gauss(2, 3), rng.gauss(0, 1)
+        rows.append((f"g{k % 37}", a, b if k % 5 else None, int(rng.random() < 1 / (1 + np.exp(2 - a)))))
+    return spark.createDataFrame(rows, "g string, a double, b double, y int").repartition(3)
+
+
+def plain_fit(rows, c):
+    """Balanced logistic regression with a penalised intercept, by gradient descent's zero: Newton in numpy."""
+    x, y = np.array([r[:-1] for r in rows]), np.array([r[-1] for r in rows], float)
+    x = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0), np.ones(len(x))])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    beta = np.zeros(x.shape[1])
+    for _ in range(40):
+        mu = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.solve((x.T * (w * mu * (1 - mu))) @ x + np.eye(len(beta)) / c, x.T @ (w * (mu - y)) + beta / c)
+    return beta
+
+
+def test_logistic_is_exact(lanes):
+    frozen = L.logistic_select(lanes, ["a", "b"], "y", "g")
+    median = np.median([r.b for r in lanes.collect() if r.b is not None])
+    assert frozen.medians["b"] == pytest.approx(median) and frozen.flagged == ["b"]
+    rows = [(r.a, median if r.b is None else r.b, float(r.b is None), r.y) for r in lanes.collect()]
+    assert frozen.logistic.beta == pytest.approx(plain_fit(rows, frozen.choice["C"]), abs=1e-6)
+    assert frozen.choice["folds"] == 5
+    scores = [r.score for r in frozen.score(lanes).collect()]
+    assert len(scores) == 400 and all(0 < s < 1 for s in scores)
+
+
+def test_folds_hold_whole_groups(lanes):
+    rows, k = L.group_folds(lanes, "g", "y")
+    assert k == 5 and rows.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    positives = [r.p for r in rows.groupBy("fold").agg(F.sum("y").alias("p")).collect()]
+    assert max(positives) - min(positives) <= 8
+    with pytest.raises(ValueError):
+        L.group_folds(lanes.withColumn("y", F.lit(0)), "g", "y")
+
+
+def test_exact_quantiles(lanes):
+    shares = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    assert R.exact_quantiles(lanes, "a", shares) == pytest.approx(np.quantile([r.a for r in lanes.collect()], shares))
+    assert R.exact_quantiles(lanes.where("false"), "a", [0.5]) == [None]
