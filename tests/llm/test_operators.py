@@ -242,17 +242,93 @@ def test_rules_odd(spark, odd, empty, docs, duck):
     assert sorted(tuple(r[c] for c in columns) for r in rules.apply_rules(docs).collect()) == want
 
 
-def test_licences(spark, empty):
-    model = licences.fit_licences(spark)
-    lines = {1: ("Some prose.\nLicensed under the Apache License, Version 2.0.\nMore.", "apache-2.0"), 2: ("RELEASED*** UNDER%%% THE&&& MIT$$$ LICENSE.###", "mit"), 3: ("This work is licensed under the GNU General Public License, version 3.", "gpl"), 4: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), 5: ("The driver's license was issued by the state.", None), 6: ("Nothing here mit der Hand.", None), 7: (None, None), 8: ("All rights reserved.", "proprietary")}
-    df = spark.createDataFrame([(k, t, 1) for k, (t, _) in lines.items()] + [(1, lines[1][0], 1)], "doc_id long, text string, row int")
+HEADER = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {0}General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY."
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licences.fit_licences(spark)
+
+
+def test_word_grams(spark):
+    words = F.split(F.lit("a b c d"), " ")
+    assert spark.range(1).select(licences._grams(words)).first()[0] == ["a", "b", "c", "d", "a b", "b c", "c d", "a b c", "b c d"]
+
+
+def test_licences(spark, empty, odd, licence_model):
+    texts = {
+        1: ("Some prose.\nLicensed under the Apache License, Version 2.0.\nMore.", {"apache-2.0"}),
+        2: ("RELEASED*** UNDER%%% THE&&& MIT$$$ LICENSE.###", {"mit"}),
+        3: ("This work is licensed under the GNU General Public License, version 3.", {"gpl"}),
+        4: ("Licensed under CC BY-NC 4.0.", {"cc-by-nc"}),
+        5: ("The driver's license was issued by the state.", set()),
+        6: ("Nothing here mit der Hand.", set()),
+        7: (None, set()),
+        8: ("All rights reserved.", {"proprietary"}),
+        # wrapped over lines, behind comment marks
+        9: (HEADER.format("Affero "), {"agpl"}),
+        10: (HEADER.format("Lesser "), {"lgpl"}),
+        11: (HEADER.format(""), {"gpl"}),
+        12: ("Released under the\nMIT License.", {"mit"}),
+        # two licences in a paragraph, and in neighbouring ones
+        13: ("Licensed under the MIT License. Parts are licensed under the Apache License, Version 2.0.", {"mit", "apache-2.0"}),
+        14: ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", {"mit", "apache-2.0"}),
+        15: ("Foo\n\nThis work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.\n \nAll rights reserved.", {"cc-by-sa", "proprietary"}),
+        16: ("The licence was lost and the copyright notice had faded.", set()),
+    }
+    df = spark.createDataFrame([(k, t, 1) for k, (t, _) in texts.items()] + [(1, texts[1][0], 1)], "doc_id long, text string, row int")
     found = collections.defaultdict(set)
-    rows = licences.scan(df, model).collect()
+    rows = licences.scan(df, licence_model).collect()
     for r in rows:
-        found[r.doc_id].add(r.family if r.confirmed else None)
-    assert {k: f for k, (_, f) in lines.items()} == {k: next(iter(found[k])) for k in lines}
-    assert len(rows) == 9
-    assert licences.scan(empty, model).count() == 0
+        found[r.doc_id] |= {r.family} if r.confirmed else set()
+    assert found == {k: f for k, (_, f) in texts.items()}
+    assert sum(r.doc_id == 1 for r in rows) == 2
+    assert {(r.paragraph, r.family) for r in rows if r.doc_id == 15} == {(1, "cc-by-sa"), (2, "proprietary")}
+    assert licences.scan(odd, licence_model).select("row").distinct().count() == odd.count()
+    assert licences.scan(empty, licence_model).count() == 0
+
+
+def test_licences_by_hand(spark, docs, licence_model):
+    """The scan with its weights taken as given, statement by statement in plain Python."""
+    import regex
+
+    m = licence_model
+    weights = {r.feature: r.w for r in m.weights.collect()}
+    words = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w]
+    grams = lambda w, n: [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+    anchor = regex.compile(rf"(?:^| )(?:{licences._ANCHOR})(?: |$)")
+    extra = spark.createDataFrame([(-1, HEADER.format("Lesser ")), (-2, "Released under the MIT License. Her licence expired.\n\nLicensed under the GPL.")], "doc_id long, text string")
+    data = docs.select("doc_id", "text").unionByName(extra)
+    want = []
+    for r in data.collect():
+        some = False
+        for i, p in enumerate(regex.split(licences._BLANK, r.text or "")):
+            for j, t in enumerate(regex.split(licences._CUT, p)):
+                if not regex.search(licences._IN_TEXT, t):
+                    continue
+                w = words(t)
+                s = list(m.bias)
+                for g in {g for n in (1, 2, 3) for g in grams(w, n)}:
+                    if anchor.search(g) and g in weights:
+                        s = [a + b for a, b in zip(s, weights[g], strict=True)]
+                e = [math.exp(x - max(s)) for x in s]
+                best = max(e[:-1])
+                q = min(1 - 1e-12, max(1e-12, best / sum(e)))
+                probability = 1 / (1 + math.exp(-(math.log(q / (1 - q)) * m.slope + m.offset)))
+                family, likeness = m.families[e.index(best)], 0.0
+                if probability >= 0.5:
+                    pairs = set(grams(w, 2))
+                    for n in licences.NOTICES[family]:
+                        of = set(grams(words(n), 2))
+                        likeness = max(likeness, len(pairs & of) / max(1, min(len(pairs), len(of))))
+                want.append((r.doc_id, i, j, family if likeness >= 0.6 else "unknown", round(probability, 5), round(likeness, 5)))
+                some = True
+        if not some:
+            want.append((r.doc_id, -1, -1, "", 0.0, 0.0))
+    got = [(r.doc_id, *((r.paragraph, r.position, r.family, round(r.probability, 5), round(r.likeness, 5)) if r.family else (-1, -1, "", 0.0, 0.0))) for r in licences.scan(data, m).collect()]
+    assert len(got) == len(want) and any(x[3] not in ("", "unknown") for x in got)
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=2e-5)
 
 
 def test_chunk_joins_are_repaired():
