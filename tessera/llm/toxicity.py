@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +29,29 @@ def features(word: bytes) -> list[bytes]:
     return [b"=" + word, *(w[:k].encode() for k in _PREFIXES if len(w) > k), *([word] if len(w) in _PREFIXES else [])]
 
 
+class Counted:
+    """A text's feature counts as the bytes `feature count feature count ...`, taken apart when they are read: a sample of
+    thousands of texts then costs the driver its bytes, and no objects."""
+
+    __slots__ = ("data",)
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def __iter__(self) -> Iterator[bytes]:
+        return iter(self.data.split(b" ")[::2] if self.data else ())
+
+    def items(self) -> Iterator[tuple[bytes, int]]:
+        x = self.data.split(b" ") if self.data else []
+        return zip(x[::2], map(int, x[1::2]), strict=True)
+
+
 @dataclass
 class PUModel:
     weight: dict[bytes, float]
     bias: float
 
-    def margin(self, counts: dict[bytes, int]) -> float:
+    def margin(self, counts: dict[bytes, int] | Counted) -> float:
         """The log odds of counted features."""
         return self.bias + sum(self.weight[x] * math.log2(1 + n) for x, n in sorted(counts.items()) if x in self.weight)
 
@@ -83,19 +101,20 @@ def nn_pu(p_rows: list[tuple[list, list]], u_rows: list[tuple[list, list]], dim:
     return w[:dim], b
 
 
-def fit_rows(positive: list[dict[bytes, int]], unlabelled: list[dict[bytes, int]], prior: float, keep: int = 4000) -> PUModel:
+def fit_rows(positive: list[dict[bytes, int] | Counted], unlabelled: list[dict[bytes, int] | Counted], prior: float, keep: int = 4000) -> PUModel:
     """Choose features by how much more often positives hold them (binomial deviance), then learn their weights."""
     if not positive or not unlabelled:
         return PUModel({}, float(np.log(max(prior, 1e-6) / (1 - min(prior, 1 - 1e-6)))))
     np_, nu = len(positive), len(unlabelled)
-    cp, cu = Counter(f for s in positive for f in s), Counter(f for s in unlabelled for f in s)
+    least = max(3, 0.002 * np_)
+    cp = {f: n for f, n in Counter(f for s in positive for f in s).items() if n >= least}
+    cu = Counter(f for s in unlabelled for f in s if f in cp)
 
     def gain(f):
         a, b = cp[f] / np_, (cu[f] + 0.5) / (nu + 1)
         return cp[f] * np.log(a / b) - np_ * (a - b) if a > b else 0.0
 
-    least = max(3, 0.002 * np_)
-    chosen = sorted(((gain(f), f) for f, n in cp.items() if n >= least), reverse=True)[:keep]
+    chosen = sorted(((gain(f), f) for f in cp), reverse=True)[:keep]
     names = [f for g, f in chosen if g > 12]
     at = {f: i for i, f in enumerate(names)}
 
@@ -107,7 +126,7 @@ def fit_rows(positive: list[dict[bytes, int]], unlabelled: list[dict[bytes, int]
     return PUModel(dict(zip(names, map(float, w), strict=True)), b)
 
 
-def _counted(docs: DataFrame) -> list[dict[bytes, int]]:
+def _counted(docs: DataFrame) -> list[Counted]:
     """The feature counts of a bounded sample's texts, counted on the executors."""
     out = pa.schema([("features", pa.binary())])
 
@@ -122,8 +141,8 @@ def _counted(docs: DataFrame) -> list[dict[bytes, int]]:
         for b in batches:
             yield batch(out, [count(t) for t in b.column(0).to_pylist()])
 
-    rows = arrow_map(docs.orderBy("doc_id").select("text"), run, "features binary").collect()
-    return [dict(zip(x[::2], map(int, x[1::2]), strict=True)) for x in (r.features.split() for r in rows)]
+    rows = arrow_map(docs.orderBy("doc_id").select("text"), run, "features binary").toArrow()
+    return [Counted(x) for x in rows.column(0).to_pylist()]
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
@@ -144,7 +163,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip((u_share / p_share).min(), 0.005, 0.9))
 
 
-def prior_of(positive: list[dict[bytes, int]], unlabelled: list[dict[bytes, int]], guess: float = 0.2) -> float:
+def prior_of(positive: list[dict[bytes, int] | Counted], unlabelled: list[dict[bytes, int] | Counted], guess: float = 0.2) -> float:
     """The class prior by two-fold cross-fitting: each half is scored by a model of the other half."""
     scores: tuple[list, list] = ([], [])
     for k in (0, 1):
