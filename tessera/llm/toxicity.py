@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch, labelled_sample, new_name, one_text, read_table, remainder
 
 _PREFIXES = (3, 4, 5, 6, 7)
+#: The share of toxic text that is assumed where the scores cannot tell it.
+FALLBACK_PRIOR = 0.05
 # ASCII other than letters and digits becomes a space; A-Z become a-z.
 _FOLD = bytes(k if k >= 128 or chr(k).isalnum() else 32 for k in range(256)).lower()
 
@@ -101,12 +103,34 @@ def nn_pu(p_rows: list[tuple[list, list]], u_rows: list[tuple[list, list]], dim:
     return w[:dim], b
 
 
-def fit_rows(positive: list[dict[bytes, int] | Counted], unlabelled: list[dict[bytes, int] | Counted], prior: float, keep: int = 4000) -> PUModel:
-    """Choose features by how much more often positives hold them (binomial deviance), then learn their weights."""
+def log_odds(prior: float) -> float:
+    return float(np.log(max(prior, 1e-6) / (1 - min(prior, 1 - 1e-6))))
+
+
+def bias_for(margins: np.ndarray, prior: float) -> float:
+    """What must be added to the margins of the unlabelled so that their mean score is the prior, by bisection."""
+    low, high = -70.0, 70.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        if np.mean(1 / (1 + np.exp(-np.clip(margins + middle, -35, 35)))) < prior:
+            low = middle
+        else:
+            high = middle
+    return (low + high) / 2
+
+
+def fit_rows(positive: list[dict[bytes, int] | Counted], unlabelled: list[dict[bytes, int] | Counted], prior: float, keep: int = 4000, least_gain: float = 5.0, sharpness: float = 2.0) -> PUModel:
+    """Choose features by how much more often positives hold them (binomial deviance, at least least_gain), then learn their
+    weights.
+
+    The weights are shrunk by the clipped risk and the penalty, so all scores lean to the middle; sharpness multiplies them.
+    The bias is set last: the mean score of the unlabelled is the prior. So a text without any known feature scores below
+    the prior however few rows there are, and a model without features gives the prior to all.
+    """
     if not positive or not unlabelled:
-        return PUModel({}, float(np.log(max(prior, 1e-6) / (1 - min(prior, 1 - 1e-6)))))
+        return PUModel({}, log_odds(prior))
     np_, nu = len(positive), len(unlabelled)
-    least = max(3, 0.002 * np_)
+    least = max(2, 0.002 * np_)
     cp = {f: n for f, n in Counter(f for s in positive for f in s).items() if n >= least}
     cu = Counter(f for s in unlabelled for f in s if f in cp)
 
@@ -115,7 +139,9 @@ def fit_rows(positive: list[dict[bytes, int] | Counted], unlabelled: list[dict[b
         return cp[f] * np.log(a / b) - np_ * (a - b) if a > b else 0.0
 
     chosen = sorted(((gain(f), f) for f in cp), reverse=True)[:keep]
-    names = [f for g, f in chosen if g > 12]
+    names = [f for g, f in chosen if g > least_gain]
+    if not names:
+        return PUModel({}, log_odds(prior))
     at = {f: i for i, f in enumerate(names)}
 
     def rows(counts):
@@ -123,7 +149,9 @@ def fit_rows(positive: list[dict[bytes, int] | Counted], unlabelled: list[dict[b
         return [([i for i, _ in r], [x for _, x in r]) for r in own]
 
     w, b = nn_pu(rows(positive), rows(unlabelled), len(names), prior)
-    return PUModel(dict(zip(names, map(float, w), strict=True)), b)
+    model = PUModel(dict(zip(names, map(float, sharpness * w), strict=True)), b)
+    model.bias += bias_for(np.array([model.margin(c) for c in unlabelled]), prior)
+    return model
 
 
 def _counted(docs: DataFrame) -> list[Counted]:
@@ -145,32 +173,40 @@ def _counted(docs: DataFrame) -> list[Counted]:
     return [Counted(x) for x in rows.column(0).to_pylist()]
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float | None:
     """The share of positives among the unlabelled, from scores of rows that the scoring model has not seen.
 
     Above any threshold the unlabelled hold at least the prior times the share that positives hold there, so the smallest
     ratio of the two shares bounds the prior from above and meets it where only positives score so high. Thresholds leave
-    at least a fifth of the positives above them, and two standard errors are added to the unlabelled's share, as the
-    smallest of many ratios leans low by chance.
+    at least a fifth of the positives above them, and one standard error is added to the unlabelled's share, as the
+    smallest of many ratios leans low by chance. None: the prior is not identified, as the scores do not tell positives from
+    the unlabelled at any threshold (no ratio is below a half).
     """
-    if len(positive) < 10 or not len(unlabelled):
-        return 0.005  # nothing tells that there is toxic text
+    if not len(positive) or not len(unlabelled):
+        return None
     p, u = np.sort(positive), np.sort(unlabelled)
     at = p[: max(1, int(0.8 * len(p)))]
     p_share = 1 - np.searchsorted(p, at, side="left") / len(p)
     u_share = (len(u) - np.searchsorted(u, at, side="left") + 0.5) / (len(u) + 1)
-    u_share = u_share + 2 * np.sqrt(u_share * (1 - u_share) / len(u))
-    return float(np.clip((u_share / p_share).min(), 0.005, 0.9))
+    u_share = u_share + np.sqrt(u_share * (1 - u_share) / len(u))
+    least = float((u_share / p_share).min())
+    return max(least, 0.001) if least < 0.5 else None
 
 
 def prior_of(positive: list[dict[bytes, int] | Counted], unlabelled: list[dict[bytes, int] | Counted], guess: float = 0.2) -> float:
-    """The class prior by two-fold cross-fitting: each half is scored by a model of the other half."""
+    """The class prior by two-fold cross-fitting: each half is scored by a model of the other half.
+
+    FALLBACK_PRIOR where it is not identified, which a half without any telling feature is too.
+    """
     scores: tuple[list, list] = ([], [])
     for k in (0, 1):
         model = fit_rows(positive[k::2], unlabelled[k::2], guess)
+        if not model.weight:
+            return FALLBACK_PRIOR
         for own, rows in zip(scores, (positive, unlabelled), strict=True):
             own += [model.margin(c) for c in rows[1 - k :: 2]]
-    return estimate_prior(np.array(scores[0]), np.array(scores[1]))
+    found = estimate_prior(np.array(scores[0]), np.array(scores[1]))
+    return FALLBACK_PRIOR if found is None else found
 
 
 def unlabelled_sample(docs: DataFrame, rows: int, folds: int, held: int, most_chars: int = 1_000_000) -> DataFrame:

@@ -170,6 +170,36 @@ def test_toxicity_held_out(spark, odd, empty):
     assert toxicity.fit_rows([], [], 0.1).score("anything", {}) == pytest.approx(0.1)
 
 
+@pytest.mark.parametrize("sf, found", [("sf0.001", 0.3), ("sf0.01", 0.6), ("sf0.1", 0.9)])
+def test_toxicity_query_by_size(spark, sf, found):
+    """Held-out toxic documents are found, clean ones left alone, and no size makes all documents toxic."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").collect()}
+    df = toxicity.op7_toxicity(spark, f"/root/testdata/{sf}")
+    assert df.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = df.collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in rows)
+    assert 0 < sum(r.predicted for r in rows) < 0.3 * len(rows)
+    own = [r for r in rows if r.held_out and r.doc_id in labels]
+    toxic, clean = [r.predicted for r in own if labels[r.doc_id] == 1], [r.predicted for r in own if labels[r.doc_id] == 0]
+    assert np.mean(toxic) >= found and np.mean(clean) <= 0.01
+
+
+def test_toxicity_prior_not_identified():
+    same = [collections.Counter({b"=w": 1})] * 12
+    assert toxicity.estimate_prior(np.zeros(12), np.zeros(160)) is None
+    assert toxicity.prior_of(same, same * 10) == toxicity.FALLBACK_PRIOR
+    model = toxicity.fit_rows(same, same * 10, toxicity.FALLBACK_PRIOR)
+    assert model.score("w", {}) == pytest.approx(toxicity.FALLBACK_PRIOR) and model.score(None, {}) < 0.5
+
+
+def test_toxicity_mean_score_is_the_prior():
+    positive = [collections.Counter({b"=bad": 1, b"=the": 2})] * 20
+    unlabelled = [collections.Counter({b"=the": 2, **({b"=bad": 1} if k % 5 == 0 else {})}) for k in range(200)]
+    model = toxicity.fit_rows(positive, unlabelled, 0.2)
+    scores = [1 / (1 + math.exp(-model.margin(c))) for c in unlabelled]
+    assert np.mean(scores) == pytest.approx(0.2, abs=1e-6) and scores[1] < 0.2 < scores[0]
+
+
 def test_toxicity_score_and_loss():
     """The score of a text and the steps of the non-negative risk, by plain loops."""
     rng = random.Random(8)
@@ -581,3 +611,21 @@ def test_pipeline(spark):
     ids = sorted(fp)
     least = reachable(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 3])
     assert {r.doc_id for r in rows} == {i for i in ids if least[i] == i}
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    """On the next larger tables each stage is held to what it may drop."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    good = corpus_pipeline.quality_stage(spark, docs, sf)
+    kept = corpus_pipeline.toxicity_stage(spark, good, sf)
+    before, after = ({r.doc_id: r.toxic for r in x.select("doc_id").join(labels, "doc_id").collect()} for x in (good, kept))
+    clean, toxic = (sum(t == k for t in before.values()) for k in (0, 1))
+    assert good.count() >= 0.8 * docs.count()
+    assert sum(t == 0 for t in after.values()) >= 0.98 * clean
+    assert sum(t == 1 for t in after.values()) <= 0.5 * toxic
+    one = corpus_pipeline.dedup_stage(spark, kept, sf)
+    assert one.count() >= 0.6 * kept.count()
