@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chunks, licences, metric_join, packing, pii, quality, rules, simhash, suffix_lm, toxicity
+from . import chunks, licences, metric_join, packing, pii, quality, rules, simhash, suffix_lm, toxicity, vector_codes
 
 QUERIES = {
     "op1_metric_join": metric_join.op1_metric_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_suffix_tree": suffix_lm.op8_suffix_tree,
     "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_rules": rules.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_rules": rules.OP3_SQL, "op12_vector_codes": vector_codes.OP12_SQL}
