@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chunks, licences, metric_join, packing, pii, quality, rules, simhash, suffix_lm, toxicity, vector_codes
+from . import chunks, licences, metric_join, packing, pii, quality, rules, simhash, suffix_lm, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_metric_join": metric_join.op1_metric_join,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_warc": warc.op13_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_rules": rules.OP3_SQL, "op12_vector_codes": vector_codes.OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_rules": rules.OP3_SQL, "op12_vector_codes": vector_codes.OP12_SQL, "op13_warc": warc.OP13_SQL}
