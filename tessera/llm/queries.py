@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from . import chunks, licences, metric_join, packing, pii, quality, rules, simhash, suffix_lm, toxicity, vector_codes, warc
+from . import chunks, licences, metric_join, packing, phrases, pii, quality, rules, simhash, suffix_lm, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_metric_join": metric_join.op1_metric_join,
@@ -13,8 +13,9 @@ QUERIES = {
     "op8_suffix_tree": suffix_lm.op8_suffix_tree,
     "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
+    "op11_collocations": phrases.op11_collocations,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_warc": warc.op13_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_rules": rules.OP3_SQL, "op12_vector_codes": vector_codes.OP12_SQL, "op13_warc": warc.OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_rules": rules.OP3_SQL, "op11_collocations": phrases.OP11_SQL, "op12_vector_codes": vector_codes.OP12_SQL, "op13_warc": warc.OP13_SQL}
