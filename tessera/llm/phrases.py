@@ -125,7 +125,7 @@ class QuotientFilter:
         last = np.unpackbits(take((n + 7) // 8))[:n].astype(bool)
         run = np.cumsum(np.r_[0, last[:-1]]) if n else np.zeros(0, np.int64)
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, : (low + 7) // 8] = take(n * ((low + 7) // 8)).reshape(n, -1)
+        wide[:, : (low + 7) // 8] = take(n * ((low + 7) // 8)).reshape(n, (low + 7) // 8)
         x = wide.view("<u8").ravel() | (used[run].astype(_U) << _U(low))
         if skip:
             x |= _U(bucket) << _U(64 - skip)
@@ -162,7 +162,7 @@ class Words:
         piece = ends[self.start] if len(self.start) else np.zeros(0, np.int64)
         n = len(piece)
         self.follow = np.ones(n, np.int8)
-        for k in range(1, LONGEST):
+        for k in range(1, min(LONGEST, n)):
             self.follow[: n - k] += piece[k:] == piece[: n - k]
 
     def grams(self, k: int, at: np.ndarray) -> list[np.ndarray]:

@@ -182,7 +182,7 @@ def test_warc_round_trip(spark, tmp_path, segment):
     files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "archives").glob("part-*")]
     assert all(sum(1 for _ in warc.parse_records(f)) <= 4 for f in files)
     parts = [h for f in files for h, _ in warc.parse_records(f) if h["warc-type"] == "continuation"]
-    assert len(parts) >= (1 if segment > 1000 else 200) and sum("warc-segment-total-length" in h for h in parts) == sum(len((h or "").encode()) + 200 > segment for i, _, h in PAGES if i in (7, 10)) + (segment == 1000) * 0
+    assert len(parts) >= (1 if segment > 1000 else 200) and sum("warc-segment-total-length" in h for h in parts) == sum(len((h or "").encode()) + 200 > segment for i, _, h in PAGES if i in (7, 10))
 
 
 def test_warc_broken_archives(spark, tmp_path):
