@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import weighted_average_precision
-from .rank import top_k_multiplicity
+from ..functions.shared import stored
+from .draw_vectors import average_precisions, first_units, picked
 
 
 def stable_seed(*parts: Column) -> Column:
@@ -17,17 +18,10 @@ def stable_seed(*parts: Column) -> Column:
 def multiplicities(clusters: DataFrame, cluster: str, draws: int, seed: int) -> DataFrame:
     """(draw, cluster, m): how often each cluster comes in each draw of as many clusters as there are.
 
-    The slot's pick is a hash of (seed, draw, slot), so draws repeat whatever the partitioning. Clusters are numbered by
-    place in key order; only drawn ones are returned.
+    Only drawn clusters are returned; see picked.
     """
-    from ..functions.shared import global_rank, stored
-
-    numbered = stored(global_rank(clusters.select(cluster).distinct(), [F.col(cluster).asc()], "__number"), "clusters")
-    n = numbered.count()
-    slots = numbered.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(numbered.sparkSession.range(n).select(F.col("id").alias("slot")))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "slot")), 1, 15), 16, 10).cast("long") % F.lit(max(n, 1)) + 1
-    counts = slots.select("draw", pick.alias("__number")).groupBy("draw", "__number").agg(F.count("*").alias("m"))
-    return counts.join(numbered, "__number").select("draw", cluster, "m")
+    each = picked(clusters, cluster, draws, seed).select(cluster, F.explode("picks").alias("draw"))
+    return each.groupBy(F.col("draw").cast("long").alias("draw"), cluster).agg(F.count("*").alias("m")).select("draw", cluster, "m")
 
 
 def _interval(values: DataFrame, columns: list[str], draws: int, group: list[str]) -> DataFrame:
@@ -40,17 +34,16 @@ def _interval(values: DataFrame, columns: list[str], draws: int, group: list[str
     return values.groupBy(*group).agg(*out)
 
 
-def ap_draws(df: DataFrame, label: str, score: str, cluster: str, draws: DataFrame) -> DataFrame:
-    """(draw, average_precision): rows are first combined by cluster and score, and only then meet the draws."""
-    small = df.groupBy(cluster, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    joined = small.join(draws, cluster)
-    both = joined.select("draw", score, F.explode(F.array(F.struct(F.lit(1).alias("y"), (F.col("p") * F.col("m")).cast("double").alias("w")), F.struct(F.lit(0).alias("y"), ((F.col("n") - F.col("p")) * F.col("m")).cast("double").alias("w")))).alias("x")).select("draw", score, "x.y", "x.w")
-    return weighted_average_precision(both, "y", score, "w", ["draw"])
+def _by_draw(df: DataFrame, **columns: np.ndarray) -> DataFrame:
+    """(draw, columns): one row a draw; NaN as null."""
+    rows = [(d, *(None if np.isnan(x) else float(x) for x in r)) for d, r in enumerate(zip(*columns.values(), strict=True))]
+    return df.sparkSession.createDataFrame(rows, ", ".join(["draw long", *(f"{c} double" for c in columns)]))
 
 
 def ap_interval(df: DataFrame, label: str, score: str, cluster: str, draws: int, seed: int) -> DataFrame:
-    values = ap_draws(df, label, score, cluster, multiplicities(df, cluster, draws, seed))
-    return _interval(values, ["average_precision"], draws, [])
+    """Interval of the average precision over draws of clusters."""
+    ap = average_precisions(df, label, score, cluster, stored(picked(df, cluster, draws, seed), "picks"), draws)
+    return _interval(_by_draw(df, average_precision=ap), ["average_precision"], draws, [])
 
 
 def group_interval(stats: DataFrame, cluster: str, columns: list[str], draws: int, seed: int) -> DataFrame:
@@ -59,24 +52,27 @@ def group_interval(stats: DataFrame, cluster: str, columns: list[str], draws: in
     return _interval(values, columns, draws, [])
 
 
-def value_draws(df: DataFrame, order: list[Column], oracle: list[Column], value: str, cluster: str, k: int, draws: DataFrame) -> DataFrame:
-    """(draw, capture, oracle, gap, headroom): the first k units of each draw, a row counting as often as its cluster."""
-    rows = df.join(draws, cluster)
-    total = rows.groupBy("draw").agg(F.sum(F.col(value) * F.col("m")).alias("total"))
-    model = top_k_multiplicity(rows, order, "m", value, k, ["draw"]).select("draw", F.col("value").alias("model"))
-    best = top_k_multiplicity(rows, oracle, "m", value, k, ["draw"]).select("draw", F.col("value").alias("best"))
-    x = total.join(model, "draw").join(best, "draw")
-    return x.select("draw", F.try_divide("model", "total").alias("capture"), F.try_divide("best", "total").alias("oracle"), F.try_divide(F.col("best") - F.col("model"), F.col("total")).alias("gap"), (F.col("best") - F.col("model")).alias("headroom"))
-
+def value_interval(df: DataFrame, order: list[Column], oracle: list[Column], by: tuple[str, str], value: str, cluster: str, k: int, draws: int, seed: int) -> DataFrame:
+    """Intervals of the value that the first k units hold, of the most they could hold, and of their difference.
 
-def value_interval(df: DataFrame, order: list[Column], oracle: list[Column], value: str, cluster: str, k: int, draws: int, seed: int) -> DataFrame:
-    values = value_draws(df, order, oracle, value, cluster, k, multiplicities(df, cluster, draws, seed))
+    by: the columns that the two orders begin with, descending.
+    """
+    picks = stored(picked(df, cluster, draws, seed), "picks")
+    model, _, total = first_units(df, order, by[0], value, cluster, k, picks, draws)
+    best, _, _ = first_units(df, oracle, by[1], value, cluster, k, picks, draws)
+    share = lambda x: np.divide(x, total, out=np.full(draws, np.nan), where=total != 0)
+    values = _by_draw(df, capture=share(model), oracle=share(best), gap=share(best - model), headroom=best - model)
     return _interval(values, ["capture", "oracle", "gap", "headroom"], draws, [])
 
 
+def top_k_draws(df: DataFrame, order: list[Column], by: str, value: str, cluster: str, k: int, draws: int, seed: int) -> DataFrame:
+    """(draw, value, units) of the first k units of each draw."""
+    found, units, _ = first_units(df, order, by, value, cluster, k, stored(picked(df, cluster, draws, seed), "picks"), draws)
+    return _by_draw(df, value=found, units=units).withColumn("units", F.col("units").cast("long"))
+
+
 def paired_delta(df: DataFrame, label: str, left: str, right: str, cluster: str, draws: int, seed: int) -> DataFrame:
     """Interval of the difference of two scores' average precision on the same draws."""
-    m = multiplicities(df, cluster, draws, seed)
-    a = ap_draws(df, label, left, cluster, m).withColumnRenamed("average_precision", "a")
-    b = ap_draws(df, label, right, cluster, m).withColumnRenamed("average_precision", "b")
-    return _interval(a.join(b, "draw").select("draw", (F.col("a") - F.col("b")).alias("delta")), ["delta"], draws, [])
+    picks = stored(picked(df, cluster, draws, seed), "picks")
+    a, b = (average_precisions(df, label, c, cluster, picks, draws) for c in (left, right))
+    return _interval(_by_draw(df, delta=a - b), ["delta"], draws, [])

@@ -271,9 +271,9 @@ _MULT = """SELECT draw, i_iso, count(*) AS m FROM (SELECT draw, ('0x' || substr(
   JOIN (SELECT i_iso, row_number() OVER (ORDER BY i_iso) AS number FROM (SELECT DISTINCT i_iso FROM {t})) USING (number) GROUP BY ALL"""
 
 
-@query(_MULT.format(t="a_raw", n=50))
+@query(_MULT.format(t="a_raw", n=500))
 def cluster_multiplicities(s, d):
-    return B.multiplicities(V.track_a(s, d), "i_iso", 50, 7)
+    return B.multiplicities(V.track_a(s, d), "i_iso", 500, 7)
 
 
 def _ap_draws_sql(score: str) -> str:
@@ -282,42 +282,40 @@ def _ap_draws_sql(score: str) -> str:
 
 
 def _ci(c: str, col: str) -> str:
-    return f"count({col}) AS {c}_draws, round(CASE WHEN count({col}) >= 25 THEN quantile_cont({col}, 0.025) END, 8) AS {c}_low, round(CASE WHEN count({col}) >= 25 THEN quantile_cont({col}, 0.975) END, 8) AS {c}_high"
+    return f"count({col}) AS {c}_draws, round(CASE WHEN count({col}) >= 250 THEN quantile_cont({col}, 0.025) END, 8) AS {c}_low, round(CASE WHEN count({col}) >= 250 THEN quantile_cont({col}, 0.975) END, 8) AS {c}_high"
 
 
-@query(f"WITH mult AS ({_MULT.format(t='a_raw', n=50)}) SELECT {_ci('average_precision', 'ap')} FROM ({_ap_draws_sql(S9)})")
+@query(f"WITH mult AS ({_MULT.format(t='a_raw', n=500)}) SELECT {_ci('average_precision', 'ap')} FROM ({_ap_draws_sql(S9)})")
 def bootstrap_ap_ci(s, d):
-    return _rounded(B.ap_interval(_a(s, d), "y", "score", "i_iso", 50, 7), digits=8)
+    return _rounded(B.ap_interval(_a(s, d), "y", "score", "i_iso", 500, 7), digits=8)
 
 
-@query(f"WITH mult AS ({_MULT.format(t='a_raw', n=50)}) SELECT {_ci('delta', 'd')} FROM (SELECT a.ap - b.ap AS d FROM ({_ap_draws_sql(S9)}) a JOIN ({_ap_draws_sql('round(log_importer_demand, 9)')}) b USING (draw))")
+@query(f"WITH mult AS ({_MULT.format(t='a_raw', n=500)}) SELECT {_ci('delta', 'd')} FROM (SELECT a.ap - b.ap AS d FROM ({_ap_draws_sql(S9)}) a JOIN ({_ap_draws_sql('round(log_importer_demand, 9)')}) b USING (draw))")
 def paired_bootstrap_delta(s, d):
-    return _rounded(B.paired_delta(_a(s, d).withColumn("other", F.round("log_importer_demand", 9)), "y", "score", "other", "i_iso", 50, 7), digits=8)
+    return _rounded(B.paired_delta(_a(s, d).withColumn("other", F.round("log_importer_demand", 9)), "y", "score", "other", "i_iso", 500, 7), digits=8)
 
 
-@query(f"""WITH mult AS ({_MULT.format(t='b2_lanes', n=50)}), g AS ({_shares_sql(_PER_E, 'i_iso, stage', '(3)')}), x AS (SELECT draw, sum(hits / positives * m) / sum(m) AS recall, sum(captured / available * m) / sum(m) AS value FROM g JOIN mult USING (i_iso) GROUP BY draw)
+@query(f"""WITH mult AS ({_MULT.format(t='b2_lanes', n=500)}), g AS ({_shares_sql(_PER_E, 'i_iso, stage', '(3)')}), x AS (SELECT draw, sum(hits / positives * m) / sum(m) AS recall, sum(captured / available * m) / sum(m) AS value FROM g JOIN mult USING (i_iso) GROUP BY draw)
   SELECT {_ci('recall', 'recall')}, {_ci('value', 'value')} FROM x""")
 def bootstrap_group_ci(s, d):
     g = M.group_shares(_b2(s, d), C.ENTRY, "y", "lateval", R.canonical("score", "B2"), [3]).withColumns({"recall": F.col("hits") / F.col("positives"), "value": F.try_divide("captured", "available")})
-    return _rounded(B.group_interval(g, "i_iso", ["recall", "value"], 50, 7), digits=8)
+    return _rounded(B.group_interval(g, "i_iso", ["recall", "value"], 500, 7), digits=8)
 
 
 def _taken(order: str) -> str:
     return f"SELECT draw, sum(least(m, greatest(0, 200 - (upto - m))) * lateval) AS v FROM (SELECT draw, m, lateval, sum(m) OVER (PARTITION BY draw ORDER BY {order} DESC, i_iso, stage, j_iso) AS upto FROM a_lanes JOIN mult USING (i_iso)) GROUP BY draw"
 
 
-@query(f"""WITH mult AS ({_MULT.format(t='a_raw', n=50)}), x AS (SELECT a.v / nullif(t.v, 0) AS capture, b.v / nullif(t.v, 0) AS oracle, (b.v - a.v) / nullif(t.v, 0) AS gap FROM ({_taken(S9)}) a JOIN ({_taken('lateval')}) b USING (draw) JOIN (SELECT draw, sum(lateval * m) AS v FROM a_lanes JOIN mult USING (i_iso) GROUP BY draw) t USING (draw))
+@query(f"""WITH mult AS ({_MULT.format(t='a_raw', n=500)}), x AS (SELECT a.v / nullif(t.v, 0) AS capture, b.v / nullif(t.v, 0) AS oracle, (b.v - a.v) / nullif(t.v, 0) AS gap FROM ({_taken(S9)}) a JOIN ({_taken('lateval')}) b USING (draw) JOIN (SELECT draw, sum(lateval * m) AS v FROM a_lanes JOIN mult USING (i_iso) GROUP BY draw) t USING (draw))
   SELECT {_ci('capture', 'capture')}, {_ci('oracle', 'oracle')}, {_ci('gap', 'gap')} FROM x""")
 def bootstrap_value_ci(s, d):
-    x = B.value_interval(_a(s, d), R.canonical("score", "A"), R.canonical("lateval", "A"), "lateval", "i_iso", 200, 50, 7)
+    x = B.value_interval(_a(s, d), R.canonical("score", "A"), R.canonical("lateval", "A"), ("score", "lateval"), "lateval", "i_iso", 200, 500, 7)
     return _rounded(x.drop(*[c for c in x.columns if c.startswith("headroom")]), digits=8)
 
 
-@query(f"WITH mult AS ({_MULT.format(t='a_raw', n=5)}) SELECT draw, round(sum(least(m, greatest(0, 200 - (upto - m))) * lateval), 5) AS value, CAST(sum(least(m, greatest(0, 200 - (upto - m)))) AS BIGINT) AS units FROM (SELECT draw, m, lateval, sum(m) OVER (PARTITION BY draw ORDER BY {S9} DESC, i_iso, stage, j_iso) AS upto FROM a_lanes JOIN mult USING (i_iso)) GROUP BY draw")
+@query(f"WITH mult AS ({_MULT.format(t='a_raw', n=500)}) SELECT draw, round(sum(least(m, greatest(0, 200 - (upto - m))) * lateval), 5) AS value, CAST(sum(least(m, greatest(0, 200 - (upto - m)))) AS BIGINT) AS units FROM (SELECT draw, m, lateval, sum(m) OVER (PARTITION BY draw ORDER BY {S9} DESC, i_iso, stage, j_iso) AS upto FROM a_lanes JOIN mult USING (i_iso)) GROUP BY draw")
 def topk_multiplicity(s, d):
-    a = _a(s, d)
-    rows = a.join(B.multiplicities(a, "i_iso", 5, 7), "i_iso")
-    return R.top_k_multiplicity(rows, R.canonical("score", "A"), "m", "lateval", 200, ["draw"]).select("draw", F.round("value", 5).alias("value"), "units")
+    return B.top_k_draws(_a(s, d), R.canonical("score", "A"), "score", "lateval", "i_iso", 200, 500, 7).withColumn("value", F.round("value", 5))
 
 
 @query("SELECT DISTINCT stage, CAST(('0x' || substr(sha256('7|' || stage), 1, 15))::BIGINT % 2147483647 AS BIGINT) AS seed FROM a_raw")

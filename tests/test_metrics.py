@@ -84,3 +84,45 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "i_iso string, stage string, j_iso string, y int, lateval double, score double")
     assert M.average_precision(df, "y", "score", ["stage"]).collect() == []
     assert M.budget_metrics(df, "y", "lateval", R.canonical("score", "A"), [5]).first().found == 0
+
+
+def test_draw_vectors_against_plain_draws(spark):
+    """Ties, a cluster with a third of the rows, missing scores and many pieces, against one draw after another in numpy."""
+    import numpy as np
+
+    from tessera.operators import draw_vectors as D
+
+    rng = np.random.default_rng(6)
+    rows = [(f"c{0 if k % 3 == 0 else int(rng.integers(1, 9))}", None if k % 50 == 7 else float(rng.integers(0, 25)), int(rng.random() < 0.3), float(rng.random()), k) for k in range(600)]
+    df = spark.createDataFrame(rows, "c string, s double, y int, v double, k int").repartition(5)
+    draws = 40
+    picks = D.picked(df, "c", draws, 7)
+    times = {r.c: np.bincount(r.picks, minlength=draws) for r in picks.collect()}
+    assert (sum(times.values()) == 9).all()
+    m = np.array([times.get(r[0], np.zeros(draws, int)) for r in rows])
+    score = np.array([-np.inf if r[1] is None else r[1] for r in rows])
+    y, v = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    ap = D.average_precisions(df, "y", "s", "c", picks, draws)
+    value, units, total = D.first_units(df, [F.col("s").desc(), F.col("k").asc()], "s", "v", "c", 50, picks, draws)
+    order = sorted(range(len(rows)), key=lambda k: (-score[k], k))
+    for d in range(draws):
+        w = m[:, d]
+        want = sum((w * y)[score == x].sum() * (w * y)[score >= x].sum() / max(w[score >= x].sum(), 1) for x in set(score)) / (w * y).sum()
+        assert ap[d] == pytest.approx(want)
+        left, got = 50, 0.0
+        for k in order:
+            take = min(left, w[k])
+            got, left = got + take * v[k], left - take
+        assert value[d] == pytest.approx(got) and units[d] == 50 and total[d] == pytest.approx((w * v).sum())
+
+
+def test_draw_vectors_one_class_and_empty(spark):
+    import numpy as np
+
+    from tessera.operators import draw_vectors as D
+
+    df = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1)], "c string, s double, y int")
+    assert np.isnan(D.average_precisions(df, "y", "s", "c", D.picked(df, "c", 5, 1), 5)).all()
+    none = df.where("false")
+    assert np.isnan(D.average_precisions(none, "y", "s", "c", D.picked(none, "c", 5, 1), 5)).all()
+    assert D.first_units(none, [F.col("s").desc()], "s", "y", "c", 3, D.picked(none, "c", 5, 1), 5)[1].tolist() == [0.0] * 5
