@@ -138,27 +138,6 @@ def rca_membership(totals: DataFrame, i: str = "i_iso", p: str = "p", v: str = "
     return x.where((F.col("__r") > 0) & (F.col("__c") > 0) & (F.round(rca, 9) >= 1)).select(i, p)
 
 
-def cooccurrence(members: DataFrame, targets: DataFrame | None = None, i: str = "i_iso", p: str = "p") -> DataFrame:
-    """(p, q, n): exporters that are members in both; the left side is cut to the targets before the self join."""
-    left = members if targets is None else members.join(targets.select(p), p, "left_semi")
-    pairs = left.join(members.select(i, F.col(p).alias("q")), i)
-    return pairs.groupBy(p, "q").agg(F.count("*").alias("n"))
-
-
-def proximity(members: DataFrame, targets: DataFrame | None = None, i: str = "i_iso", p: str = "p") -> DataFrame:
-    """(p, q, proximity): cooccurrence over the larger ubiquity, a product's relation to itself left out."""
-    u = members.groupBy(p).agg(F.count("*").alias("u"))
-    x = cooccurrence(members, targets, i, p).where(F.col(p) != F.col("q")).join(u.toDF(p, "up"), p).join(u.toDF("q", "uq"), "q")
-    return x.select(p, "q", (F.col("n") / F.greatest("up", "uq")).alias("proximity"))
-
-
-def density(members: DataFrame, prox: DataFrame, i: str = "i_iso", p: str = "p") -> DataFrame:
-    """(i, p, density): share of a target's proximity that falls on the exporter's products; pairs without any are absent (0)."""
-    total = prox.groupBy(p).agg(F.sum("proximity").alias("__t")).where("__t > 0")
-    held = prox.join(members.select(i, F.col(p).alias("q")), "q").groupBy(i, p).agg(F.sum("proximity").alias("__n"))
-    return held.join(total, p).select(i, p, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__n") / F.col("__t"))).alias("density"))
-
-
 def stage_density(entries: DataFrame, dens: DataFrame, stage_products: DataFrame, i: str = "i_iso", p: str = "p") -> DataFrame:
     """entries (i, stage) with score: mean density over the stage's products; unknown exporters and products count 0."""
     products = stage_products.groupBy("stage").agg(F.count("*").alias("__k"))

@@ -8,6 +8,7 @@ from ..functions.shared import stored
 from ..operators import cohorts as C
 from ..operators import graph as G
 from ..operators import panel as P
+from ..operators import product_space as PS
 from . import views as V
 from .registry import query
 
@@ -183,17 +184,17 @@ def rca_membership(s, d):
 @query(f"WITH {_PROX} SELECT p, q, n FROM co")
 def product_cooccurrence(s, d):
     m = _members(s, d)
-    return G.cooccurrence(m, _targets(s, m))
+    return PS.cooccurrence(m, _targets(s, m))
 
 
 @query(f"WITH {_PROX} SELECT p, q, round(proximity, 9) AS proximity FROM prox")
 def product_proximity(s, d):
     m = _members(s, d)
-    return G.proximity(m, _targets(s, m)).withColumn("proximity", F.round("proximity", 9))
+    return PS.proximity(m, _targets(s, m)).withColumn("proximity", F.round("proximity", 9))
 
 
 def _density(s, m):
-    return G.density(m, stored(G.proximity(m, _targets(s, m)), "proximity"))
+    return PS.density(m, stored(PS.proximity(m, _targets(s, m)), "proximity"))
 
 
 @query(f"WITH {_DENS} SELECT i_iso, p, round(density, 8) AS density FROM dens")
