@@ -1,4 +1,4 @@
-"""Baselines fitted on a historical fold and frozen before a later fold is scored; MLlib throughout."""
+"""Baselines fitted on a historical fold and frozen before a later fold is scored."""
 
 from __future__ import annotations
 
@@ -8,12 +8,7 @@ from functools import reduce
 
 import numpy as np
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,32 +16,75 @@ from .metrics import average_precision
 from .rank import exact_quantiles
 
 
-def gravity_ppml(dyads: DataFrame, continuous: list[str], flags: list[str], value: str = "v", group: str = "stage", reg: float = 1e-4) -> DataFrame:
+def gravity_ppml(dyads: DataFrame, continuous: list[str], flags: list[str], value: str = "v", group: str = "stage", reg: float = 1e-4, passes: int = 25) -> DataFrame:
     """dyads with grav: Poisson pseudo-likelihood fit of flows (in millions, zeros included) for each group.
 
-    One regression for all groups would share coefficients, so each group is fitted on its own rows; groups are registry
-    stages, few and known. A group without any flow gets null.
+    Each group has coefficients of its own. All groups are fitted together: a pass over the dyads gives every group's
+    gradient, curvature and objective as sums, of one row a group, and a Newton step follows on the driver; a step that
+    made a group's objective worse is halved. The penalty is on the mean objective and spares the intercept. Groups are
+    registry stages, few and known; one without any flow gets null. Raises if a group has not converged after the passes.
     """
-    groups = [r[0] for r in dyads.groupBy(group).agg(F.sum(value).alias("s")).where("s > 0").select(group).orderBy(group).collect()]
+    names = [*(f"z_{c}" for c in continuous), *flags, "__1"]
+    d = len(names)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
     stats = dyads.agg(*[f(c).alias(f"{n}_{c}") for c in continuous for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    z = dyads.withColumns({f"z_{c}": (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit((stats[f"s_{c}"] or 0.0) + 1e-9) for c in continuous}).withColumn("__y", F.col(value) / 1e6)
-    x = VectorAssembler(inputCols=[*[f"z_{c}" for c in continuous], *flags], outputCol="__x").transform(z)
-    glm = GeneralizedLinearRegression(family="poisson", link="log", regParam=reg, maxIter=25, featuresCol="__x", labelCol="__y", predictionCol="grav")
-    parts = [glm.fit(rows).transform(rows).select(*dyads.columns, "grav") for rows in (x.where(F.col(group) == g) for g in groups)]
-    empty = dyads.where(~F.col(group).isin(*groups)).withColumn("grav", F.lit(None).cast("double"))
-    for p in parts:
-        empty = empty.unionByName(p)
-    return empty
+    z = dyads.withColumns({f"z_{c}": (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit((stats[f"s_{c}"] or 0.0) + 1e-9) for c in continuous} | {"__y": F.col(value) / 1e6, "__1": F.lit(1.0)})
+    fits = {r[0]: _Poisson(r["n"], r["s"], d) for r in z.groupBy(group).agg(F.count("*").alias("n"), F.sum("__y").alias("s")).where("s > 0").collect()}
+    eta = lambda: reduce(lambda a, b: a + b, [F.col(n) * F.col("__beta")[k] for k, n in enumerate(names)])
+
+    def joined(kind: str, of: dict):
+        table = dyads.sparkSession.createDataFrame([(g, m.beta.tolist()) for g, m in of.items()], f"__g {dyads.schema[group].dataType.simpleString()}, __beta array<double>")
+        return z.join(F.broadcast(table), F.col(group) == F.col("__g"), kind)
+
+    for _ in range(passes):
+        moving = {g: m for g, m in fits.items() if not m.done}
+        if not moving:
+            break
+        x = joined("inner", moving).withColumn("__eta", eta()).withColumn("__mu", F.exp("__eta"))
+        sums = x.groupBy(group).agg(
+            F.sum(F.col("__mu") - F.col("__y") * F.col("__eta")).alias("loss"), *[F.sum((F.col("__mu") - F.col("__y")) * F.col(n)).alias(f"g{k}") for k, n in enumerate(names)],
+            *[F.sum(F.col("__mu") * F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}") for i, j in pairs],
+        )
+        for r in sums.collect():
+            fits[r[group]].move(r, pairs, reg)
+    late = sorted(str(g) for g, m in fits.items() if not m.done)
+    if late:
+        raise ValueError(f"no convergence after {passes} passes: {late[:5]}")
+    return (joined("left", fits) if fits else z.withColumn("__beta", F.lit(None).cast("array<double>"))).select(*dyads.columns, F.exp(eta()).alias("grav"))
+
+
+class _Poisson:
+    """A group's coefficients on their way: the point of least objective so far, and the point that is tried."""
+
+    def __init__(self, n: int, total: float, d: int) -> None:
+        self.n, self.loss, self.done = n, math.inf, False
+        self.beta = np.zeros(d)
+        self.beta[-1] = math.log(total / n)
+        self.best, self.step = self.beta, None
+
+    def move(self, r, pairs: list[tuple[int, int]], reg: float) -> None:
+        d = len(self.beta)
+        penalty = np.r_[np.full(d - 1, reg), 0.0]
+        loss = r["loss"] / self.n + (penalty * self.beta**2).sum() / 2
+        if not loss <= self.loss + 1e-12 * abs(loss):
+            self.step = self.step / 2
+        else:
+            h = np.diag(penalty)
+            for i, j in pairs:
+                h[i, j] = h[j, i] = r[f"h{i}_{j}"] / self.n + (penalty[i] if i == j else 0.0)
+            g = np.array([r[f"g{k}"] for k in range(d)]) / self.n + penalty * self.beta
+            self.best, self.loss, self.step = self.beta, loss, np.linalg.lstsq(h, g, rcond=None)[0]
+        self.done = bool(np.abs(self.step).max() < 1e-9)
+        self.beta = self.best - self.step
 
 
 @dataclass
 class Frozen:
-    """Everything learned on history: medians of features, those with a missing flag, and the fitted pipeline."""
+    """Everything learned on history: medians of features, those with a missing flag, and the fitted model."""
 
     features: list[str]
     medians: dict[str, float]
     flagged: list[str]
-    model: PipelineModel | None = None
     choice: dict = field(default_factory=dict)
 
     def prepare(self, df: DataFrame) -> DataFrame:
@@ -58,11 +96,6 @@ class Frozen:
     def inputs(self) -> list[str]:
         return [*[f"{c}__filled" for c in self.features], *[f"{c}__missing" for c in self.flagged]]
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """df with score; no label is read."""
-        done = self.model.transform(self.prepare(df))
-        return done.withColumn("score", vector_to_array("probability")[1]).select(*df.columns, "score")
-
 
 def freeze_medians(history: DataFrame, features: list[str]) -> Frozen:
     """Exact medians of history, 0 where a feature is all missing."""
@@ -94,36 +127,6 @@ def group_folds(df: DataFrame, group: str, label: str, most: int = 5, salt: str
     raise ValueError("no number of folds has both classes in each")
 
 
-def _pipeline(frozen: Frozen, rows: DataFrame, estimator, label: str) -> PipelineModel:
-    from pyspark.ml import Pipeline
-
-    n = rows.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("p")).first()
-    p = n.p or 0.0
-    weight = F.when(F.col(label) == 1, n.n / (2 * max(p, 1.0))).otherwise(n.n / (2 * max(n.n - p, 1.0)))
-    stages = [VectorAssembler(inputCols=frozen.inputs, outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True), estimator]
-    return Pipeline(stages=stages).fit(frozen.prepare(rows).withColumns({"weight": weight, "label": F.col(label).cast("double")}))
-
-
-def _select(history: DataFrame, features: list[str], label: str, group: str, grid: list[dict], make) -> Frozen:
-    """The grid point of best mean average precision over grouped folds; the first declared wins ties; refit on all."""
-    frozen = freeze_medians(history, features)
-    rows, k = group_folds(history, group, label)
-    rows = rows.cache()
-    best, chosen = -1.0, grid[0]
-    for point in grid if k else []:
-        total = 0.0
-        for f in range(k):
-            train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
-            part = Frozen(frozen.features, frozen.medians, frozen.flagged, _pipeline(frozen, train, make(point, train.count()), label))
-            total += average_precision(part.score(test), label, "score").first().average_precision or 0.0
-        if total / k > best + 1e-12:
-            best, chosen = total / k, point
-    frozen.model = _pipeline(frozen, history, make(chosen, history.count()), label)
-    frozen.choice = chosen | {"folds": k, "cv_average_precision": best}
-    rows.unpersist()
-    return frozen
-
-
 def _standard(rows: DataFrame, inputs: list[str], by: list[str]) -> list:
     """Per group: count, positives, and each input's sum and sum of squares."""
     x = lambda c: F.col(c).cast("double")
@@ -234,15 +237,6 @@ def logistic_select(history: DataFrame, features: list[str], label: str, group:
     return chosen
 
 
-def gbdt_select(history: DataFrame, features: list[str], label: str, group: str, grid: list[dict] | None = None) -> Frozen:
-    """Gradient-boosted trees over a small grid; depth-bounded, where leaf-bounded libraries differ.
-
-    The default grid are the four declared points, of 3, 7, 7 and 15 leaves.
-    """
-    grid = grid or [{"depth": 2, "rounds": 100}, {"depth": 3, "rounds": 100}, {"depth": 3, "rounds": 200}, {"depth": 4, "rounds": 200}]
-    return _select(history, features, label, group, grid, lambda p, n: GBTClassifier(maxDepth=p["depth"], maxIter=p["rounds"], stepSize=0.1, seed=7, weightCol="weight"))
-
-
 def latent_factors(lanes: DataFrame, pairs: DataFrame, rank: int = 8, seed: int = 7) -> DataFrame:
     """pairs (i_iso, stage, j_iso) with score: implicit-feedback factors of exporters against (stage, importer) items."""
     from .graph import entity_ids

@@ -6,16 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def in_window(raw: DataFrame, years: list[int], year_col: str = "year", strict: bool = False, needs: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of the years. No years, repeated years and missing columns are errors; so is, if strict, a row of another year
+    or without one, in the job that reads the rows."""
+    if not years or len(set(years)) != len(years):
+        raise ValueError(f"years must be given and unique, got {years}")
+    if missing := [c for c in (*needs, year_col) if c not in raw.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    inside = F.coalesce(F.col(year_col).isin(*years), F.lit(False))
+    if strict:
+        inside = F.when(inside, True).otherwise(F.raise_error(F.concat(F.lit("row outside the window: "), F.coalesce(F.col(year_col).cast("string"), F.lit("null")))).cast("boolean"))
+    return raw.where(inside)
+
+
 def _years(df: DataFrame, years: list[int], year_col: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(y) for y in years])).alias(year_col))
 
 
-def stage_year_totals(raw: DataFrame, years: list[int], keys: list[str], year_col: str = "year", value_col: str = "v", expected: DataFrame | None = None) -> DataFrame:
+def stage_year_totals(raw: DataFrame, years: list[int], keys: list[str], year_col: str = "year", value_col: str = "v", expected: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Sum of products for each key and requested year, zeros filled in; null keys are keys.
 
     expected: keys to materialise even where raw lacks them. The years are a literal, so the crossing is a small explode.
     """
-    totals = raw.where(F.col(year_col).isin(*years)).groupBy(*keys, year_col).agg(F.sum(value_col).alias(value_col))
+    totals = in_window(raw, years, year_col, strict, (*keys, value_col)).groupBy(*keys, year_col).agg(F.sum(value_col).alias(value_col))
     known = totals.select(*keys)
     if expected is not None:
         known = known.unionByName(expected.select(*keys))
@@ -26,12 +39,12 @@ def stage_year_totals(raw: DataFrame, years: list[int], keys: list[str], year_co
     return joined.select(*names, F.coalesce("__total", F.lit(0)).alias(value_col))
 
 
-def window_calendar_mean(raw: DataFrame, years: list[int], keys: list[str], year_col: str = "year", value_col: str = "v", expected: DataFrame | None = None) -> DataFrame:
+def window_calendar_mean(raw: DataFrame, years: list[int], keys: list[str], year_col: str = "year", value_col: str = "v", expected: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Window total of each key over the number of requested years, not of years present.
 
     Zeros add nothing to a sum, so the dense panel is never built: one aggregation, plus a union for expected keys.
     """
-    rows = raw.where(F.col(year_col).isin(*years)).select(*keys, value_col)
+    rows = in_window(raw, years, year_col, strict, (*keys, value_col)).select(*keys, value_col)
     if expected is not None:
         rows = rows.unionByName(expected.select(*keys, F.lit(0).cast(raw.schema[value_col].dataType).alias(value_col)))
     return rows.groupBy(*keys).agg((F.sum(value_col).cast("double") / len(years)).alias(value_col))
@@ -42,15 +55,16 @@ def window_pair(raw: DataFrame, early: list[int], late: list[int], keys: list[st
     from ..functions.shared import stored
 
     total = lambda years: F.sum(F.when(F.col(year_col).isin(*years), F.col(value_col)))
+    in_window(raw, early, year_col), in_window(raw, late, year_col)
     sums = raw.where(F.col(year_col).isin(*early, *late)).groupBy(*keys).agg(total(early).alias("__e"), total(late).alias("__l"))
     both = stored(sums, "windows")
     return tuple(both.where(F.col(c).isNotNull()).select(*keys, (F.col(c).cast("double") / len(y)).alias(value_col)) for c, y in (("__e", early), ("__l", late)))
 
 
-def window_present_mean(raw: DataFrame, years: list[int], keys: list[str], product_col: str = "k", year_col: str = "year", value_col: str = "v") -> DataFrame:
+def window_present_mean(raw: DataFrame, years: list[int], keys: list[str], product_col: str = "k", year_col: str = "year", value_col: str = "v", strict: bool = False) -> DataFrame:
     """The older rule: each product's mean over the years in which it is present, summed over products."""
-    yearly = raw.where(F.col(year_col).isin(*years)).groupBy(*keys, product_col, year_col).agg(F.sum(value_col).cast("double").alias(value_col))
-    means = yearly.groupBy(*keys, product_col).agg(F.avg(value_col).alias(value_col))
+    yearly = in_window(raw, years, year_col, strict, (*keys, product_col, value_col)).groupBy(*dict.fromkeys([*keys, product_col]), year_col).agg(F.sum(value_col).cast("double").alias(value_col))
+    means = yearly.groupBy(*dict.fromkeys([*keys, product_col])).agg(F.avg(value_col).alias(value_col))
     return means.groupBy(*keys).agg(F.sum(value_col).alias(value_col))
 
 
@@ -59,12 +73,18 @@ def active(window: DataFrame, threshold: float, value_col: str = "v") -> DataFra
     return window.where(F.col(value_col) > threshold)
 
 
-def load_window(flows: DataFrame, stages: DataFrame, years: list[int], stage_threshold: float, product_threshold: float, dissolved: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """The active (i, j, stage) and (i, j, k) lanes of a window: registered products only, dissolved ends dropped."""
-    rows = flows.drop("stage").join(F.broadcast(stages.select(F.col("code").alias("k"), "stage")), "k")
+def load_window(flows: DataFrame, stages: DataFrame, years: list[int], stage_threshold: float, product_threshold: float, dissolved: list[str] = (), mode: str = "calendar", digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The active (i, j, stage) and (i, j, k) lanes of a window: registered products only, dissolved ends dropped.
+
+    stages: (code, stage) of the registry, codes of the first `digits` of a flow's product code. mode: `calendar` divides by the
+    years of the window, `legacy` takes each product's mean over the years in which it is present.
+    """
+    if mode not in ("calendar", "legacy"):
+        raise ValueError(f"mode must be calendar or legacy, got {mode}")
+    rows = flows.drop("stage").withColumn("__code", F.substring("k", 1, digits)).join(stages.select(F.col("code").alias("__code"), "stage"), "__code").drop("__code")
     rows = drop_entities(rows, list(dissolved), ["i_iso", "j_iso"])
-    by_stage = window_calendar_mean(rows, years, ["i_iso", "j_iso", "stage"])
-    by_product = window_calendar_mean(rows, years, ["i_iso", "j_iso", "k"])
+    mean = window_calendar_mean if mode == "calendar" else window_present_mean
+    by_stage, by_product = (mean(rows, years, ["i_iso", "j_iso", c]) for c in ("stage", "k"))
     return active(by_stage, stage_threshold), active(by_product, product_threshold)
 
 

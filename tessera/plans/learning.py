@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import stored
+from ..operators import boosting as BO
 from ..operators import cohorts as C
 from ..operators import metrics as M
 from ..operators import models as L
@@ -52,7 +53,7 @@ def gravity_ppml(s, d):
     sums = P.window_calendar_mean(f, [1997, 1998], C.LANE)
     stages = V.registry(s).select(F.explode(F.map_keys("stages")).alias("stage"))
     dyads = pairs.crossJoin(F.broadcast(stages)).join(sums, C.LANE, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    dyads = stored(dyads, "dyads")  # each stage's fit passes over its rows many times
+    dyads = stored(dyads, "dyads")  # each step of the fit passes over them
     return L.gravity_ppml(dyads, ["log_dist"], ["contig", "comlang"]).select(*C.LANE, "v", "grav")
 
 
@@ -87,9 +88,7 @@ def logistic_select(s, d):
 
 @query()
 def gbdt_select(s, d):
-    # the four declared points with a twentieth of their rounds, as each round is a Spark job of its own
-    grid = [{"depth": 2, "rounds": 5}, {"depth": 3, "rounds": 5}, {"depth": 3, "rounds": 10}, {"depth": 4, "rounds": 10}]
-    _, x = _scored(s, d, lambda *a: L.gbdt_select(*a, grid=grid))
+    _, x = _scored(s, d, BO.gbdt_select)
     return x.select(*C.LANE, "y", "score")
 
 

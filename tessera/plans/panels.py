@@ -99,12 +99,17 @@ def window_present_mean(s, d):
     return P.window_present_mean(V.flows(s, d), EARLY, ["i_iso", "stage"]).select("i_iso", "stage", r("v"))
 
 
-@query("""SELECT 'stage' AS level, i_iso, j_iso, stage AS code, round(v, 5) AS v FROM early UNION ALL
-  SELECT 'product', i_iso, j_iso, k, round(v, 5) FROM (SELECT i_iso, j_iso, k, CAST(sum(v) AS DOUBLE) / 2 AS v FROM flows WHERE year IN (1997, 1998) GROUP BY ALL) WHERE v > 25000""")
+_REGISTERED = "(SELECT f.* FROM flows f JOIN stages USING (stage) WHERE chain <> 'c4')"
+
+
+@query(f"""SELECT 'stage' AS level, i_iso, j_iso, stage AS code, round(v, 5) AS v FROM (SELECT i_iso, j_iso, stage, CAST(sum(v) AS DOUBLE) / 2 AS v FROM {_REGISTERED} WHERE year IN (1997, 1998) GROUP BY ALL) WHERE v > 50000 UNION ALL
+  SELECT 'product', i_iso, j_iso, k, round(v, 5) FROM (SELECT i_iso, j_iso, k, CAST(sum(v) AS DOUBLE) / 2 AS v FROM {_REGISTERED} WHERE year IN (1997, 1998) GROUP BY ALL) WHERE v > 25000""")
 def load_window(s, d):
-    f = V.flows(s, d)
-    codes = f.select(F.col("k").alias("code"), "stage").distinct()
-    stage, product = P.load_window(f, codes, EARLY, V.THRESHOLD, V.THRESHOLD / 2)
+    from ..sources.tables import stage_edges
+
+    # the documents of four of the five chains: flows of the fifth are not registered
+    codes = stage_edges(V.registry(s).where("id <> 'c4'")).select("code", "stage")
+    stage, product = P.load_window(V.flows(s, d), codes, EARLY, V.THRESHOLD, V.THRESHOLD / 2, digits=4)
     both = stage.select(F.lit("stage").alias("level"), "i_iso", "j_iso", F.col("stage").alias("code"), "v")
     return both.unionByName(product.select(F.lit("product").alias("level"), "i_iso", "j_iso", F.col("k").alias("code"), "v")).select("level", "i_iso", "j_iso", "code", r("v"))
 

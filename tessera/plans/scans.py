@@ -5,9 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.shared import shared_dir
+from ..functions.shared import shared_dir, stored
 from ..operators import cohorts as C
+from ..sources import archives as A
+from ..sources import intake as I
 from ..sources import tables as S
 from . import views as V
 from .registry import query
@@ -28,8 +31,8 @@ def _path(s, name):
 @query(f"SELECT year, count(*) AS n, round(sum(v), 2) AS v FROM ({_FLOW}) WHERE year IN (1997, 1998) GROUP BY year")
 def scan_flows(s, d):
     path = _path(s, "flows")
-    _raw(s, d).write.partitionBy("year").parquet(path)
-    return S.read_flows(s, path, [1997, 1998]).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("v"))
+    A.write_archives(_raw(s, d), path)
+    return A.read_archives(s, path, [1997, 1998]).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("v"))
 
 
 @query(f"SELECT year, count(*) AS n, round(sum(v), 2) AS v FROM ({_FLOW}) WHERE CAST(k AS BIGINT) % 3 = 0 GROUP BY year")
@@ -77,15 +80,15 @@ def scan_task_table(s, d):
     path = _path(s, "task")
     lanes = V.track_a(s, d).select(*C.LANE, "y", "lateval")
     lanes.write.parquet(path)
-    return s.read.schema(lanes.schema).parquet(path).groupBy("stage").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+    return I.read_closed(s, path, T.StructType([T.StructField(c, t) for c, t in (*((k, T.StringType()) for k in C.LANE), ("y", T.IntegerType()), ("lateval", T.DoubleType()))])).groupBy("stage").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
 
 
 @query("SELECT count(*) AS n, round(sum(size), 5) AS total FROM a_lanes")
 def scan_scores(s, d):
     path = _path(s, "scores")
-    V.track_a(s, d).select(*C.LANE, F.col("size").alias("score")).write.option("header", True).csv(path)
-    x = s.read.schema("i_iso string, j_iso string, stage string, score double").option("header", True).csv(path)
-    return x.agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("total"))
+    lanes = stored(V.track_a(s, d), "lanes")
+    lanes.select(*C.LANE, F.col("size").alias("score")).write.option("header", True).csv(path)
+    return I.read_scores(s, path, lanes.select(*C.LANE), C.LANE).agg(F.count("score").alias("n"), F.round(F.sum("score"), 5).alias("total"))
 
 
 @query("SELECT i_iso, j_iso, stage FROM a_raw")

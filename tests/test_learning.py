@@ -65,3 +65,73 @@ def test_exact_quantiles(lanes):
     shares = [0, 0.1, 0.25, 0.5, 0.9, 1]
     assert R.exact_quantiles(lanes, "a", shares) == pytest.approx(np.quantile([r.a for r in lanes.collect()], shares))
     assert R.exact_quantiles(lanes.where("false"), "a", [0.5]) == [None]
+
+
+def test_gravity_coefficients(spark):
+    """Against Newton's method in numpy, group by group; a group without flows has no fit."""
+    rng = np.random.default_rng(5)
+    rows = [(f"g{k % 3}", float(rng.normal(8, 2)), int(rng.random() < 0.4), float(rng.poisson(np.exp(1 - 0.3 * (k % 3)))) * 1e6 * (k % 3 < 2)) for k in range(900)]
+    df = spark.createDataFrame(rows, "stage string, log_dist double, contig int, v double").repartition(3)
+    got = L.gravity_ppml(df, ["log_dist"], ["contig"]).collect()
+    assert len(got) == 900 and all((r.grav is None) == (r.stage == "g2") for r in got)
+    a = np.array([r[1] for r in rows])
+    for g in ("g0", "g1"):
+        own = [k for k, r in enumerate(rows) if r[0] == g]
+        x = np.column_stack([(a[own] - a.mean()) / (a.std() + 1e-9), [rows[k][2] for k in own], np.ones(len(own))])
+        y, beta, reg = np.array([rows[k][3] / 1e6 for k in own]), np.zeros(3), np.diag([1e-4, 1e-4, 0])
+        for _ in range(60):
+            mu = np.exp(x @ beta)
+            beta = beta - np.linalg.solve((x.T * mu) @ x / len(y) + reg, x.T @ (mu - y) / len(y) + reg @ beta)
+        want = {(r[1], r[2]): np.exp(v @ beta) for r, v in zip((rows[k] for k in own), x, strict=True)}
+        assert all(r.grav == pytest.approx(want[(r.log_dist, r.contig)], rel=1e-6) for r in got if r.stage == g)
+
+
+def plain_boost(x, y, leaves, rounds, least=20, rate=0.05, penalty=1.0):
+    """Row by row, all splits of all leaves tried anew each time."""
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    z = np.full(len(y), np.log((w * y).sum() / (w * (1 - y)).sum()))
+    for _ in range(rounds):
+        mu = 1 / (1 + np.exp(-z))
+        g, h = w * (mu - y), w * mu * (1 - mu)
+        value = lambda r: g[r].sum() ** 2 / (h[r].sum() + penalty)  # noqa: E731, B023
+        own = [np.arange(len(y))]
+        while len(own) < leaves:
+            found = [
+                (value(r[x[r, f] <= c]) + value(r[x[r, f] > c]) - value(r), -k, -f, -c) for k, r in enumerate(own) for f in range(x.shape[1]) for c in np.unique(x[r, f])[:-1]
+                if (x[r, f] <= c).sum() >= least and (x[r, f] > c).sum() >= least
+            ]
+            if not found or max(found)[0] <= 1e-12:
+                break
+            _, k, f, c = max(found)
+            r = own.pop(-k)
+            own += [r[x[r, -f] <= -c], r[x[r, -f] > -c]]
+        for r in own:
+            z[r] -= rate * g[r].sum() / (h[r].sum() + penalty)
+    return z
+
+
+def test_boosting_against_plain():
+    from tessera.operators import boosting as B
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (500, 3))
+    y = (rng.random(500) < 1 / (1 + np.exp(3 - 0.5 * x[:, 0] + 0.3 * np.abs(x[:, 1] - 6)))).astype(float)
+    cells, where = np.unique(np.column_stack([x, y]).astype(np.int64), axis=0, return_inverse=True)
+    for leaves, rounds in ((3, 8), (7, 5), (15, 3)):
+        trees = B.boost(cells[:, :3], cells[:, 3].astype(float), np.bincount(where.ravel()).astype(float), leaves, rounds)
+        assert trees.margin(x) == pytest.approx(plain_boost(x, y, leaves, rounds), abs=1e-9)
+        assert all((t["input"] < 0).sum() <= leaves for t in trees.trees) and len(trees.trees) == rounds
+
+
+def test_boosting_selects_and_scores(lanes):
+    from tessera.operators import boosting as B
+
+    frozen = B.gbdt_select(lanes, ["a", "b"], "y", "g", grid=[{"leaves": 3, "rounds": 20}, {"leaves": 7, "rounds": 20}])
+    assert frozen.choice["folds"] == 5 and 0.3 < frozen.choice["cv_average_precision"] <= 1
+    rows = frozen.score(lanes).collect()
+    x = np.column_stack([[r.a for r in rows], [frozen.medians["b"] if r.b is None else r.b for r in rows], [float(r.b is None) for r in rows]])
+    bins = np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(frozen.edges)], 1)
+    want = 1 / (1 + np.exp(-plain_boost(bins, np.array([float(r.y) for r in rows]), frozen.choice["leaves"], 20)))
+    assert [r.score for r in rows] == pytest.approx(want, abs=1e-9)
+    coarse = B.gbdt_select(lanes, ["a", "b"], "y", "g", grid=[{"leaves": 3, "rounds": 5}], most_cells=60)
+    assert coarse.choice["bins"] < 255
