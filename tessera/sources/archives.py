@@ -73,9 +73,11 @@ class _Reader(DataSourceReader):
                 out += [Member(a, n, int(m[1])) for n in z.namelist() if (m := self.pattern.search(n))]
         return [m for m in out if self._wanted(m.year)]
 
-    def read(self, partition: Member) -> Iterator:
+    def read(self, partition: Member | None) -> Iterator:
         import pyarrow as pa
 
+        if partition is None:  # no member is wanted
+            return
         kinds = {"i": (int, pa.int64()), "j": (int, pa.int64()), "k": (str, pa.string()), "t": (int, pa.int32()), "v": (float, pa.float64())}
         with zipfile.ZipFile(partition.archive) as z, z.open(partition.name) as raw:
             rows = csv.reader(io.TextIOWrapper(raw, "utf-8", newline=""))
