@@ -90,13 +90,39 @@ def neighbours(edges: DataFrame, a: str = "i_iso", b: str = "j_iso") -> tuple[Da
     return both, both.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def link_heuristics(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+BLOCK = 1024  # neighbours of a node that stand together
+
+
+def blocked(lists: DataFrame, node: str, item: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(lists with __block, (node, __n, __blocks)): each node's list dealt by hash into blocks of about `block` items, so that a
+    hub's list is spread over as many keys as it is long. Sizes are counted in the tasks first."""
+    sizes = lists.groupBy(node).agg(F.count("*").alias("__n")).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+    return lists.join(sizes.select(node, "__blocks"), node).withColumn("__block", F.pmod(F.xxhash64(item), "__blocks").cast("int")).drop("__blocks"), sizes
+
+
+def wedges(pairs: DataFrame, nbr: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i_iso, j_iso, nbr, other columns of nbr) for each neighbour that both ends of a pair have.
+
+    nbr: (node, nbr) without repeats. The end of lower degree is followed, block by block of its list, and each neighbour is
+    looked up at the other end by the key (end, neighbour); so a hub's list is followed only for pairs of hubs, and no key
+    holds more than a block of it.
+    """
+    lists, sizes = blocked(nbr, "node", "nbr", block)
+    size = lambda c: sizes.select(F.col("node").alias(c), F.col("__n").alias(f"__n_{c}"), F.col("__blocks").alias(f"__b_{c}"))
+    p = pairs.select("i_iso", "j_iso").distinct().join(size("i_iso"), "i_iso").join(size("j_iso"), "j_iso")
+    low = F.col("__n_i_iso") <= F.col("__n_j_iso")
+    pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
+    probes = p.select("i_iso", "j_iso", pick("i_iso", "j_iso").alias("node"), pick("j_iso", "i_iso").alias("__end"), F.explode(F.sequence(F.lit(0), pick("__b_i_iso", "__b_j_iso") - 1)).alias("__block"))
+    reached = probes.join(lists, ["node", "__block"]).drop("node", "__block")
+    return reached.join(nbr.select(F.col("node").alias("__end"), "nbr"), ["__end", "nbr"]).drop("__end")
+
+
+def link_heuristics(pairs: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """pairs (i_iso, j_iso) with common_neighbors, adamic_adar (over partners of degree above 1) and pref_attach."""
     nbr, degree = neighbours(edges)
     p = pairs.select("i_iso", "j_iso").distinct()
     weight = degree.select(F.col("node").alias("nbr"), F.when(F.col("degree") > 1, 1 / F.log("degree")).otherwise(0.0).alias("w"))
-    common = p.join(nbr.select(F.col("node").alias("i_iso"), "nbr"), "i_iso").join(nbr.select(F.col("node").alias("j_iso"), "nbr"), ["j_iso", "nbr"]).join(weight, "nbr")
-    sums = common.groupBy("i_iso", "j_iso").agg(F.count("*").alias("common_neighbors"), F.sum("w").alias("adamic_adar"))
+    sums = wedges(p, nbr.join(weight, "nbr"), block).groupBy("i_iso", "j_iso").agg(F.count("*").alias("common_neighbors"), F.sum("w").alias("adamic_adar"))
     d = lambda c, n: degree.select(F.col("node").alias(c), F.col("degree").alias(n))
     out = p.join(sums, ["i_iso", "j_iso"], "left").join(d("i_iso", "di"), "i_iso", "left").join(d("j_iso", "dj"), "j_iso", "left")
     z = F.lit(0)
@@ -118,12 +144,21 @@ def gap_ranking(lanes: DataFrame, k: int) -> DataFrame:
     return gaps.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def supporting_paths(gaps: DataFrame, lanes: DataFrame, k: int = 5) -> DataFrame:
-    """Typed two-step paths i -first-> x -second-> j behind each gap, counted by their pair of stages; the first k."""
+def supporting_paths(gaps: DataFrame, lanes: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """Typed two-step paths i -first-> x -second-> j behind each gap, counted by their pair of stages; the first k.
+
+    Of a gap's ends the one with fewer lanes is followed, block by block, and the other lane is looked up by its two ends.
+    """
     first = lanes.select("i_iso", F.col("stage").alias("first"), F.col("j_iso").alias("x"))
     second = lanes.select(F.col("i_iso").alias("x"), F.col("stage").alias("second"), "j_iso")
-    paths = gaps.select("i_iso", "stage", "j_iso").join(first, "i_iso").join(second, ["x", "j_iso"])
-    counts = paths.groupBy("i_iso", "stage", "j_iso", "first", "second").agg(F.count("*").alias("paths"))
+    out, out_size = blocked(first, "i_iso", "x", block)
+    back, back_size = blocked(second, "j_iso", "x", block)
+    own = gaps.select("i_iso", "stage", "j_iso").join(out_size.toDF("i_iso", "__no", "__bo"), "i_iso").join(back_size.toDF("j_iso", "__nb", "__bb"), "j_iso")
+    probe = lambda rows, b: rows.select("i_iso", "stage", "j_iso", F.explode(F.sequence(F.lit(0), F.col(b) - 1)).alias("__block"))
+    columns = ["i_iso", "stage", "j_iso", "first", "second"]
+    forward = probe(own.where("__no <= __nb"), "__bo").join(out, ["i_iso", "__block"]).join(second, ["x", "j_iso"]).select(*columns)
+    backward = probe(own.where("__no > __nb"), "__bb").join(back, ["j_iso", "__block"]).join(first, ["x", "i_iso"]).select(*columns)
+    counts = forward.unionByName(backward).groupBy(*columns).agg(F.count("*").alias("paths"))
     w = Window.partitionBy("i_iso", "stage", "j_iso").orderBy(F.col("paths").desc(), "first", "second")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

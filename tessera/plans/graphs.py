@@ -104,7 +104,7 @@ _NBR = "WITH nb AS (SELECT i_iso AS node, j_iso AS nbr FROM n_early UNION SELECT
 
 
 def _heuristics(s, d):
-    early = V.n_early(s, d)
+    early = stored(V.n_early(s, d), "early")
     return G.link_heuristics(early.where("i_iso <> j_iso"), early)
 
 
@@ -118,11 +118,9 @@ def common_neighbors(s, d):
 
 @query(f"{_NBR} SELECT c.nbr, count(*) AS pairs FROM {_COMMON} c GROUP BY c.nbr")
 def common_neighbors_join(s, d):
-    early = V.n_early(s, d)
+    early = stored(V.n_early(s, d), "early")
     nbr, _ = G.neighbours(early)
-    p = early.where("i_iso <> j_iso").select("i_iso", "j_iso").distinct()
-    both = p.join(nbr.select(F.col("node").alias("i_iso"), "nbr"), "i_iso").join(nbr.select(F.col("node").alias("j_iso"), "nbr"), ["j_iso", "nbr"])
-    return both.groupBy("nbr").agg(F.count("*").alias("pairs"))
+    return G.wedges(early.where("i_iso <> j_iso"), nbr).groupBy("nbr").agg(F.count("*").alias("pairs"))
 
 
 @query(f"{_NBR} SELECT pr.i_iso, pr.j_iso, round(coalesce(sum(CASE WHEN degree > 1 THEN 1 / ln(degree) ELSE 0 END), 0), 8) AS adamic_adar FROM pr LEFT JOIN {_COMMON} c ON c.i_iso = pr.i_iso AND c.j_iso = pr.j_iso LEFT JOIN deg ON deg.node = c.nbr GROUP BY ALL")
@@ -152,7 +150,7 @@ def gap_ranking(s, d):
 @query(f"""SELECT i_iso, stage, j_iso, first, second, paths, rank FROM (SELECT *, row_number() OVER (PARTITION BY i_iso, stage, j_iso ORDER BY paths DESC, first, second) AS rank FROM (SELECT g.i_iso, g.stage, g.j_iso, a.stage AS first, b.stage AS second, count(*) AS paths
   FROM (SELECT * FROM ({_GAPS}) WHERE rank <= 1) g JOIN n_early a ON a.i_iso = g.i_iso JOIN n_early b ON b.i_iso = a.j_iso AND b.j_iso = g.j_iso GROUP BY ALL)) WHERE rank <= 2""")
 def supporting_paths(s, d):
-    early = V.n_early(s, d)
+    early = stored(V.n_early(s, d), "early")
     return G.supporting_paths(G.gap_ranking(early, 1), early, 2)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import audit as A
 from tessera.operators import graph as G
 from tessera.operators import metrics as M
+from tessera.operators import product_space as PS
 from tessera.operators import rank as R
 
 
@@ -57,9 +58,9 @@ def test_multiplicity_counts_in_part(spark):
 
 def test_product_space(spark):
     members = spark.createDataFrame([("A", "x"), ("A", "y"), ("B", "y")], "i_iso string, p string")
-    prox = {(r.p, r.q): r.proximity for r in G.proximity(members).collect()}
+    prox = {(r.p, r.q): r.proximity for r in PS.proximity(members).collect()}
     assert prox == {("x", "y"): 0.5, ("y", "x"): 0.5}
-    dens = {(r.i_iso, r.p): r.density for r in G.density(members, G.proximity(members)).collect()}
+    dens = {(r.i_iso, r.p): r.density for r in PS.density(members, PS.proximity(members)).collect()}
     assert dens == {("A", "x"): 1.0, ("B", "x"): 1.0, ("A", "y"): 1.0}
 
 
@@ -126,3 +127,39 @@ def test_draw_vectors_one_class_and_empty(spark):
     none = df.where("false")
     assert np.isnan(D.average_precisions(none, "y", "s", "c", D.picked(none, "c", 5, 1), 5)).all()
     assert D.first_units(none, [F.col("s").desc()], "s", "y", "c", 3, D.picked(none, "c", 5, 1), 5)[1].tolist() == [0.0] * 5
+
+
+def test_wedges_of_hubs_are_split(spark):
+    """Two nodes linked to all others: right counts, and no key holds more than a block of a hub's list."""
+    rng = random.Random(3)
+    n = 300
+    edges = [("h1", f"n{k}") for k in range(n)] + [(f"n{k}", "h2") for k in range(n)] + [("h1", "h2")] + [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(400)]
+    nbr: dict = {}
+    for a, b in edges:
+        nbr.setdefault(a, set()).add(b)
+        nbr.setdefault(b, set()).add(a)
+    df = spark.createDataFrame([*edges, edges[0]], "i_iso string, j_iso string").repartition(4)
+    pairs = spark.createDataFrame([("h1", "h2"), ("n1", "h1"), ("h2", "n2"), ("n1", "n2"), ("n5", "n5x"), *edges[650:700]], "i_iso string, j_iso string")
+    got = {(r.i_iso, r.j_iso): r for r in G.link_heuristics(pairs, df, block=32).collect()}
+    for (i, j), r in got.items():
+        both = nbr.get(i, set()) & nbr.get(j, set())
+        assert r.common_neighbors == len(both) and r.pref_attach == len(nbr.get(i, ())) * len(nbr.get(j, ()))
+        assert r.adamic_adar == pytest.approx(sum(1 / math.log(len(nbr[x])) for x in both if len(nbr[x]) > 1))
+    lists, sizes = G.blocked(G.neighbours(df)[0], "node", "nbr", 32)
+    assert lists.groupBy("node", "__block").count().agg(F.max("count")).first()[0] < 70
+    assert sizes.where("node = 'h1'").first()["__blocks"] == math.ceil(len(nbr["h1"]) / 32)
+
+
+def test_supporting_paths_both_ways(spark):
+    rng = random.Random(1)
+    lanes = [("hub", rng.choice("st"), f"n{k}") for k in range(80)] + [(f"n{k}", rng.choice("st"), "end") for k in range(0, 80, 3)] + [("a", "s", "n0"), ("a", "t", "n3")] + [(f"n{k}", "s", "far") for k in range(0, 80, 5)]
+    df = spark.createDataFrame(lanes, "i_iso string, stage string, j_iso string")
+    gaps = [("hub", "s", "end"), ("a", "s", "end"), ("hub", "t", "far"), ("a", "t", "none")]
+    got = sorted(tuple(r) for r in G.supporting_paths(spark.createDataFrame(gaps, "i_iso string, stage string, j_iso string"), df, 9, block=8).drop("rank").collect())
+    want: dict = {}
+    for i, s, j in gaps:
+        for a, f, x in lanes:
+            for y, g, b in lanes:
+                if a == i and x == y and b == j:
+                    want[(i, s, j, f, g)] = want.get((i, s, j, f, g), 0) + 1
+    assert got == sorted((*k, n) for k, n in want.items())
