@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,22 +34,80 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[Column], values: dict[str, str]) -> DataFrame:
-    """df with, for each new name -> column, the sum over the rows of the group up to and including this one.
+    """df with, for each new name -> column, the sum over the rows of the group up to and including this one; nulls add nothing.
 
-    The order must be total within a group. Rows are dealt by range, summed within each piece, and each piece gets the
-    sums of the pieces before it, so a group of any size is spread over tasks.
+    The order must be total within a group. Rows are dealt by range and sorted once; sums run through the sorted piece, and
+    the sums of earlier pieces are added to the group that a piece continues, at most one a piece, so that table is small
+    whatever the rows and a group of any size is spread over tasks.
     """
     # the range's sample reads the rows too, so what makes them must not run twice
-    keyed = stored(df, "unranged").repartitionByRange(*[F.col(g) for g in group], *order).withColumn("__piece", F.spark_partition_id())
-    pieces = stored(keyed, "ranged")
-    inside = Window.partitionBy("__piece", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = pieces.withColumns({new: F.sum(old).over(inside) for new, old in values.items()})
+    keyed = stored(df, "unranged")
+    types = dict(zip(values, keyed.agg(*[F.sum(old).alias(new) for new, old in values.items()]).schema.fields, strict=True)) if values else {}
+    schema = T.StructType([*keyed.schema.fields, T.StructField("__piece", T.IntegerType()), T.StructField("__first", T.BooleanType()), *[T.StructField(f"__l_{n}", t.dataType) for n, t in types.items()]])
+    names, olds = keyed.columns, list(values.values())
+    ranked = keyed.repartitionByRange(*[F.col(g).asc() for g in group], *order).sortWithinPartitions(*[F.col(g).asc() for g in group], *order)
+
+    def run(batches):
+        import pyspark
+
+        piece = pyspark.TaskContext.get().partitionId()
+        last, sums, first = None, [0] * len(olds), True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = _starts(b, [names.index(g) for g in group])
+            key = tuple(b.column(names.index(g))[0] for g in group)
+            goes_on = last is not None and key == last
+            bounds = [*starts, b.num_rows]
+            flags = [first and (last is None or goes_on)] + [False] * (len(starts) - 1)
+            out = []
+            for k, old in enumerate(olds):
+                x, whole = _summable(b.column(names.index(old)))
+                parts = []
+                for j, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    parts.append(_cumulated(x[lo:hi], sums[k] if j == 0 and goes_on else 0))
+                run_ = np.concatenate(parts)
+                sums[k] = run_[-1]
+                out.append(pa.array(run_, pa.from_numpy_dtype(run_.dtype)) if whole else pa.array(run_.tolist(), b.column(names.index(old)).type))
+            first = first and len(starts) == 1 and (last is None or goes_on)
+            last = tuple(b.column(names.index(g))[b.num_rows - 1] for g in group)
+            lead = np.repeat(flags, np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, piece, np.int32)), pa.array(lead), *[o.cast(t) for o, t in zip(out, _arrow(types), strict=True)]], names=schema.names)
+
+    pieces = stored(ranked.mapInArrow(run, schema), "ranged")
     before = Window.partitionBy(*group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = pieces.groupBy("__piece", *group).agg(*[F.sum(old).alias(f"__t_{new}") for new, old in values.items()])
-    offsets = totals.select("__piece", *group, *[F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)).alias(f"__o_{new}") for new in values])
-    on = [local["__piece"] == offsets["__piece"], *[local[g].eqNullSafe(offsets[g]) for g in group]]
-    joined = local.join(offsets, on).select(*[local[c] for c in df.columns], *[(local[new] + offsets[f"__o_{new}"]).alias(new) for new in values])
-    return joined
+    totals = pieces.groupBy("__piece", *group).agg(F.bool_or("__first").alias("__first"), *[F.sum(old).alias(f"__t_{new}") for new, old in values.items()])
+    offsets = totals.withColumns({f"__o_{new}": F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)) for new in values}).where("__first").select(F.col("__piece").alias("__p"), *[f"__o_{new}" for new in values])
+    joined = pieces.join(F.broadcast(offsets), (F.col("__piece") == F.col("__p")) & F.col("__first"), "left")
+    return joined.select(*[pieces[c] for c in df.columns], *[(F.coalesce(F.col(f"__l_{new}"), F.lit(0)) + F.coalesce(F.col(f"__o_{new}"), F.lit(0))).alias(new) for new in values])
+
+
+def _starts(b: pa.RecordBatch, columns: list[int]) -> list[int]:
+    """Where a run of equal group columns begins; equal nulls are equal."""
+    change = np.zeros(b.num_rows, bool)
+    change[0] = True
+    for c in columns:
+        codes = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        change[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(change).tolist()
+
+
+def _summable(c: pa.Array) -> tuple[np.ndarray, bool]:
+    """(values with zeros for nulls, whether they are machine numbers); decimals stay exact as objects."""
+    if pa.types.is_decimal(c.type):
+        return np.array([0 if v is None else v for v in c.to_pylist()], object), False
+    kind = np.float64 if pa.types.is_floating(c.type) else np.int64
+    return c.fill_null(0).to_numpy(zero_copy_only=False).astype(kind), True
+
+
+def _cumulated(x: np.ndarray, start) -> np.ndarray:
+    out = np.cumsum(x)
+    return out + start if len(out) else out
+
+
+def _arrow(types: dict) -> list[pa.DataType]:
+    kinds = {T.LongType: pa.int64(), T.DoubleType: pa.float64()}
+    return [pa.decimal128(t.dataType.precision, t.dataType.scale) if isinstance(t.dataType, T.DecimalType) else kinds[type(t.dataType)] for t in types.values()]
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", group: list[str] | None = None) -> DataFrame:

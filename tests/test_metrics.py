@@ -163,3 +163,26 @@ def test_supporting_paths_both_ways(spark):
                 if a == i and x == y and b == j:
                     want[(i, s, j, f, g)] = want.get((i, s, j, f, g), 0) + 1
     assert got == sorted((*k, n) for k, n in want.items())
+
+
+def test_running_sums_over_pieces(spark):
+    """Groups over many pieces, null groups and values, decimals, against Python."""
+    from decimal import Decimal
+
+    from tessera.functions.shared import global_rank, running_sums
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "a", "a", "a", "b", None, f"g{k % 40}"]), k, rng.choice([None, rng.randrange(-5, 9)]), rng.random(), Decimal(rng.randrange(10**6)) / 100) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, k int, n int, x double, d decimal(12,2)").repartition(7)
+    for group in (["g"], []):
+        got = {r.k: r for r in running_sums(df, group, [F.col("k").desc()], {"sn": "n", "sx": "x", "sd": "d"}).collect()}
+        assert len(got) == 2000
+        held: dict = {}
+        for g, k, n, x, d in sorted(rows, key=lambda r: -r[1]):
+            own = held.setdefault(g if group else 0, [0, 0.0, Decimal(0)])
+            own[0] += n or 0
+            own[1] += x
+            own[2] += d
+            assert got[k].sn == own[0] and got[k].sx == pytest.approx(own[1]) and got[k].sd == own[2]
+    ranks = sorted(r["rank"] for r in global_rank(df, [F.col("k").asc()]).collect())
+    assert ranks == list(range(1, 2001)) and global_rank(df.where("false"), [F.col("k").asc()]).count() == 0
