@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import sys
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, batch, new_name, read_table, stored
 
 #: What introduces a secret's value, and titles with the gender they tell.
-_SECRET_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth"
+_SECRET_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|authorization|auth"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|Signora|Госпожа|Κυρία"
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Signor|Господин|Κύριος"
 
@@ -24,7 +25,7 @@ _CAP = rf"(?-i:[{_CAPITALS}])[^\W\d_]{{1,30}}"
 _NAME = rf"(?:(?-i:[{_CAPITALS}])['’])?{_CAP}(?:['’\-]{_CAP})?"
 _NAMES = rf"(?:(?-i:[{_CAPITALS}])\.\ ?){{0,2}}{_NAME}(?:\ (?:(?-i:[{_CAPITALS}])\.\ ?)?{_NAME}){{0,2}}"
 _PATTERN = re.compile(
-    rf"""(?P<email>(?<![\w.%+\-])[\w.%+\-]{{1,64}}@[\w\-]{{1,63}}(?:\.[\w\-]{{1,63}}){{0,6}}\.[^\W\d_]{{2,24}}(?![\w\-]))
+    rf"""(?P<email>(?<![\w.%+\-])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{{2,}}(?![\w\-]))
     |(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:]))
     |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))
     |(?P<ssn>(?<![\w\-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w\-]))
@@ -32,20 +33,23 @@ _PATTERN = re.compile(
     |(?P<card>(?<![\w+])\d(?:[\ \-]?\d){{12,18}}(?![\w\-]))
     |(?P<phone>(?<![\w+])(?:\+\d{{1,3}}[\ .\-]?)?(?:\(\d{{2,4}}\)[\ .\-]?\d{{3,4}}[\ .\-]?\d{{3,4}}|\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}})(?!\w)
         |\+\d{{1,3}}(?:[\ .\-]?\d{{2,4}}){{2,5}}(?!\w))
-    |(?P<key>(?<!\w)(?:AKIA|ASIA)[0-9A-Za-z]{{16}}(?!\w)|(?<!\w)(?:gh[pousr]_|xox[abpr]-|sk-|glpat-)[\w\-]{{16,255}}|(?<!\w)eyJ[\w\-]{{8,2000}}\.[\w\-]{{8,4000}}\.[\w\-]{{8,2000}})
-    |(?:(?<!\w)(?:{_SECRET_WORDS})["']?\s{{0,3}}[=:]\s{{0,3}}["']?(?P<secret>[\w+/.\-]{{6,256}}=?=?))
+    |(?P<key>(?<!\w)(?:AKIA|ASIA)[0-9A-Za-z]{{16}}(?!\w)|(?<!\w)(?:gh[pousr]_|xox[abpr]-|sk-|glpat-)[\w\-]{{16,}}|(?<!\w)eyJ[\w\-]{{8,}}\.[\w\-]{{8,}}\.[\w\-]{{8,}})
+    |(?:(?<=://)[^\s/:@]+:(?P<login>[^\s/@]+)(?=@))
+    |(?:(?<!\w)(?:(?:{_SECRET_WORDS})["']?\s{{0,3}}[=:]\s{{0,3}}["']?(?:bearer\ +)?|bearer\ +(?=\S*\d))(?P<secret>[\w+/.~\-]{{6,}}=?=?))
     |(?:(?<!\w)(?P<f>{_FEMALE})\.?\ (?P<woman>{_NAMES}))
     |(?:(?<!\w)(?P<m>{_MALE})\.?\ (?P<man>{_NAMES}))
-    |(?P<hex>(?<!\w)(?=[a-f]*\d)(?:[0-9a-f]{{32,128}})(?!\w))""",
+    |(?P<hex>(?<!\w)(?=[a-f]*\d)(?:[0-9a-f]{{32,}})(?!\w))""",
     re.VERBOSE | re.IGNORECASE,
 )
-_KINDS = ("email", "ipv6", "ip", "ssn", "iban", "card", "phone", "key", "secret", "woman", "man", "hex")
+_KINDS = ("email", "ipv6", "ip", "ssn", "iban", "card", "phone", "key", "secret", "login", "woman", "man", "hex")
 # The line of every entity but a titled name and a key holds one of these; those two have their own beginnings. Only such
 # lines meet the pattern.
 _HEAD = re.compile("AKIA|ASIA|gh[pousr]_|xox[abpr]-|sk-|glpat-|eyJ|", re.IGNORECASE)
 _ANCHOR = re.compile(r"[\d@=:]")
 _TITLES = [f"{w.lower().replace('ς', 'σ')}{end}" for w in f"{_FEMALE}|{_MALE}".split("|") for end in (" ", ". ")]
-_KEYS = ["akia", "asia", *(f"gh{c}_" for c in "pousr"), *(f"xox{c}-" for c in "abpr"), "sk-", "glpat-", "eyj"]
+_KEYS = ["akia", "asia", *(f"gh{c}_" for c in "pousr"), *(f"xox{c}-" for c in "abpr"), "sk-", "glpat-", "eyj", "bearer "]
+# A private key's block: its lines between the marks, of which the last may be short; line ends may be written as \\n.
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:\s|\\n)*(?P<body>(?:[A-Za-z0-9+/=]{16,}(?:\s|\\n)+)*[A-Za-z0-9+/=]{4,})")
 
 
 def _lower(text: str) -> str:
@@ -90,13 +94,20 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     its capitalised occurrences there are mentions, with or without title.
     """
     found, titled = [], []
+    blocks = [m.span("body") for m in _BLOCK.finditer(text)] if text and "PRIVATE KEY-----" in text else []
     for begin, end in _lines(text or ""):
         for m in _PATTERN.finditer(text, begin, end):
             kind = next(k for k in _KINDS if m.group(k) is not None)
+            if blocks and any(a < m.end(kind) and m.start(kind) < b for a, b in blocks):
+                continue
+            if kind == "login":
+                found.append((*m.span(kind), "secret", identity("secret", m[kind])))
+                continue
             if kind in ("woman", "man"):
                 titled.append((kind, [(w.start(), w.end()) for w in _WORD.finditer(text, *m.span(kind))]))
             elif kind not in ("key", "secret") or any(map(str.isalnum, m[kind][len(_head(kind, m[kind])) :])):
                 found.append((*m.span(kind), kind, identity(kind, m[kind])))
+    found = sorted(found + [(a, b, "secret", text[a:b]) for a, b in blocks])
     if not titled:
         return found
     kind_of: dict[str, str] = {}
@@ -373,12 +384,14 @@ def anonymise(docs: DataFrame, key: bytes, text_col: str = "text", entities_col:
     return arrow_map(joined, run, schema)
 
 
-#: The key of the registered query where the session names none; a real corpus gets a secret one in `tessera.pii.key`.
-DEMONSTRATION_KEY = "demonstration"
-
-
 def session_key(spark) -> bytes:
-    return spark.conf.get("tessera.pii.key", DEMONSTRATION_KEY).encode()
+    """The key in the session's `tessera.pii.key`. A session without one gets a random key of its own, which is kept there:
+    nobody can undo its surrogates, and they are alike within the session only."""
+    key = spark.conf.get("tessera.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("tessera.pii.key", key)
+    return key.encode()
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
