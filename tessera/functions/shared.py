@@ -33,6 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exact_sum(value: str | Column, scale: int = 6) -> Column:
+    """The sum of doubles as decimals, as a double: it does not depend on the order of rows, so ties and ranks do not either.
+
+    Values are taken to `scale` places, which is all that window means of amounts in cents have. A sum of 10**(38 - scale) and
+    more does not fit and is an error.
+    """
+    x = F.col(value) if isinstance(value, str) else value
+    return F.sum(x.cast(f"decimal(38,{scale})")).cast("double")
+
+
 def running_sums(df: DataFrame, group: list[str], order: list[Column], values: dict[str, str]) -> DataFrame:
     """df with, for each new name -> column, the sum over the rows of the group up to and including this one; nulls add nothing.
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import exact_sum
+
 LANE = ["i_iso", "j_iso", "stage"]
 ENTRY = ["i_iso", "stage"]
 
@@ -57,10 +59,10 @@ def label_late(lanes: DataFrame, late: DataFrame, value: str = "v") -> DataFrame
 
 def size_lookups(early: DataFrame, upstream: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(exporter output, importer demand, upstream output by target stage), of lanes that passed the early threshold."""
-    output = early.groupBy("i_iso", "stage").agg(F.sum("v").alias("v"))
-    demand = early.groupBy("j_iso", "stage").agg(F.sum("v").alias("v"))
+    output = early.groupBy("i_iso", "stage").agg(exact_sum("v").alias("v"))
+    demand = early.groupBy("j_iso", "stage").agg(exact_sum("v").alias("v"))
     source = early.select("i_iso", F.col("stage").alias("source"), "v").join(F.broadcast(upstream.select("stage", "source")), "source")
-    return output, demand, source.groupBy("i_iso", "stage").agg(F.sum("v").alias("v"))
+    return output, demand, source.groupBy("i_iso", "stage").agg(exact_sum("v").alias("v"))
 
 
 def candidate_size(lanes: DataFrame, capacity: DataFrame, demand: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def entry_id() -> Column:
 def entry_view(lanes: DataFrame) -> DataFrame:
     """One row for each entry of Track B lanes. Capacity is an entry's constant, so its minimum is its value."""
     return lanes.groupBy(*ENTRY).agg(
-        F.max("y").alias("z"), F.sum("lateval").alias("entry_lateval"), F.min("log_exporter_capacity").alias("size"), F.min("log_exporter_capacity").alias("log_upstream_capacity"),
+        F.max("y").alias("z"), exact_sum("lateval").alias("entry_lateval"), F.min("log_exporter_capacity").alias("size"), F.min("log_exporter_capacity").alias("log_upstream_capacity"),
         F.count("*").alias("n_candidate_destinations"), F.sum("y").alias("n_materialized_destinations"),
     ).withColumn("entry_id", entry_id())
 
@@ -146,11 +148,11 @@ def coverage(starts: DataFrame, group: list[str] | None = None) -> DataFrame:
     group = group or []
     entries = starts.groupBy(*group, *[c for c in ENTRY if c not in group]).agg(
         F.bool_or("eligible_market").alias("covered"), F.bool_or(~F.col("eligible_market")).alias("inactive"),
-        F.count("*").alias("lanes"), F.count_if("eligible_market").alias("eligible_lanes"), F.sum("v").alias("value"), F.sum(F.when(F.col("eligible_market"), F.col("v")).otherwise(0.0)).alias("eligible_value"),
+        F.count("*").alias("lanes"), F.count_if("eligible_market").alias("eligible_lanes"), exact_sum("v").alias("value"), exact_sum(F.when(F.col("eligible_market"), F.col("v")).otherwise(0.0)).alias("eligible_value"),
     )
     n = entries.groupBy(*group).agg(
         F.count("*").alias("n_entries"), F.count_if("covered").alias("n_covered"), F.count_if(~F.col("covered")).alias("n_inactive_only"), F.count_if(F.col("covered") & F.col("inactive")).alias("n_mixed"),
-        F.coalesce(F.sum("lanes"), F.lit(0)).alias("n_lanes"), F.coalesce(F.sum("eligible_lanes"), F.lit(0)).alias("n_eligible_lanes"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"), F.coalesce(F.sum("eligible_value"), F.lit(0.0)).alias("eligible_value"),
+        F.coalesce(F.sum("lanes"), F.lit(0)).alias("n_lanes"), F.coalesce(F.sum("eligible_lanes"), F.lit(0)).alias("n_eligible_lanes"), F.coalesce(exact_sum("value"), F.lit(0.0)).alias("value"), F.coalesce(exact_sum("eligible_value"), F.lit(0.0)).alias("eligible_value"),
     )
     return n.withColumns({"entry_coverage": F.try_divide("n_covered", "n_entries"), "lane_coverage": F.try_divide("n_eligible_lanes", "n_lanes"), "value_coverage": F.try_divide("eligible_value", "value")})
 
@@ -174,17 +176,17 @@ def split_assign(lanes: DataFrame, unit: str, chain: Column, salt: str, test_sha
 def entry_features(lanes: DataFrame) -> DataFrame:
     """Entry table with demand and gravity (`grav`, null where unknown) over candidate destinations."""
     log_g = F.log1p("grav")
-    six = lambda c, n: F.round(c, 6).alias(n)
+    mean = lambda c: exact_sum(c, 15) / F.count(c)
     return lanes.groupBy(*ENTRY).agg(
-        F.max("y").alias("z"), six(F.max("log_importer_demand"), "max_demand"), six(F.avg("log_importer_demand"), "mean_demand"), six(F.max(log_g), "max_gravity"), six(F.avg(log_g), "mean_gravity"),
-        six(F.log1p(F.coalesce(F.sum("grav"), F.lit(0.0))), "logsum_gravity"), six(F.avg(F.col("grav").isNotNull().cast("double")), "gravity_coverage"), six(F.log1p(F.count("*")), "log_destinations"),
+        F.max("y").alias("z"), F.max("log_importer_demand").alias("max_demand"), mean(F.col("log_importer_demand")).alias("mean_demand"), F.max(log_g).alias("max_gravity"), mean(log_g).alias("mean_gravity"),
+        F.log1p(F.coalesce(exact_sum("grav", 15), F.lit(0.0))).alias("logsum_gravity"), F.avg(F.col("grav").isNotNull().cast("double")).alias("gravity_coverage"), F.log1p(F.count("*")).alias("log_destinations"),
     )
 
 
 def summary(lanes: DataFrame, group: str = "chain") -> DataFrame:
     """Counts, base rate and value of each group and of all, whose rate is taken over its own counts."""
-    each = lanes.rollup(group).agg(F.count("*").alias("candidates"), F.sum("y").alias("positives"), F.round(F.sum("lateval"), 5).alias("value"))
-    return each.select(F.coalesce(group, F.lit("TOTAL")).alias(group), "candidates", "positives", F.round(F.col("positives") / F.col("candidates"), 9).alias("base_rate"), "value")
+    each = lanes.rollup(group).agg(F.count("*").alias("candidates"), F.sum("y").alias("positives"), exact_sum("lateval").alias("value"))
+    return each.select(F.coalesce(group, F.lit("TOTAL")).alias(group), "candidates", "positives", (F.col("positives") / F.col("candidates")).alias("base_rate"), "value")
 
 
 def partition_entries(starts: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import exact_sum
+
 
 def stage_tiers(upstream: DataFrame, stages: DataFrame) -> DataFrame:
     """(stage, tier): the longest chain of upstream stages below each; a cycle is an error.
@@ -138,9 +140,9 @@ def saturation(lanes: DataFrame) -> DataFrame:
 
 def gap_ranking(lanes: DataFrame, k: int) -> DataFrame:
     """(i_iso, stage, j_iso, demand, rank): each exporter's unserved importers by demand, the first k."""
-    demand = lanes.groupBy("stage", "j_iso").agg(F.sum("v").alias("demand"))
+    demand = lanes.groupBy("stage", "j_iso").agg(exact_sum("v").alias("demand"))
     gaps = lanes.select("i_iso", "stage").distinct().join(demand, "stage").where("i_iso <> j_iso").join(lanes.select("i_iso", "stage", "j_iso"), ["i_iso", "stage", "j_iso"], "left_anti")
-    w = Window.partitionBy("i_iso", "stage").orderBy(F.round("demand", 5).desc(), F.col("j_iso"))
+    w = Window.partitionBy("i_iso", "stage").orderBy(F.col("demand").desc(), F.col("j_iso"))
     return gaps.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import exact_sum
 from .rank import canonical, midrank, quantile_bins, score_blocks, top_k, top_k_per_group
 
 
@@ -21,7 +22,7 @@ def weighted_average_precision(df: DataFrame, label: str, score: str, weight: st
     """Average precision with row weights; null if positives (or, by default, either class) have no weight."""
     group = group or []
     blocks = score_blocks(df, score, {"p": F.col(label) * F.col(weight), "n": F.col(weight)}, group)
-    sums = blocks.groupBy(*group).agg(F.sum(F.when(F.col("c_n") > 0, F.col("p") * F.col("c_p") / F.col("c_n"))).alias("__s"), F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    sums = blocks.groupBy(*group).agg(exact_sum(F.when(F.col("c_n") > 0, F.col("p") * F.col("c_p") / F.col("c_n")), 18).alias("__s"), F.sum("p").alias("__p"), F.sum("n").alias("__n"))
     defined = (F.col("__p") > 0) & ((F.col("__n") > F.col("__p")) | F.lit(not null_if_one_class))
     return sums.select(*group, F.when(defined, F.col("__s") / F.col("__p")).alias("average_precision"))
 

@@ -112,7 +112,8 @@ def track_b2_lanes(s, d):
   FROM b_lanes b LEFT JOIN (SELECT i_iso, j_iso, 100.0 / dist AS g FROM covariates WHERE dist > 1) c ON c.i_iso = b.i_iso AND c.j_iso = b.j_iso GROUP BY b.i_iso, b.stage""")
 def entry_features(s, d):
     g = V.covariates(s, d).where("dist > 1").select("i_iso", "j_iso", (F.lit(100.0) / F.col("dist")).alias("grav"))
-    return C.entry_features(V.track_b(s, d).join(g, ["i_iso", "j_iso"], "left"))
+    x = C.entry_features(V.track_b(s, d).join(g, ["i_iso", "j_iso"], "left"))
+    return x.select("i_iso", "stage", "z", *[r(c, 6) for c in x.columns if c not in ("i_iso", "stage", "z")])
 
 
 @query("SELECT i_iso, j_iso, stage, y, max(y) OVER (PARTITION BY i_iso, stage) AS entry_y FROM b_raw")
@@ -135,7 +136,7 @@ _SUM = """SELECT coalesce(chain, 'TOTAL') AS chain, count(*) AS candidates, CAST
 
 @query(_SUM)
 def cohort_summary(s, d):
-    return C.summary(V.track_a(s, d).withColumn("chain", V.chain_of()))
+    return C.summary(V.track_a(s, d).withColumn("chain", V.chain_of())).withColumns({"base_rate": r("base_rate", 9), "value": r("value")})
 
 
 @query("""WITH starts AS (SELECT l.i_iso, l.j_iso, l.stage, l.v, m.j_iso IS NOT NULL AS ok FROM late l SEMI JOIN entrants q ON q.i_iso = l.i_iso AND q.stage = l.stage

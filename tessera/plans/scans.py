@@ -101,8 +101,8 @@ def label_free_scan(s, d):
 @query("SELECT i_iso, j_iso, stage, y FROM a_raw")
 def sink_tables(s, d):
     path = _path(s, "sorted")
-    S.write_sorted(V.track_a(s, d).select(*C.LANE, "y"), C.LANE, path)
-    return s.read.schema("i_iso string, j_iso string, stage string, y int").parquet(path)
+    S.write_sorted(stored(V.track_a(s, d).select(*C.LANE, "y"), "lanes"), C.LANE, path)
+    return S.read_committed(s, path)
 
 
 @query("SELECT chain, m AS metric, CASE m WHEN 'candidates' THEN n ELSE p END AS value FROM (SELECT chain, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS p FROM a_raw JOIN stages USING (stage) GROUP BY chain), (VALUES ('candidates'), ('positives')) v(m)")

@@ -65,9 +65,58 @@ def pooled_registry(registry: DataFrame) -> DataFrame:
     return stage_edges(registry).select(F.concat_ws(".", "chain", "stage").alias("stage"), "code")
 
 
-def write_sorted(df: DataFrame, keys: list[str], path: str, fmt: str = "parquet") -> None:
-    """Write in key order, so equal tables give equal files whatever their row order was."""
-    df.orderBy(*keys).write.mode("overwrite").format(fmt).save(path)
+def content(df: DataFrame) -> tuple[int, str]:
+    """(rows, digest) of a table's content: the sum of its rows' hashes, whatever their order, partitioning or column order."""
+    columns = sorted(df.columns)
+    h = F.xxhash64(*[F.coalesce(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))), F.lit("")) for c in columns], F.lit("|".join(columns)))
+    n, low, high = df.agg(F.count("*"), F.sum(F.pmod(h, F.lit(1 << 32)).cast("decimal(38,0)")), F.sum(F.shiftright(h, 32).cast("decimal(38,0)"))).first()
+    return n, f"{int(low or 0):x}.{int(high or 0):x}"
+
+
+def write_sorted(df: DataFrame, keys: list[str], path: str, fmt: str = "parquet", rows_a_file: int = 1_000_000) -> dict:
+    """Writes df in key order in files of at most rows_a_file rows, and commits it by a manifest; returns the manifest.
+
+    The data stand in a folder of this write's own under `path`. They are read back and compared with df's row count and
+    digest, and only then does `manifest.json` name their folder; until it does, and if they differ, readers see what was
+    there before. Two writes of equal tables have equal digests, however they were partitioned.
+    """
+    import json
+    import uuid
+
+    spark, part = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    wanted = content(df)
+    df.orderBy(*keys).write.option("maxRecordsPerFile", rows_a_file).format(fmt).save(f"{path}/{part}")
+    back = spark.read.schema(df.schema).format(fmt).load(f"{path}/{part}")
+    if (found := content(back)) != wanted:
+        raise ValueError(f"{path}: {found[0]} rows with digest {found[1]} were written, not {wanted[0]} with {wanted[1]}")
+    each = back.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
+    manifest = {"folder": part, "format": fmt, "rows": wanted[0], "digest": wanted[1], "schema": df.schema.json(), "files": each.count()}
+    _put(spark, f"{path}/manifest.json", json.dumps(manifest))
+    return manifest
+
+
+def read_committed(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
+    """The table that the manifest under path names; verify compares rows and digest first."""
+    import json
+
+    m = json.loads("".join(r.value for r in spark.read.text(f"{path}/manifest.json").collect()))
+    df = spark.read.schema(T.StructType.fromJson(json.loads(m["schema"]))).format(m["format"]).load(f"{path}/{m['folder']}")
+    if verify and (found := content(df)) != (m["rows"], m["digest"]):
+        raise ValueError(f"{path}: {found[0]} rows with digest {found[1]}, the manifest says {m['rows']} with {m['digest']}")
+    return df
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written beside its place and renamed, in any store that Spark writes to."""
+    jvm = spark.sparkContext._jvm
+    to, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(to, False)
+    if not fs.rename(new, to):
+        raise OSError(f"{path} could not be committed")
 
 
 def metrics_long(metrics: DataFrame, ids: list[str], names: list[str]) -> DataFrame:
