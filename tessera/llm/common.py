@@ -36,11 +36,16 @@ _written: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut and a lost executor recomputes nothing before it."""
+    """Write df as Parquet into the shared folder and read it back: lineage is cut and a lost executor recomputes nothing before it.
+
+    The folder goes when the application ends, or with release().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     # the driver's collector tells executors which shuffle files nothing needs any more
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -248,4 +248,9 @@ def packed_documents(docs: DataFrame, cap: int = 2048, path: str | None = None,
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece of one token; repeated rows and null ids are packed like any row; an empty table gives
+    no pieces.
+    """
     return packed_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -113,6 +113,10 @@ def apply_rules(docs: DataFrame, text_col: str = "text", with_text: bool = True)
 
 
 def op3_rules(spark, sf_dir: str) -> DataFrame:
+    """Per document: its counts, base_failed and kept.
+
+    Null and empty texts have no words and fail the base; repeated rows repeat, null ids stay, an empty table gives none.
+    """
     rows = apply_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
