@@ -26,13 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut and a lost executor recomputes nothing before it."""
+    """Write df as Parquet into the shared folder and read it back: lineage is cut and a lost executor recomputes nothing before it.
+
+    The folder goes when the application ends, or with release().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _place(spark, path)
+    fs.deleteOnExit(at)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what stored() has written so far. Call it once the results that read those tables are written themselves."""
+    while _written:
+        fs, at = _place(spark, _written.pop())
+        fs.delete(at, True)
+
+
 def exact_sum(value: str | Column, scale: int = 6) -> Column:
     """The sum of doubles as decimals, as a double: it does not depend on the order of rows, so ties and ranks do not either.
 
