@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keysets as K
+from ..functions.shared import stored
 from ..operators import audit as A
 from ..operators import cohorts as C
 from . import views as V
@@ -12,16 +13,17 @@ from .registry import query
 
 # A tampered copy of Track A: labels flipped, values moved, keys blanked and rows repeated where the importer's digits say so.
 _DIGIT = "CAST(substr(j_iso, 2) AS INTEGER)"
-_T = f"""SELECT CASE WHEN {_DIGIT} = 3 THEN ' ' ELSE i_iso END AS i_iso, j_iso, stage, CASE WHEN {_DIGIT} = 5 THEN 1 - y ELSE y END AS y, CASE WHEN {_DIGIT} = 7 THEN lateval + 1 WHEN {_DIGIT} = 8 THEN -1 ELSE lateval END AS lateval,
-  size + CASE WHEN {_DIGIT} = 9 THEN 1 ELSE 0 END AS size, log_exporter_capacity, log_importer_demand FROM a_lanes UNION ALL SELECT i_iso, j_iso, stage, y, lateval, size, log_exporter_capacity, log_importer_demand FROM a_lanes WHERE {_DIGIT} = 11"""
+_T = f"""SELECT CASE WHEN {_DIGIT} = 3 THEN ' ' ELSE i_iso END AS i_iso, CASE WHEN {_DIGIT} = 10 THEN NULL ELSE j_iso END AS j_iso, CASE WHEN {_DIGIT} = 4 THEN 'NaN' ELSE stage END AS stage,
+  CASE WHEN {_DIGIT} = 5 THEN 1 - y WHEN {_DIGIT} = 13 THEN 2 ELSE y END AS y, CASE WHEN {_DIGIT} = 7 THEN lateval + 1 WHEN {_DIGIT} = 8 THEN -1 ELSE lateval END AS lateval,
+  CASE WHEN {_DIGIT} = 12 THEN NULL WHEN {_DIGIT} = 9 THEN size + 1 ELSE size END AS size, log_exporter_capacity, log_importer_demand FROM a_lanes UNION ALL SELECT i_iso, j_iso, stage, y, lateval, size, log_exporter_capacity, log_importer_demand FROM a_lanes WHERE {_DIGIT} = 11"""
 _COLS = ["y", "lateval", "size", "log_exporter_capacity", "log_importer_demand"]
 
 
 def _tampered(s, d):
     a = V.track_a(s, d)
     n = F.substring("j_iso", 2, 2).cast("int")
-    t = a.select(F.when(n == 3, " ").otherwise(F.col("i_iso")).alias("i_iso"), "j_iso", "stage", F.when(n == 5, 1 - F.col("y")).otherwise(F.col("y")).alias("y"), F.when(n == 7, F.col("lateval") + 1).when(n == 8, -1.0).otherwise(F.col("lateval")).alias("lateval"),
-                 (F.col("size") + F.when(n == 9, 1).otherwise(0)).alias("size"), "log_exporter_capacity", "log_importer_demand")
+    x = {"i_iso": F.when(n == 3, " "), "j_iso": F.when(n == 10, F.lit(None)), "stage": F.when(n == 4, "NaN"), "y": F.when(n == 5, 1 - F.col("y")).when(n == 13, 2), "lateval": F.when(n == 7, F.col("lateval") + 1).when(n == 8, -1.0), "size": F.when(n == 12, F.lit(None)).when(n == 9, F.col("size") + 1)}
+    t = a.select(*[c.otherwise(F.col(k)).alias(k) for k, c in x.items()], "log_exporter_capacity", "log_importer_demand")
     return t.unionByName(a.where(n == 11).select(*t.columns))
 
 
@@ -31,7 +33,7 @@ def check_closed_schema(s, d):
     return A.schema_differences(lanes, [*C.LANE, "y", "lateval"]).crossJoin(F.broadcast(lanes.agg(F.count("*").alias("lanes"))))
 
 
-@query(f"WITH t AS ({_T}) SELECT count(*) AS n, count(*) FILTER (trim(i_iso) = '') AS blank_i_iso, 0 AS blank_j_iso, 0 AS blank_stage FROM t")
+@query(f"WITH t AS ({_T}) SELECT count(*) AS n, count(*) FILTER (trim(i_iso) = '') AS blank_i_iso, count(*) FILTER (j_iso IS NULL) AS blank_j_iso, count(*) FILTER (stage = 'NaN') AS blank_stage FROM t")
 def check_identity(s, d):
     return A.identity_violations(_tampered(s, d), C.LANE)
 
@@ -41,12 +43,12 @@ def check_unique_key(s, d):
     return A.duplicate_keys(_tampered(s, d), C.LANE)
 
 
-@query("SELECT 0 AS not_role, count(*) FILTER (stage <> 'Brand#8') AS not_stage FROM a_raw")
+@query("SELECT count(*) FILTER (j_iso = 'N02') AS not_role, count(*) FILTER (stage <> 'Brand#8') AS not_stage FROM a_raw")
 def check_constant(s, d):
-    return A.constant_violations(V.track_a(s, d).withColumn("role", F.lit("target")), {"role": "target", "stage": "Brand#8"})
+    return A.constant_violations(V.track_a(s, d).withColumn("role", F.when(F.col("j_iso") != "N02", "target")), {"role": "target", "stage": "Brand#8"})
 
 
-@query(f"WITH t AS ({_T}) SELECT 0 AS not_finite_size, count(*) FILTER (lateval < 0) AS negative_lateval, 0 AS not_binary_y FROM t")
+@query(f"WITH t AS ({_T}) SELECT count(*) FILTER (size IS NULL) AS not_finite_size, count(*) FILTER (lateval < 0) AS negative_lateval, count(*) FILTER (y NOT IN (0, 1)) AS not_binary_y FROM t")
 def check_finite_range(s, d):
     return A.range_violations(_tampered(s, d), ["size"], ["lateval"], ["y"])
 
@@ -74,25 +76,36 @@ def check_split_reproduced(s, d):
 _EC = ["z", "entry_lateval", "size", "n_candidate_destinations", "n_materialized_destinations"]
 
 
-@query("SELECT (SELECT count(*) FROM entries WHERE i_iso LIKE '%1') AS missing, 0 AS extra, 0 AS differ_z, 0 AS differ_entry_lateval, 0 AS differ_size, (SELECT count(*) FROM entries WHERE i_iso LIKE '%2') AS differ_n_candidate_destinations, 0 AS differ_n_materialized_destinations")
+_ENDS = dict(zip(_EC, "34526", strict=True))
+
+
+@query("SELECT (SELECT count(*) FROM entries WHERE i_iso LIKE '%1') AS missing, (SELECT count(*) FROM entries WHERE i_iso LIKE '%7') AS extra, " + ", ".join(f"(SELECT count(*) FROM entries WHERE i_iso LIKE '%{k}') AS differ_{c}" for c, k in _ENDS.items()))
 def check_entry_consistency(s, d):
-    good = C.entry_view(V.track_b(s, d))
-    bad = good.where(~F.col("i_iso").endswith("1")).withColumn("n_candidate_destinations", F.col("n_candidate_destinations") + F.when(F.col("i_iso").endswith("2"), 1).otherwise(0))
+    good = stored(C.entry_view(V.track_b(s, d)), "entries")
+    bad = good.where(~F.col("i_iso").endswith("1")).withColumns({c: F.col(c) + F.when(F.col("i_iso").endswith(k), F.col(c) + 1).otherwise(0) for c, k in _ENDS.items()})
+    bad = bad.unionByName(good.where(F.col("i_iso").endswith("7")).withColumn("i_iso", F.concat(F.lit("X"), "i_iso")))
     return A.column_mismatches(good, bad, C.ENTRY, _EC)
 
 
-@query("SELECT (SELECT count(*) FROM b2_lanes WHERE j_iso = 'N03') AS missing, 0 AS extra")
+@query("SELECT (SELECT count(*) FROM b2_lanes WHERE j_iso = 'N03') AS missing, (SELECT count(*) FROM b2_lanes WHERE j_iso = 'N04') AS extra")
 def check_conditional_subset(s, d):
     from ..operators.rank import group_max
 
-    b = group_max(V.track_b(s, d).select(*C.LANE, "y"), C.ENTRY, "y", "entry_y")
-    return A.subset_violations(b, C.conditional_lanes(V.track_b(s, d)).where("j_iso <> 'N03'"), F.col("entry_y") == 1, [*C.LANE, "y"])
+    lanes = stored(V.track_b(s, d), "lanes")
+    b = group_max(lanes.select(*C.LANE, "y"), C.ENTRY, "y", "entry_y")
+    own = C.conditional_lanes(lanes)
+    bad = own.where("j_iso <> 'N03'").unionByName(own.where("j_iso = 'N04'").withColumn("j_iso", F.lit("X04")))
+    return A.subset_violations(b, bad, F.col("entry_y") == 1, [*C.LANE, "y"])
+
+
+_CHAINS = "(SELECT count(DISTINCT chain) FROM a_raw JOIN stages USING (stage) WHERE chain = '{}')"
 
 
-@query("SELECT 0 AS missing, 0 AS extra, 0 AS differ_candidates, (SELECT count(*) FROM (SELECT DISTINCT chain FROM a_raw JOIN stages USING (stage)) WHERE chain = 'c1') AS differ_positives, 0 AS differ_value")
+@query(f"SELECT {_CHAINS.format('c4')} AS missing, {_CHAINS.format('c0')} AS extra, {_CHAINS.format('c2')} AS differ_candidates, {_CHAINS.format('c1')} AS differ_positives, {_CHAINS.format('c3')} AS differ_value")
 def check_summary(s, d):
-    good = C.summary(V.track_a(s, d).withColumn("chain", V.chain_of()))
-    bad = good.withColumn("positives", F.col("positives") + F.when(F.col("chain") == "c1", 1).otherwise(0))
+    good = stored(C.summary(V.track_a(s, d).withColumn("chain", V.chain_of())), "summary")
+    bad = good.where("chain <> 'c4'").withColumns({c: F.col(c) + F.when(F.col("chain") == k, F.col(c) + 1).otherwise(0) for c, k in (("candidates", "c2"), ("positives", "c1"), ("value", "c3"))})
+    bad = bad.unionByName(good.where("chain = 'c0'").withColumn("chain", F.lit("none")))
     return A.column_mismatches(good, bad, ["chain"], ["candidates", "positives", "value"])
 
 
@@ -138,9 +151,16 @@ def key_fingerprint(s, d):
     return K.fingerprint(V.track_a(s, d), C.LANE)
 
 
-@query("SELECT 'code_owned_twice' AS problem, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'unknown_target', 0 UNION ALL SELECT 'unknown_source', 0 UNION ALL SELECT 'self_edge', 0 UNION ALL SELECT 'excluded_in_use', count(DISTINCT substr(k, 1, 4)) FROM flows WHERE substr(k, 3, 2) = '07'")
+@query("SELECT 'code_owned_twice' AS problem, (SELECT count(DISTINCT substr(k, 1, 4)) FROM flows WHERE substr(k, 3, 2) = '09') AS n UNION ALL SELECT 'unknown_target', (SELECT count(DISTINCT stage) FROM stages WHERE position = 2) UNION ALL SELECT 'unknown_source', (SELECT count(DISTINCT stage) FROM stages WHERE position = 3) UNION ALL SELECT 'self_edge', (SELECT count(DISTINCT stage) FROM stages WHERE position = 4) UNION ALL SELECT 'excluded_in_use', count(DISTINCT substr(k, 1, 4)) FROM flows WHERE substr(k, 3, 2) = '07'")
 def registry_integrity(s, d):
+    """Codes that trade at one size are claimed by a second stage, and edges are added that no stage or only one stage has."""
     from ..sources.tables import stage_edges
 
-    excluded = V.flows(s, d).where(F.substring("k", 3, 2) == "07").select(F.substring("k", 1, 4).alias("code")).distinct()
-    return A.registry_violations(stage_edges(V.registry(s)), V.upstream(s), excluded)
+    used = V.flows(s, d).select(F.substring("k", 1, 4).alias("code")).distinct()
+    edges, up = stage_edges(V.registry(s)), V.upstream(s)
+    twice = edges.join(used.where(F.substring("code", 3, 2) == "09"), "code").select("chain", F.lit("Brand#0").alias("stage"), "code")
+    at = lambda k: (F.split("stage", "#")[1].cast("int") - 1) % 5 == k
+    stages = edges.select("chain", "stage").distinct()
+    wrong = stages.where(at(2)).select("chain", F.concat(F.lit("none of "), "stage").alias("stage"), F.col("stage").alias("source")).unionByName(stages.where(at(3)).select("chain", "stage", F.concat(F.lit("none of "), "stage").alias("source")))
+    wrong = wrong.unionByName(stages.where(at(4)).select("chain", "stage", F.col("stage").alias("source")))
+    return A.registry_violations(edges.unionByName(twice), up.select("chain", "stage", "source").unionByName(wrong), used.where(F.substring("code", 3, 2) == "07"))
