@@ -74,7 +74,7 @@ def running_sums(df: DataFrame, group: list[str], order: list[Column], values: d
     # the range's sample reads the rows too, so what makes them must not run twice
     keyed = stored(df, "unranged")
     types = dict(zip(values, keyed.agg(*[F.sum(old).alias(new) for new, old in values.items()]).schema.fields, strict=True)) if values else {}
-    schema = T.StructType([*keyed.schema.fields, T.StructField("__piece", T.IntegerType()), T.StructField("__first", T.BooleanType()), *[T.StructField(f"__l_{n}", t.dataType) for n, t in types.items()]])
+    schema = T.StructType([*keyed.schema.fields, T.StructField("__rs_piece", T.IntegerType()), T.StructField("__rs_first", T.BooleanType()), *[T.StructField(f"__rs_l_{n}", t.dataType) for n, t in types.items()]])
     names, olds = keyed.columns, list(values.values())
     ranked = keyed.repartitionByRange(*[F.col(g).asc() for g in group], *order).sortWithinPartitions(*[F.col(g).asc() for g in group], *order)
 
@@ -106,11 +106,11 @@ def running_sums(df: DataFrame, group: list[str], order: list[Column], values: d
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, piece, np.int32)), pa.array(lead), *[o.cast(t) for o, t in zip(out, _arrow(types), strict=True)]], names=schema.names)
 
     pieces = stored(ranked.mapInArrow(run, schema), "ranged")
-    before = Window.partitionBy(*group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = pieces.groupBy("__piece", *group).agg(F.bool_or("__first").alias("__first"), *[F.sum(old).alias(f"__t_{new}") for new, old in values.items()])
-    offsets = totals.withColumns({f"__o_{new}": F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)) for new in values}).where("__first").select(F.col("__piece").alias("__p"), *[f"__o_{new}" for new in values])
-    joined = pieces.join(F.broadcast(offsets), (F.col("__piece") == F.col("__p")) & F.col("__first"), "left")
-    return joined.select(*[pieces[c] for c in df.columns], *[(F.coalesce(F.col(f"__l_{new}"), F.lit(0)) + F.coalesce(F.col(f"__o_{new}"), F.lit(0))).alias(new) for new in values])
+    before = Window.partitionBy(*group).orderBy("__rs_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = pieces.groupBy("__rs_piece", *group).agg(F.bool_or("__rs_first").alias("__rs_first"), *[F.sum(old).alias(f"__rs_t_{new}") for new, old in values.items()])
+    offsets = totals.withColumns({f"__rs_o_{new}": F.coalesce(F.sum(f"__rs_t_{new}").over(before), F.lit(0)) for new in values}).where("__rs_first").select(F.col("__rs_piece").alias("__rs_of"), *[f"__rs_o_{new}" for new in values])
+    joined = pieces.join(F.broadcast(offsets), (F.col("__rs_piece") == F.col("__rs_of")) & F.col("__rs_first"), "left")
+    return joined.select(*[pieces[c] for c in df.columns], *[(F.coalesce(F.col(f"__rs_l_{new}"), F.lit(0)) + F.coalesce(F.col(f"__rs_o_{new}"), F.lit(0))).alias(new) for new in values])
 
 
 def _starts(b: pa.RecordBatch, columns: list[int]) -> list[int]:
