@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import exact_sum
-from .rank import canonical, midrank, quantile_bins, score_blocks, top_k, top_k_per_group
+from .rank import canonical, quantile_bins, score_blocks, top_k, top_k_per_group
 
 
 def _long(c) -> Column:
@@ -28,11 +28,15 @@ def weighted_average_precision(df: DataFrame, label: str, score: str, weight: st
 
 
 def roc_auc(df: DataFrame, label: str, score: str, group: list[str] | None = None) -> DataFrame:
-    """Mann-Whitney AUC from midranks; null without both classes."""
+    """Mann-Whitney AUC from midranks, over one row a distinct score; null without both classes. Rows without a score are
+    left out."""
     group = group or []
-    ranked = midrank(df, score, group).groupBy(*group).agg(F.sum(F.when(F.col(label) == 1, F.col("midrank"))).alias("__r"), F.sum(_long(label)).alias("__p"), F.count("*").alias("__n"))
-    pairs = F.col("__p") * (F.col("__n") - F.col("__p"))
-    return ranked.select(*group, F.when(pairs > 0, (F.col("__r") - F.col("__p") * (F.col("__p") + 1) / 2) / pairs).alias("auc"))
+    blocks = score_blocks(df.where(F.col(score).isNotNull()), score, {"n": F.lit(1).cast("long"), "p": _long(label)}, group, descending=False)
+    # twice the midrank is whole, so the sum is exact in any order
+    twice = F.col("p") * (2 * F.col("c_n") - F.col("n") + 1)
+    ranked = blocks.groupBy(*group).agg(F.sum(twice.cast("decimal(38,0)")).alias("__r"), F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    pairs = F.col("__p").cast("double") * (F.col("__n") - F.col("__p"))
+    return ranked.select(*group, F.when(pairs > 0, (F.col("__r") - F.col("__p").cast("decimal(19,0)") * (F.col("__p") + 1).cast("decimal(19,0)")).cast("double") / 2 / pairs).alias("auc"))
 
 
 def within_bin_auc(df: DataFrame, label: str, score: str, size: str, bins: int = 10, least: int = 3) -> DataFrame:

@@ -167,31 +167,45 @@ def _linear(x: list) -> Column:
     return reduce(lambda a, b: a + b, [v * F.col("m.beta")[k] for k, v in enumerate(x)])
 
 
-def fit_logistics(rows: DataFrame, models: list[Logistic], inputs: list[str], steps: int = 30) -> None:
+def fit_logistics(rows: DataFrame, models: list[Logistic], inputs: list[str], steps: int = 50) -> None:
     """Newton's method for all models at once: each step is one pass over the rows, which sums gradients and curvatures.
 
-    The sums are of the inputs' products, so they are the same size whatever the number of rows. rows: inputs, __y, fold.
+    The sums are of the inputs' products, so they are the same size whatever the number of rows. A step that made a model's
+    penalised loss worse is halved; models that are done take part no more. Raises if one is not done after the steps.
+    rows: inputs, __y, fold.
     """
     d = len(inputs) + 1
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    names = [f"x{k}" for k in range(d)]
+    at = {m.name: (np.array(m.beta), math.inf, None) for m in models}
+    moving = models
     for _ in range(steps):
-        joined, x = _with_models(rows, models, inputs, held=False)
-        names = [f"x{k}" for k in range(d)]
-        z = joined.select("m.name", F.col("__y").alias("y"), F.when(F.col("__y") == 1, F.col("m.cw")[1]).otherwise(F.col("m.cw")[0]).alias("w"), (1 / (1 + F.exp(-_linear(x)))).alias("mu"), *[v.alias(n) for v, n in zip(x, names, strict=True)])
+        joined, x = _with_models(rows, moving, inputs, held=False)
+        z = joined.select("m.name", F.col("__y").alias("y"), F.when(F.col("__y") == 1, F.col("m.cw")[1]).otherwise(F.col("m.cw")[0]).alias("w"), _linear(x).alias("eta"), *[v.alias(n) for v, n in zip(x, names, strict=True)])
+        z = z.withColumn("mu", 1 / (1 + F.exp(-F.col("eta"))))
+        loss = F.col("w") * (F.greatest("eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta"))) - F.col("y") * F.col("eta"))
         e, c = F.col("w") * (F.col("mu") - F.col("y")), F.col("w") * F.col("mu") * (1 - F.col("mu"))
-        sums = z.groupBy("name").agg(*[F.sum(e * F.col(n)).alias(f"g{k}") for k, n in enumerate(names)], *[F.sum(c * F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}") for i, j in pairs])
+        sums = z.groupBy("name").agg(F.sum(loss).alias("loss"), *[F.sum(e * F.col(n)).alias(f"g{k}") for k, n in enumerate(names)], *[F.sum(c * F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}") for i, j in pairs])
         found = {r["name"]: r for r in sums.collect()}
-        moved = 0.0
-        for m in models:
-            beta = np.array(m.beta)
-            h = np.zeros((d, d))
-            for i, j in pairs:
-                h[i, j] = h[j, i] = found[m.name][f"h{i}_{j}"]
-            step = np.linalg.solve(h + m.reg * np.eye(d), np.array([found[m.name][f"g{k}"] for k in range(d)]) + m.reg * beta)
-            m.beta = (beta - step).tolist()
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-8:
+        left = []
+        for m in moving:
+            (best, least, step), r, beta = at[m.name], found[m.name], np.array(m.beta)
+            now = r["loss"] + m.reg * float(beta @ beta) / 2
+            if now <= least + 1e-12 * abs(now):
+                h = np.zeros((d, d))
+                for i, j in pairs:
+                    h[i, j] = h[j, i] = r[f"h{i}_{j}"] + (m.reg if i == j else 0.0)
+                best, least, step = beta, now, np.linalg.solve(h, np.array([r[f"g{k}"] for k in range(d)]) + m.reg * beta)
+            else:
+                step = step / 2
+            at[m.name] = (best, least, step)
+            m.beta = (best - step).tolist()
+            if not np.abs(step).max() < 1e-8:
+                left.append(m)
+        moving = left
+        if not moving:
             return
+    raise ValueError(f"no convergence after {steps} steps: {[(m.name, m.fold, m.reg) for m in moving[:5]]}")
 
 
 @dataclass

@@ -40,21 +40,44 @@ def score_blocks(df: DataFrame, score: str, sums: dict[str, Column], group: list
     return running_sums(blocks, group, [F.col(score).desc() if descending else F.col(score).asc()], {f"c_{n}": n for n in sums})
 
 
+def _ranked_blocks(rows: DataFrame, score: str, group: list[str]) -> DataFrame:
+    """(group, score, n, c_n, midrank) of each distinct score."""
+    blocks = score_blocks(rows, score, {"n": F.lit(1).cast("long")}, group, descending=False)
+    return blocks.withColumn("midrank", F.col("c_n") - F.col("n") + (F.col("n") + 1) / 2)
+
+
+def _given_back(rows: DataFrame, blocks: DataFrame, keys: list[str], values: list[str], share: int = 10_000) -> DataFrame:
+    """rows with the values of their block. blocks: keys, n (how many rows have them) and values, each key once.
+
+    Keys of more than one row in `share` number fewer than `share`, so they are broadcast; no other key can bring a task
+    more than that part of the rows. So a score that a third of the rows share is spread like any. Nulls are keys too.
+    """
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    table = blocks.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("n").alias("__of"), *values)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    often, seldom = F.broadcast(table.where(F.col("__of") * share > total)), table.where(F.col("__of") * share <= total)
+    wanted = [*rows.columns, *values]
+    return rows.join(often, on).select(*wanted).unionByName(rows.join(often, on, "left_anti").join(seldom, on).select(*wanted))
+
+
 def midrank(df: DataFrame, score: str, group: list[str] | None = None) -> DataFrame:
-    """df with midrank: the mean of the places, from 1, that rows of equal score take in ascending order."""
+    """df with midrank: the mean of the places, from 1, that rows of equal score take in ascending order; rows without a
+    score are left out."""
     group = group or []
-    blocks = score_blocks(df, score, {"n": F.lit(1).cast("long")}, group, descending=False)
-    ranks = blocks.select(*group, F.col(score), (F.col("c_n") - F.col("n") + (F.col("n") + 1) / 2).alias("midrank"))
-    return df.join(ranks, [*group, score])
+    rows = stored(df.where(F.col(score).isNotNull()), "scored")
+    return _given_back(rows, stored(_ranked_blocks(rows, score, group), "blocks"), [*group, score], ["midrank"])
 
 
 def midrank_ecdf(df: DataFrame, score: str, group: list[str] | None = None) -> DataFrame:
-    """df with ecdf = (midrank - 0.5) / n."""
+    """df with midrank and ecdf = (midrank - 0.5) / n; rows without a score are left out and not counted."""
     group = group or []
-    ranked = midrank(df, score, group)
-    n = df.groupBy(*group).agg(F.count("*").alias("__n"))
-    joined = ranked.join(n, group) if group else ranked.crossJoin(F.broadcast(n))
-    return joined.withColumn("ecdf", (F.col("midrank") - 0.5) / F.col("__n")).drop("__n")
+    rows = stored(df.where(F.col(score).isNotNull()), "scored")
+    blocks = stored(_ranked_blocks(rows, score, group), "blocks")
+    # the last block's running count is its group's size, and the counts are of blocks, not of rows
+    sizes = blocks.groupBy(*[F.col(g).alias(f"__in_{g}") for g in group]).agg(F.max("c_n").alias("__n"))
+    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__in_{g}")) for g in group], F.lit(True))
+    ranked = (blocks.join(sizes, on) if group else blocks.crossJoin(F.broadcast(sizes))).withColumn("ecdf", (F.col("midrank") - 0.5) / F.col("__n"))
+    return _given_back(rows, ranked, [*group, score], ["midrank", "ecdf"])
 
 
 def exact_quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:

@@ -33,12 +33,13 @@ def hamilton(counts: DataFrame, slots: int, key: str = "stratum", n: str = "n")
 def hash_ranked(rows: DataFrame, unit: str, salt: str, allocation: DataFrame) -> DataFrame:
     """The rows of each stratum's lowest hash ranks, as many as its slots, with their rank.
 
-    A stratum is ranked by range over tasks, so its size does not matter.
+    Each task first keeps its own lowest ranks of a stratum, as many as the largest allocation, so what is shuffled follows
+    the sample's size and not the stratum's.
     """
-    from ..functions.shared import global_rank
-
+    most = allocation.agg(F.max("slots")).first()[0] or 0
     scored = rows.withColumn("__h", F.sha2(F.concat_ws("|", F.lit(salt), "stratum", F.col(unit).cast("string")), 256))
-    ranked = global_rank(scored, [F.col("__h").asc(), F.col(unit).asc()], group=["stratum"])
+    order = Window.partitionBy("stratum").orderBy(F.col("__h").asc(), F.col(unit).asc())
+    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= F.lit(int(most)))
     return ranked.join(F.broadcast(allocation.select("stratum", "slots")), "stratum").where(F.col("rank") <= F.col("slots")).drop("__h")
 
 

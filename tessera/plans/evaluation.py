@@ -133,18 +133,21 @@ def topk_per_entry(s, d):
 
 
 _BUDGET = """SELECT CAST(k AS BIGINT) AS k, count(*) FILTER (r <= k) AS effective, CAST(coalesce(sum({y}) FILTER (r <= k), 0) AS BIGINT) AS found, round(sum({y}) FILTER (r <= k) / count(*) FILTER (r <= k), 9) AS precision,
-  round(sum({y}) FILTER (r <= k) / sum({y}), 9) AS recall, round(sum({v}) FILTER (r <= k) / sum({v}), 9) AS value_captured FROM ({t}) CROSS JOIN (VALUES (50), (100), (250), (500)) b(k) GROUP BY k"""
+  round(sum({y}) FILTER (r <= k) / sum({y}), 9) AS recall, round(sum({v}) FILTER (r <= k) / sum({v}), 9) AS value_captured FROM ({t}) CROSS JOIN (VALUES {ks}) b(k) GROUP BY k"""
 
 
-@query(_BUDGET.format(y="y", v="lateval", t=_RANKED))
+_KS = "(50), (100), (250), (500)"
+
+
+@query(_BUDGET.format(y="y", v="lateval", t=_RANKED, ks=f"{_KS}, (1000)"))
 def budget_metrics(s, d):
-    return _rounded(M.budget_metrics(_a(s, d), "y", "lateval", R.canonical("score", "A"), [50, 100, 250, 500]))
+    return _rounded(M.budget_metrics(_a(s, d), "y", "lateval", R.canonical("score", "A"), [50, 100, 250, 500, 1000]))
 
 
 _HASHED = "SELECT *, row_number() OVER (ORDER BY sha256(i_iso || stage || j_iso) DESC, i_iso, stage, j_iso) AS r FROM a_lanes"
 
 
-@query(f"SELECT 'size' AS method, k, precision, value_captured FROM ({_BUDGET.format(y='y', v='lateval', t=_RANKED)}) UNION ALL SELECT 'hash', k, precision, value_captured FROM ({_BUDGET.format(y='y', v='lateval', t=_HASHED)}) UNION ALL SELECT 'random', CAST(k AS BIGINT), round(avg(y), 9), round(least(k, count(*)) / count(*), 9) FROM a_raw, (VALUES (50), (100), (250), (500)) b(k) GROUP BY k")
+@query(f"SELECT 'size' AS method, k, precision, value_captured FROM ({_BUDGET.format(y='y', v='lateval', t=_RANKED, ks=_KS)}) UNION ALL SELECT 'hash', k, precision, value_captured FROM ({_BUDGET.format(y='y', v='lateval', t=_HASHED, ks=_KS)}) UNION ALL SELECT 'random', CAST(k AS BIGINT), round(avg(y), 9), round(least(k, count(*)) / count(*), 9) FROM a_raw, (VALUES {_KS}) b(k) GROUP BY k")
 def topk_value_table(s, d):
     ks = [50, 100, 250, 500]
     a = _a(s, d).withColumn("hash", F.sha2(F.concat("i_iso", "stage", "j_iso"), 256))
@@ -196,7 +199,7 @@ def two_stage_metrics(s, d):
     return _rounded(M.two_stage(lanes, entries, "b2", 50, 3))
 
 
-@query("SELECT k, effective, coalesce(precision, 0) AS precision, round(found / greatest(p, 1), 9) AS recall, round(coalesce(value_captured, 0) * v / greatest(v, 1), 9) AS value_captured FROM (" + _BUDGET.format(y="z", v="entry_lateval", t=_ERANK) + "), (SELECT sum(z) AS p, sum(entry_lateval) AS v FROM entries)")
+@query("SELECT k, effective, coalesce(precision, 0) AS precision, round(found / greatest(p, 1), 9) AS recall, round(coalesce(value_captured, 0) * v / greatest(v, 1), 9) AS value_captured FROM (" + _BUDGET.format(y="z", v="entry_lateval", t=_ERANK, ks=_KS) + "), (SELECT sum(z) AS p, sum(entry_lateval) AS v FROM entries)")
 def entry_budget_metrics(s, d):
     return _rounded(M.entry_budget(_entries(s, d), [50, 100, 250, 500]))
 

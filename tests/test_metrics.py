@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,8 +90,6 @@ def test_empty_tables(spark):
 
 def test_draw_vectors_against_plain_draws(spark):
     """Ties, a cluster with a third of the rows, missing scores and many pieces, against one draw after another in numpy."""
-    import numpy as np
-
     from tessera.operators import draw_vectors as D
 
     rng = np.random.default_rng(6)
@@ -118,8 +117,6 @@ def test_draw_vectors_against_plain_draws(spark):
 
 
 def test_draw_vectors_one_class_and_empty(spark):
-    import numpy as np
-
     from tessera.operators import draw_vectors as D
 
     df = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 1)], "c string, s double, y int")
@@ -187,3 +184,43 @@ def test_running_sums_over_pieces(spark):
             assert got[k].sn == own[0] and got[k].sx == pytest.approx(own[1]) and got[k].sd == own[2]
     ranks = sorted(r["rank"] for r in global_rank(df, [F.col("k").asc()]).collect())
     assert ranks == list(range(1, 2001)) and global_rank(df.where("false"), [F.col("k").asc()]).count() == 0
+
+
+def test_midranks_of_frequent_scores(spark):
+    """A score that half of the rows share, scores of one row each, null groups; rows without a score are left out."""
+    rng = np.random.default_rng(4)
+    rows = [(k, None if k % 5 == 0 else f"g{k % 2}", 0.0 if k % 2 else float(rng.integers(-40, 40)), int(rng.random() < 0.3)) for k in range(600)]
+    df = spark.createDataFrame([*rows, (600, "g0", None, 1)], "id long, g string, score double, y int").repartition(3)
+    want = {}
+    for g in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == g]
+        for r in own:
+            below, same = sum(x[2] < r[2] for x in own), sum(x[2] == r[2] for x in own)
+            want[r[0]] = (below + (same + 1) / 2, (below + same / 2) / len(own))
+    both = R.midrank_ecdf(df, "score", ["g"]).collect()
+    assert {r.id: r.midrank for r in both} == {k: v[0] for k, v in want.items()} and {r.id: r.ecdf for r in both} == pytest.approx({k: v[1] for k, v in want.items()})
+    assert {r.id: r.midrank for r in R.midrank(df, "score", ["g"]).collect()} == {k: v[0] for k, v in want.items()}
+    # every block beyond the share, none beyond it, and some
+    blocks = R._ranked_blocks(df.where("score is not null"), "score", ["g"])
+    for share in (1, 10, 10_000):
+        back = R._given_back(df.where("score is not null"), blocks, ["g", "score"], ["midrank"], share)
+        assert {r.id: r.midrank for r in back.collect()} == {k: v[0] for k, v in want.items()}
+    auc = {r.g: r.auc for r in M.roc_auc(df, "y", "score", ["g"]).collect()}
+    for g in auc:
+        p, n = ([r[2] for r in rows if r[1] == g and r[3] == y] for y in (1, 0))
+        assert auc[g] == pytest.approx(np.mean([[(a > b) + (a == b) / 2 for b in n] for a in p]))
+
+
+def test_hash_ranked_takes_the_lowest(spark):
+    import hashlib
+
+    from tessera.operators import sampling as S
+
+    rows = [(k, "big" if k % 3 else "small") for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, stratum string").repartition(4)
+    slots = spark.createDataFrame([("big", 200, 7), ("small", 100, 3)], "stratum string, n long, slots long")
+    got = {(r.stratum, r["rank"]): r.id for r in S.hash_ranked(df, "id", "salt", slots).collect()}
+    for stratum, n in (("big", 7), ("small", 3)):
+        order = sorted((hashlib.sha256(f"salt|{stratum}|{k}".encode()).hexdigest(), k) for k, s in rows if s == stratum)
+        assert [got[stratum, i + 1] for i in range(n)] == [k for _, k in order[:n]]
+    assert len(got) == 10 and S.hash_ranked(df, "id", "salt", slots.where("false")).count() == 0
