@@ -53,6 +53,34 @@ class Packing:
             if self.free[k]:
                 insort(room, (self.free[k], k))
 
+    def fill(self, items: list[int], size: list[int]) -> None:
+        """Put items into empty bins: the first opens a bin, which the others fill as far as any choice of them can, earlier
+        ones preferred; then the next of those left opens one. Reachable sums are the bits of a number."""
+        empty = [k for k, b in enumerate(self.bins) if not b]
+        while items:
+            first, others = items[0], items[1:]
+            room = self.cap - size[first]
+            mask, reach = (2 << room) - 1, [1]
+            for i in others:
+                reach.append((reach[-1] | reach[-1] << size[i]) & mask)
+            left, own, items = reach[-1].bit_length() - 1, [first], []
+            unused = room - left
+            for i, before in zip(reversed(others), reversed(reach[:-1]), strict=True):
+                if before >> left & 1:
+                    items.append(i)
+                else:
+                    own.append(i)
+                    left -= size[i]
+            items.reverse()
+            if empty:
+                k = empty.pop()
+            else:
+                k = len(self.bins)
+                self.bins.append([])
+                self.free.append(self.cap)
+            self.bins[k], self.free[k] = own, unused
+            self.where[own] = k
+
 
 def lower_bound(size: np.ndarray, cap: int) -> int:
     """No packing has fewer bins: the best of the bounds that count large items and the room beside them."""
@@ -103,20 +131,20 @@ class Island:
         return min(self.costs)[0] <= self.bound
 
     def _shaken(self, a: Packing, few: int = 40) -> Packing:
-        """Mutation: the emptiest bin and a random few dissolve; some of their items are placed first, then the others."""
+        """Mutation: the emptiest bin and a random few dissolve; their items fill bins anew, large ones roughly first."""
         child = a.copy()
         used = [k for k, b in enumerate(child.bins) if b]
-        picked = {used[i] for i in self.rng.integers(0, len(used), few)} | {max(used, key=child.free.__getitem__)}
-        loose = child.dissolve(picked)
-        early = self.rng.random(len(loose)) < 0.3
-        child.best_fit([i for i, e in zip(loose, early, strict=True) if e], self.size)
-        child.best_fit([i for i, e in zip(loose, early, strict=True) if not e], self.size)
+        few = min(few, 1 + len(used) // 3)
+        loose = child.dissolve({used[i] for i in self.rng.integers(0, len(used), few)} | {max(used, key=child.free.__getitem__)})
+        blur = self.rng.uniform(0.6, 1, len(loose)).tolist()
+        child.fill([i for _, i in sorted(zip((-self.size[i] * x for i, x in zip(loose, blur, strict=True)), loose, strict=True))], self.size)
         return child
 
     def _crossed(self, a: Packing, b: Packing, few: int = 60) -> Packing:
         """Crossover: well-filled bins of b are injected whole into a; bins of a that hold any of their items dissolve,
         and the displaced documents are best-fitted."""
         full = [k for k, x in enumerate(b.bins) if x and b.free[k] * 50 <= self.cap]
+        few = min(few, 1 + len(full) // 3)
         chosen = [b.bins[full[i]] for i in set(self.rng.integers(0, len(full), few).tolist())] if full else []
         child = a.copy()
         held = {i for x in chosen for i in x}
@@ -194,12 +222,14 @@ def _evolved(islands: DataFrame, cap: int, generations: int) -> DataFrame:
     return arrow_map(islands.select("shard", "island", "size", "elites"), run, "shard bigint, island int, size binary, best binary, bins bigint, done boolean")
 
 
-def pack(rows: DataFrame, cap: int = 2048, shard_items: int = 8192, islands: int = 3, epochs: int = 2, generations: int = 40) -> DataFrame:
+def pack(rows: DataFrame, cap: int = 2048, shard_items: int = 8192, islands: int = 3, epochs: int = 2, generations: int = 150, level: int = 0) -> DataFrame:
     """(row, piece, sequence_id, offset) of each piece of `rows` (row, piece, length, own_sequence): every piece is placed once.
 
     Pieces of cap tokens are sequences of their own. The others are dealt by hash into shards of about shard_items, each
     searched by several islands; after an epoch an island's elite moves to the next island of its shard, in a ring. A
-    shard is left alone as soon as it has as few bins as its lower bound. Each shard's last bin is its only loss.
+    shard is left alone as soon as it has as few bins as its lower bound. Of several shards, each gives up its emptiest bin if
+    that is at most half full; the pieces of all those are packed together in the same way, at the next `level`, in no
+    more sequences than they gave up, as all but one are then more than half full.
     """
     count = rows.where(F.col("length") < cap).count()
     shards = max(1, -(-count // shard_items))
@@ -221,7 +251,7 @@ def pack(rows: DataFrame, cap: int = 2048, shard_items: int = 8192, islands: int
         guest = world.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("best").alias("guest"))
         world = world.join(guest, ["shard", "island"]).select("shard", "size", "island", F.array("best", "guest").alias("elites"))
     best = world.groupBy("shard").agg(F.min_by("best", F.struct("bins", "island")).alias("best"))
-    out = pa.schema([("row", pa.int64()), ("piece", pa.int32()), ("shard", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64())])
+    out = pa.schema([("row", pa.int64()), ("piece", pa.int32()), ("length", pa.int64()), ("shard", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("tail", pa.bool_())])
 
     def place(batches):
         for b in batches:
@@ -233,10 +263,18 @@ def pack(rows: DataFrame, cap: int = 2048, shard_items: int = 8192, islands: int
                 first = np.concatenate([[True], np.diff(where[order]) != 0])
                 offset = np.empty(len(items), np.int64)
                 offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-                yield batch(out, [x["row"] for x in items], [x["piece"] for x in items], [shard] * len(items), where.astype(np.int64), offset)
-
-    placed = arrow_map(grouped.join(best, "shard").select("shard", "items", "best"), place, "row bigint, piece int, shard bigint, bin bigint, offset bigint")
-    numbered = placed.select("row", "piece", (F.col("bin") * F.lit(shards) + F.col("shard")).alias("sequence_id"), "offset")
+                fill = np.bincount(where, length)
+                tail = where == fill.argmin() if shards > 1 and 2 * fill.min() <= cap else np.zeros(len(where), bool)
+                yield batch(out, [x["row"] for x in items], [x["piece"] for x in items], length, [shard] * len(items), where.astype(np.int64), offset, tail)
+
+    placed = arrow_map(grouped.join(best, "shard").select("shard", "items", "best"), place, "row bigint, piece int, length bigint, shard bigint, bin bigint, offset bigint, tail boolean")
+    placed = stored(placed, "placed") if shards > 1 else placed
+    number = (F.col("bin") * F.lit(shards) + F.col("shard")) * 64 + level
+    numbered = placed.where("not tail").select("row", "piece", number.alias("sequence_id"), "offset")
+    if shards > 1:
+        tails = placed.where("tail").select("row", "piece", "length", F.lit(None).cast("long").alias("own_sequence"))
+        # a tail has cap / 2 pieces at most, so with shards of 4 * cap each level has at most a quarter of the one before
+        numbered = numbered.unionByName(pack(tails, cap, max(shard_items, 4 * cap), islands, epochs, generations, level + 1))
     full = rows.where(F.col("length") >= cap).select("row", "piece", F.col("own_sequence").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return numbered.unionByName(full)
 

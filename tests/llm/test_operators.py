@@ -450,15 +450,62 @@ def test_packing(spark, docs, odd, empty):
     assert packing.packed_documents(empty).count() == 0
 
 
-def test_islands_improve():
-    rng = np.random.default_rng(3)
-    size = rng.integers(300, 1024, 600).astype(np.int32)
+def triplets(n, seed, cap=2048):
+    """Sizes that fill n bins exactly by threes, which best-fit by size misses."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(cap * 0.38, cap * 0.49))
+        b = int(rng.integers(cap * 0.25, (cap - a) // 2 + 1))
+        out += [a, b, cap - a - b]
+    return np.array(out, np.int32)
+
+
+@pytest.mark.parametrize("size, at_most", [(triplets(60, 2), 62), (np.random.default_rng(3).integers(300, 1024, 600).astype(np.int32), 195), (np.random.default_rng(9).integers(200, 1000, 1000).astype(np.int32), 295)])
+def test_islands_improve(size, at_most):
+    """The search comes to within two bins of the bound where best-fit alone is several above it."""
+    alone = packing.Packing([], [], np.zeros(len(size), np.int64), 2048)
+    alone.best_fit(list(range(len(size))), size.tolist())
     world = packing.Island(size, 2048, 1, [])
-    first = min(world.costs)
-    world.evolve(60)
-    assert min(world.costs) <= first and min(world.costs)[0] >= world.bound
+    world.evolve(150)
+    assert world.bound <= min(world.costs)[0] <= at_most < alone.cost()[0] - 2
     where = np.frombuffer(world.packed(), np.int32)
-    assert np.bincount(where, size).max() <= 2048
+    assert np.bincount(where, size).max() <= 2048 and where.max() + 1 == min(world.costs)[0]
+    for member in world.members:
+        assert sorted(i for x in member.bins for i in x) == list(range(len(size)))
+        assert all(member.where[i] == k for k, x in enumerate(member.bins) for i in x)
+        assert member.free == [2048 - sum(size[i] for i in x) for x in member.bins]
+
+
+def test_crossover_injects_whole_bins():
+    size = triplets(40, 7)
+    world = packing.Island(size, 2048, 5, [])
+    good = packing.Packing([[3 * k, 3 * k + 1, 3 * k + 2] for k in range(40)], [0] * 40, np.arange(120) // 3, 2048)
+    a = world.members[0]
+    child = world._crossed(a, good)
+    assert sorted(i for x in child.bins for i in x) == list(range(120))
+    assert len({tuple(x) for x in good.bins} & {tuple(x) for x in child.bins}) >= 5 and child.cost()[0] < a.cost()[0]
+
+
+def test_tails_of_shards_meet(spark):
+    """Many small shards: each piece once, no gaps, and fewer sequences than the shards' own last bins would take."""
+    rng = np.random.default_rng(1)
+    length = rng.integers(20, 300, 900).tolist()
+    rows = spark.createDataFrame([(k, 0, n, None) for k, n in enumerate(length)] + [(900, 0, 2048, -1), (900, 1, 2048, -2)], "row long, piece int, length long, own_sequence long")
+    placed = packing.pack(rows.repartition(3), shard_items=40).collect()
+    assert sorted((r.row, r.piece) for r in placed) == sorted([(k, 0) for k in range(900)] + [(900, 0), (900, 1)])
+    bins = collections.defaultdict(list)
+    for r in placed:
+        bins[r.sequence_id].append((r.offset, length[r.row] if r.row < 900 else 2048))
+    for own in bins.values():
+        ends = 0
+        for at, n in sorted(own):
+            assert at == ends
+            ends += n
+        assert ends <= 2048
+    full = [sum(n for _, n in x) for x in bins.values()]
+    assert sum(2 * n <= 2048 for n in full) <= 2  # the last of each level
+    assert packing.pack(rows.where("row = 900")).count() == 2
 
 
 class PlainTree:
