@@ -44,11 +44,21 @@ NOTICES = {
         "SPDX-License-Identifier: BSD-3-Clause",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
+    "bsl-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "cc0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This work is licensed under the GNU General Public License, version 2.",
@@ -72,6 +82,7 @@ NOTICES = {
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "SPDX-License-Identifier: MIT",
@@ -79,7 +90,31 @@ NOTICES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.", "Copyright the authors. All rights reserved.", "No license is granted to any party."],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+        "SPDX-License-Identifier: Zlib",
+    ],
 }
+#: Names by which a licence is granted in a line of its own.
+NAMES = {
+    "agpl": ["AGPL-3.0", "GNU Affero General Public License"],
+    "apache-2.0": ["Apache-2.0 license", "Apache License 2.0"],
+    "bsd": ["BSD-3-Clause license", "BSD license"],
+    "bsl-1.0": ["BSL-1.0", "Boost Software License"],
+    "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 license"],
+    "cc0": ["CC0", "CC0 1.0 license"],
+    "epl-2.0": ["EPL-2.0", "Eclipse Public License"],
+    "gpl": ["GPL-3.0", "GPLv2 license", "GNU General Public License"],
+    "isc": ["ISC", "ISC license"],
+    "lgpl": ["LGPL-2.1", "GNU Lesser General Public License"],
+    "mit": ["MIT", "MIT license"],
+    "mpl-2.0": ["MPL-2.0", "Mozilla Public License"],
+    "unlicense": ["Unlicense"],
+    "zlib": ["zlib", "zlib license"],
+}
+#: Ways to grant a named licence.
+GRANTS = ["Licensed under {}.", "Licensed under the {}.", "The code is under the {}.", "This project is released under the terms of the {}.", "License: {}"]
 #: Sentences that use the same words without granting a licence.
 OTHER = [
     "A driving licence must be carried at all times.",
@@ -114,10 +149,19 @@ OTHER = [
     "The domain of the function is the real line.",
     "A proprietary recipe made the bakery famous.",
     "The house has a public domain on its southern side.",
+    "All rooms were reserved by the hotel.",
+    "All rights reserved by the hotel include late arrival.",
+    "All rights reserved by the host are listed below.",
+    "The landlord reserved all rights to the garden.",
+    "He was licensed under the old rules of the state.",
+    "The trade is licensed under the law of the city.",
+    "Licensed under protest, the bar stayed open.",
+    "The eclipse began at noon and no permission was needed to watch it.",
+    "The boost to sales was reserved for the spring.",
 ]
 UNKNOWN = "unknown"
 # Every feature holds one of these, so a line without any of them has no feature and is of no known family.
-_ANCHOR = r"licen[sc]\p{L}*|unlicensed?|copyright\p{L}*|warrant\p{L}*|permission|permitted|redistribut\p{L}*|gnu|spdx|cc|cc0|reserved|commons|mozilla|apache|bsd|a?gpl|lgpl|mpl|isc|dedicated|proprietary|domain|unencumbered"
+_ANCHOR = r"licen[sc]\p{L}*|unlicensed?|copyright\p{L}*|warrant\p{L}*|permission|permitted|redistribut\p{L}*|gnu|spdx|cc|cc0|reserved|commons|mozilla|apache|bsd|bsl|a?gpl|gplv[23]|lgpl|mpl|isc|mit|epl|zlib|dedicated|proprietary|domain|unencumbered"
 _BLANK = r"\n[^\p{L}\p{N}]*\n"
 # A statement ends with its sentence, or before a line that opens a notice.
 _CUT = r"""(?<=[.!?]["')\]]{0,2})(?:[^\S\n]*\n|\s+(?=["'(\[]?\p{Lu}))|\n(?=[^\p{L}\p{N}\n]*(?:SPDX|Copyright|Licensed|Released|All rights|This (?:work|program|library|software)|Permission|Redistributions?)(?![\p{L}\p{N}]))"""
@@ -166,10 +210,15 @@ class LicenceModel:
 FOLDS = 4
 
 
+def notices(family: str) -> list[str]:
+    """The family's notices, and each of its names in each way of granting."""
+    return NOTICES[family] + [g.format(n) for n in NAMES.get(family, []) for g in GRANTS]
+
+
 def training_rows(spark: SparkSession) -> DataFrame:
     """(label, features, fold): each notice and each other sentence, whole and broken off; a notice's parts share its fold."""
     families = sorted(NOTICES)
-    rows = [(float(families.index(f)), i % FOLDS, t) for f in families for i, t in enumerate(NOTICES[f])] + [(float(len(families)), i % FOLDS, t) for i, t in enumerate(OTHER)]
+    rows = [(float(families.index(f)), i % FOLDS, t) for f in families for i, t in enumerate(notices(f))] + [(float(len(families)), i % FOLDS, t) for i, t in enumerate(OTHER)]
     one = spark.range(0, 1, 1, 1)  # the rows above are few: one partition
     table = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("fold"), F.lit(b).alias("text")) for a, k, b in rows])).alias("x")).select("x.*")
     # a notice may break off: its halves are examples too, where they still hold features
@@ -220,7 +269,7 @@ def fit_licences(spark: SparkSession) -> LicenceModel:
 
 def templates(spark: SparkSession) -> DataFrame:
     """(family, template grams): pairs of neighbouring words of each notice."""
-    rows = [(f, t) for f in sorted(NOTICES) for t in NOTICES[f]]
+    rows = [(f, t) for f in sorted(NOTICES) for t in notices(f)]
     table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("family"), F.lit(b).alias("text")) for a, b in rows])).alias("x")).select("x.*")
     return table.select("family", F.array_distinct(_grams(_words(F.col("text")), (2,))).alias("template"))
 

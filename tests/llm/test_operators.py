@@ -316,6 +316,18 @@ def test_licences(spark, empty, odd, licence_model):
     assert licences.scan(empty, licence_model).count() == 0
 
 
+def test_licences_in_other_words(spark, licence_model):
+    """Wordings that are not among the notices, and sentences that use the same words."""
+    want = {
+        "This tool is licensed under MIT.": "mit", "All code here is under the Apache-2.0 license": "apache-2.0", "The library is available under the Eclipse Public License v2.0.": "epl-2.0", "It was released under the zlib license.": "zlib",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING THE WARRANTIES OF MERCHANTABILITY AND NONINFRINGEMENT.': "mit", "Everything is distributed under the Boost Software License.": "bsl-1.0", "All rights reserved.": "proprietary",
+        "He was licensed under a new law.": None, "Students at MIT need permission to enter the lab.": None, "All rights reserved by the museum.": None, "Her fishing license was renewed.": None,
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.family if r.confirmed else None for r in licences.scan(df, licence_model).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_licences_by_hand(spark, docs, licence_model):
     """The scan with its weights taken as given, statement by statement in plain Python."""
     import regex
@@ -346,7 +358,7 @@ def test_licences_by_hand(spark, docs, licence_model):
                 family, likeness = m.families[e.index(best)], 0.0
                 if probability >= 0.5:
                     pairs = set(grams(w, 2))
-                    for n in licences.NOTICES[family]:
+                    for n in licences.notices(family):
                         of = set(grams(words(n), 2))
                         likeness = max(likeness, len(pairs & of) / max(1, min(len(pairs), len(of))))
                 want.append((r.doc_id, i, j, family if likeness >= 0.6 else "unknown", round(probability, 5), round(likeness, 5)))
