@@ -217,9 +217,9 @@ def union_cohorts(s, d):
 
 @query("SELECT 'A' AS track, count(*) AS overlap FROM a_raw SEMI JOIN early USING (i_iso, j_iso, stage) UNION ALL SELECT 'B', count(*) FROM b_raw SEMI JOIN early USING (i_iso, j_iso, stage)")
 def candidate_early_overlap(s, d):
-    early = V.fold(s, d)[0]
-    one = lambda t, n: t.join(early.select(*C.LANE), C.LANE, "left_semi").agg(F.count("*").alias("overlap")).select(F.lit(n).alias("track"), "overlap")
-    return one(V.track_a(s, d), "A").unionByName(one(V.track_b(s, d), "B"))
+    fold = V.fold(s, d)  # one pass over the flows for both tracks and the lanes they are held against
+    one = lambda t, n: t.join(fold[0].select(*C.LANE), C.LANE, "left_semi").agg(F.count("*").alias("overlap")).select(F.lit(n).alias("track"), "overlap")
+    return one(C.track_a(*fold), "A").unionByName(one(C.track_b(*fold), "B"))
 
 
 _U01 = "CAST(('0x' || substr(sha256('tessera|' || {k}), 1, 16))::UBIGINT AS DOUBLE) / 18446744073709551616.0"
