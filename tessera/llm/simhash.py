@@ -87,17 +87,18 @@ def near_links(fps: DataFrame, radius: int = 3, bands: int = 4, tile_rows: int =
     A fingerprint's cell is the population count of each of its `bands` parts. Two fingerprints differ in at least the sum
     of the counts' differences, so a cell meets only cells at a distance up to the radius; all others are skipped. Cells
     are cut into tiles of about `tile_rows`, and a pair of tiles is compared in full by exclusive-or and bit count. A
-    pair of tiles returns a star for each group it finds, so a large group gives links in proportion to its rows.
+    pair of tiles returns a star for each group it finds, so a large group gives links in proportion to its rows. Tiles
+    travel as bare fingerprints, as each goes to many cells; the nodes, wider, are joined to the few links that are found.
     """
     width, levels = 64 // bands, 64 // bands + 1
     mask = (1 << width) - 1
     counts = [F.bit_count(F.shiftrightunsigned(F.col("fp"), k * width).bitwiseAND(F.lit(mask))) for k in range(bands)]
     cell = sum((c * levels**k for k, c in enumerate(counts)), F.lit(0)).cast("int")
-    cells = fps.select("fp", "node").where("fp is not null").withColumn("cell", cell)
+    cells = fps.select("fp").where("fp is not null").withColumn("cell", cell)
     # at most levels**bands rows, so small enough to broadcast whatever the input
     tiles_of = cells.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).alias("tiles"))
     tiled = cells.join(F.broadcast(tiles_of), "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    tiles = stored(tiled.groupBy("cell", "tile").agg(F.collect_list(F.struct("fp", "node")).alias("fps")), "tiles")
+    tiles = stored(tiled.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "tiles")
     steps = [s for s in product(range(-radius, radius + 1), repeat=bands) if sum(map(abs, s)) <= radius and s >= (0,) * bands]
     near = F.array(*[F.lit(sum(d * levels**k for k, d in enumerate(s))) for s in steps])
     inside = F.array(*[F.struct(*[F.lit(d).alias(f"d{k}") for k, d in enumerate(s)]) for s in steps])
@@ -107,19 +108,19 @@ def near_links(fps: DataFrame, radius: int = 3, bands: int = 4, tile_rows: int =
     left = tiles.select(F.col("cell").alias("cell_a"), F.col("tile").alias("tile_a"), F.col("fps").alias("a"), F.explode(reach).alias("cell"))
     pairs = left.join(tiles.withColumnRenamed("fps", "b"), "cell").where("cell <> cell_a or tile >= tile_a")
     pairs = pairs.select("a", F.when((F.col("cell") != F.col("cell_a")) | (F.col("tile") != F.col("tile_a")), F.col("b")).alias("b"))
-    node = fps.schema["node"].dataType.simpleString()
 
     def run(batches):
         for t in batches:
             for k in range(t.num_rows):
-                sides = [x.values for x in (t.column(0)[k], t.column(1)[k]) if x.is_valid]
-                fp = [x.field("fp").to_numpy(zero_copy_only=False).view(np.uint64) for x in sides]
-                i, j = links_in(fp[0], fp[1] if len(fp) == 2 else None, radius)
+                sides = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (t.column(0)[k], t.column(1)[k]) if x.is_valid]
+                i, j = links_in(sides[0], sides[1] if len(sides) == 2 else None, radius)
                 if len(i):
-                    nodes = pa.concat_arrays([x.field("node") for x in sides])
-                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), nodes.take(pa.array(j))], names=["a", "b"])
+                    fp = np.concatenate(sides).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["fa", "fb"])
 
-    return arrow_map(pairs, run, f"a {node}, b {node}")
+    links = arrow_map(pairs, run, "fa bigint, fb bigint")
+    ends = [fps.select(F.col("fp").alias(f), F.col("node").alias(n)) for f, n in (("fa", "a"), ("fb", "b"))]
+    return links.join(ends[0], "fa").join(ends[1], "fb").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
