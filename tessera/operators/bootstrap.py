@@ -59,7 +59,7 @@ def value_interval(df: DataFrame, order: list[Column], oracle: list[Column], by:
     """
     picks = stored(picked(df, cluster, draws, seed), "picks")
     model, _, total = first_units(df, order, by[0], value, cluster, k, picks, draws)
-    best, _, _ = first_units(df, oracle, by[1], value, cluster, k, picks, draws)
+    best, _, _ = first_units(df, oracle, by[1], value, cluster, k, picks, draws, total=False)
     share = lambda x: np.divide(x, total, out=np.full(draws, np.nan), where=total != 0)
     values = _by_draw(df, capture=share(model), oracle=share(best), gap=share(best - model), headroom=best - model)
     return _interval(values, ["capture", "oracle", "gap", "headroom"], draws, [])
@@ -67,7 +67,7 @@ def value_interval(df: DataFrame, order: list[Column], oracle: list[Column], by:
 
 def top_k_draws(df: DataFrame, order: list[Column], by: str, value: str, cluster: str, k: int, draws: int, seed: int) -> DataFrame:
     """(draw, value, units) of the first k units of each draw."""
-    found, units, _ = first_units(df, order, by, value, cluster, k, stored(picked(df, cluster, draws, seed), "picks"), draws)
+    found, units, _ = first_units(df, order, by, value, cluster, k, stored(picked(df, cluster, draws, seed), "picks"), draws, total=False)
     return _by_draw(df, value=found, units=units).withColumn("units", F.col("units").cast("long"))
 
 

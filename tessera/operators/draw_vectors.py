@@ -169,23 +169,70 @@ def average_precisions(df: DataFrame, label: str, score: str, cluster: str, pick
     return out
 
 
-def first_units(df: DataFrame, order: list[Column], by: str, value: str, cluster: str, k: int, picks: DataFrame, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value, units, value of all rows) of each draw: the first k units in a total order that begins with `by` descending, a
-    row counting as often as its cluster is picked, in part beyond k.
+def cluster_totals(df: DataFrame, value: str, cluster: str, picks: DataFrame, draws: int) -> np.ndarray:
+    """The value of all rows in each draw: a cluster's sum counts as often as it is picked, so rows do not meet the draws."""
+    sums = df.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("__v")).join(picks, cluster).select("__v", "picks")
+
+    def run(batches):
+        total = np.zeros(draws)
+        for b in batches:
+            for k in range(0, b.num_rows, _ROWS):
+                own = b.slice(k, _ROWS)
+                total += own.column(0).fill_null(0.0).to_numpy(zero_copy_only=False) @ dense(own.column(1), draws)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), pa.array(total)], names=["draw", "v"])
+
+    found = sums.mapInArrow(run, "draw int, v double").groupBy("draw").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(draws)
+    for r in found:
+        out[r.draw] = r.v
+    return out
+
+
+def _taken(m: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how much of each row each draw takes, units up to the last row) after `before` units."""
+    upto = before + np.cumsum(m, 0)
+    return np.clip(k - (upto - m), 0, m), upto[-1]
+
+
+def first_units(df: DataFrame, order: list[Column], by: str, value: str, cluster: str, k: int, picks: DataFrame, draws: int, head: int = 16_384, total: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(value, units, value of all rows if total) of each draw: the first k units in a total order that begins with `by`
+    descending, a row counting as often as its cluster is picked, in part beyond k.
 
-    Pieces before which every draw has its k units are not read again.
+    The first `head` rows mostly hold k units of every draw, and tasks send no more than those. If a draw wants more, all
+    rows are swept piece by piece; pieces before which every draw has its k units are not read again.
     """
+    every = cluster_totals(df, value, cluster, picks, draws) if total else None
+    if head and (found := _in_head(df, order, value, cluster, k, picks, draws, head)) is not None:
+        return *found, every
     ranked = RankedDraws(df.withColumn("__v", F.col(value).cast("double")).withColumn("__one", F.lit(1.0)), by, cluster, picks, draws)
-    totals = ranked.totals(["__one", "__v"])
+    totals = ranked.totals(["__one"])
     before = np.cumsum(totals[:, 0], 0) - totals[:, 0]
     wanted = [j for j in range(ranked.pieces) if (before[j] < k).any() and totals[j, 0].any()]
 
     def step(state, columns, m):
-        upto = state["n"] + np.cumsum(m, 0)
-        take = np.clip(k - (upto - m), 0, m)
+        take, state["n"] = _taken(m, state["n"], k)
         state["x"] += np.stack([columns[0] @ take, take.sum(0)])
-        state["n"] = upto[-1]
 
     found = ranked.sweep(["__v"], order, wanted, lambda j: {"n": before[j], "x": np.zeros((2, draws))}, step, lambda s: s["x"])
     value_, units = found if found is not None else np.zeros((2, draws))
-    return value_, units, totals[:, 1].sum(0)
+    return value_, units, every
+
+
+def _in_head(df: DataFrame, order: list[Column], value: str, cluster: str, k: int, picks: DataFrame, draws: int, head: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(value, units) of each draw from the first `head` rows alone, None if these end before a draw has its k units."""
+    first = stored(df.orderBy(*order).limit(head), "head")
+    more = first.count() == head
+    ranked = first.join(picks, cluster).repartition(1).sortWithinPartitions(*order).select(F.col(value).cast("double").alias("__v"), "picks")
+
+    def run(batches):
+        n, x = np.zeros(draws), np.zeros((2, draws))
+        for b in batches:
+            for at in range(0, b.num_rows, _ROWS):
+                own = b.slice(at, _ROWS)
+                take, n = _taken(dense(own.column(1), draws), n, k)
+                x += np.stack([own.column(0).to_numpy(zero_copy_only=False) @ take, take.sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*x, n)], names=["value", "units", "n"])
+
+    rows = ranked.mapInArrow(run, "value double, units double, n double").toArrow()
+    found = [rows.column(c).to_numpy() for c in range(3)] if rows.num_rows else list(np.zeros((3, draws)))
+    return None if more and (found[2] < k).any() else (found[0], found[1])
