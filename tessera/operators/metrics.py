@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import exact_sum
+from ..functions.shared import _starts, exact_sum, stored
 from .rank import canonical, quantile_bins, score_blocks, top_k, top_k_per_group
 
 
@@ -14,8 +16,103 @@ def _long(c) -> Column:
 
 
 def average_precision(df: DataFrame, label: str, score: str, group: list[str] | None = None) -> DataFrame:
-    """Tie-block average precision of each group; null without positives."""
-    return weighted_average_precision(df.withColumn("__w", F.lit(1.0)), label, score, "__w", group, null_if_one_class=False)
+    """Tie-block average precision of each group; null without positives.
+
+    Rows are combined by score in the tasks and dealt by range once. Only scores that a positive has add to the sum, so each
+    piece gives back those alone, with the counts above them within the piece, and its totals.
+    """
+    group = group or []
+    if df.schema[score].dataType.typeName() != "double":
+        return weighted_average_precision(df.withColumn("__w", F.lit(1.0)), label, score, "__w", group, null_if_one_class=False)
+    # the range's sample reads the rows too; a sum with zero makes both zeros one
+    rows = stored(df.select(*group, (F.col(score) + F.lit(0.0)).alias("__s"), F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("__p")), "scored")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in group]
+    combined = rows.mapInArrow(_combined([*group, "__s"]), ", ".join([*fields, "__s double, __p double, __n bigint"]))
+    order = [*[F.col(g).asc() for g in group], F.col("__s").desc()]
+    ranked = combined.repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = stored(ranked.mapInArrow(_precision_blocks(group), ", ".join([*fields, "__piece int, __whole boolean, __p double, __cp double, __cn double"])), "positives")
+    # one row a piece and group in it
+    totals = blocks.where("__whole").select(*[F.col(g).alias(f"__of_{g}") for g in group], F.col("__piece").alias("__at"), F.col("__cp").alias("__tp"), F.col("__cn").alias("__tn"))
+    before = Window.partitionBy(*[f"__of_{g}" for g in group]).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    above = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    totals = totals.withColumns({"__op": above("__tp"), "__on": above("__tn")})
+    on = [F.col("__piece") == F.col("__at"), *[F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in group]]
+    each = F.when(~F.col("__whole"), F.col("__p") * (F.col("__op") + F.col("__cp")) / (F.col("__on") + F.col("__cn")))
+    sums = blocks.join(totals, on).groupBy(*group).agg(exact_sum(each, 18).alias("__s"), F.sum(F.when(F.col("__whole"), F.col("__cp"))).alias("__p"))
+    return sums.select(*group, F.when(F.col("__p") > 0, F.coalesce("__s", F.lit(0.0)) / F.col("__p")).alias("average_precision"))
+
+
+def _combined(keys: list[str], most: int = 200_000):
+    """A task's rows combined by their keys, as far as `most` rows together have them."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def done():
+            t = pa.Table.from_batches(held).group_by(keys).aggregate([("__p", "sum"), ("__p", "count")])
+            yield from t.rename_columns([*t.column_names[:-2], "__p", "__n"] if t.column_names[-1] == "__p_count" else ["__p", "__n", *t.column_names[2:]]).select([*keys, "__p", "__n"]).to_batches()
+
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= most:
+                yield from done()
+                held, n = [], 0
+        if n:
+            yield from done()
+
+    return run
+
+
+def _precision_blocks(group: list[str]):
+    """Of sorted rows: each score with positives, its positives and what the piece has down to it; each group's totals in the piece."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        piece = TaskContext.get().partitionId()
+        carry, cp, cn = None, 0.0, 0.0  # the open block, and the group's counts before it
+
+        def out(keys, whole, p, c_p, c_n):
+            n = len(p)
+            return pa.RecordBatch.from_arrays([*keys, pa.array(np.full(n, piece, np.int32)), pa.array(np.full(n, whole)), pa.array(p), pa.array(c_p), pa.array(c_n)], names=[*group, "__piece", "__whole", "__p", "__cp", "__cn"])
+
+        def closed(b, last):
+            """Blocks of the rows, the last one left open unless there are no more."""
+            nonlocal carry, cp, cn
+            k = len(group)
+            edges = _starts(b, list(range(k))) if k else [0]
+            s = b.column(k)
+            void, s = s.is_null().to_numpy(zero_copy_only=False), s.fill_null(0.0).to_numpy()
+            new = np.ones(len(s), bool)
+            new[1:] = ~(((s[1:] == s[:-1]) | (np.isnan(s[1:]) & np.isnan(s[:-1]))) & (void[1:] == void[:-1]))
+            new[edges] = True
+            starts = np.flatnonzero(new)
+            p, n = (np.add.reduceat(b.column(c).to_numpy().astype(np.float64), starts) for c in (k + 1, k + 2))
+            for lo, hi in zip(edges, [*edges[1:], len(s)], strict=True):
+                i, j = np.searchsorted(starts, [lo, hi])
+                open_ = hi == len(s) and not last
+                m = j - 1 if open_ else j
+                c_p, c_n = cp + np.cumsum(p[i:m]), cn + np.cumsum(n[i:m])
+                found = np.flatnonzero(p[i:m] > 0)
+                if len(found):
+                    yield out([b.column(c).take(pa.array(starts[i:m][found])) for c in range(k)], False, p[i:m][found], c_p[found], c_n[found])
+                if m > i:
+                    cp, cn = c_p[-1], c_n[-1]
+                if open_:
+                    row = b.slice(starts[m], 1)
+                    carry = pa.RecordBatch.from_arrays([*row.columns[: k + 1], pa.array([p[m]]), pa.array([int(n[m])])], names=row.schema.names)
+                else:
+                    yield out([b.column(c).slice(lo, 1) for c in range(k)], True, np.zeros(1), np.array([cp]), np.array([cn]))
+                    cp, cn = 0.0, 0.0
+
+        for b in batches:
+            if b.num_rows:
+                yield from closed(b if carry is None else pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(carry.columns, b.columns, strict=True)], names=b.schema.names), False)
+        if carry is not None:
+            yield from closed(carry, True)
+
+    return run
 
 
 def weighted_average_precision(df: DataFrame, label: str, score: str, weight: str, group: list[str] | None = None, null_if_one_class: bool = True) -> DataFrame:

@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import average_precision
@@ -154,17 +154,55 @@ class Logistic:
         return cls(name, fold, reg, mean, [s if s > 1e-12 else 1.0 for s in sd], (n / (2 * max(n - p, 1)), n / (2 * max(p, 1))), [0.0] * (len(inputs) + 1))
 
 
-def _with_models(rows: DataFrame, models: list[Logistic], inputs: list[str], held: bool) -> tuple[DataFrame, list]:
-    """rows met by each model that learns from them (or, if held, that held them out), and the standardised inputs."""
-    one = lambda m: F.struct(F.lit(m.name).alias("name"), F.lit(m.fold).alias("own"), *[F.array(*map(F.lit, v)).alias(k) for k, v in (("mean", m.mean), ("sd", m.sd), ("beta", m.beta), ("cw", m.weights))])
-    table = rows.sparkSession.range(1).select(F.explode(F.array(*map(one, models))).alias("m"))
-    joined = rows.join(F.broadcast(table), F.col("m.own") == F.col("fold") if held else F.col("m.own") != F.col("fold"))
-    x = [(F.col(c).cast("double") - F.col("m.mean")[k]) / F.col("m.sd")[k] for k, c in enumerate(inputs)] + [F.lit(1.0)]
-    return joined, x
+def _arrays(b, inputs: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Inputs, labels and folds of a batch."""
+    x, y, fold = b.columns[:inputs], b.column(inputs), b.column(inputs + 1)
+    return [c.to_numpy(zero_copy_only=False) for c in x], y.to_numpy(zero_copy_only=False), fold.to_numpy(zero_copy_only=False)
+
 
+def _sums(rows: DataFrame, models: list[Logistic], inputs: list[str]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Of each model, over the rows that it learns from: loss, gradient and curvature, without the penalty.
 
-def _linear(x: list) -> Column:
-    return reduce(lambda a, b: a + b, [v * F.col("m.beta")[k] for k, v in enumerate(x)])
+    A task keeps one matrix of sums for all models, so rows do not meet models in a join. Sums are taken over inputs
+    standardised alike for all models, and turned to each model's own standardisation, which is linear, on the driver.
+    """
+    d = len(inputs) + 1
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    mean, sd = np.array(models[0].mean), np.array(models[0].sd)
+    turn = []
+    for m in models:
+        own = np.eye(d)
+        own[np.arange(d - 1), np.arange(d - 1)] = sd / np.array(m.sd)
+        own[:-1, -1] = (mean - np.array(m.mean)) / np.array(m.sd)
+        turn.append(own)
+    beta = np.stack([t.T @ np.array(m.beta) for t, m in zip(turn, models, strict=True)], 1)
+    held, weights = np.array([m.fold for m in models]), np.array([m.weights for m in models]).T
+
+    def run(batches):
+        total = np.zeros((1 + d + len(pairs), len(models)))
+        for b in batches:
+            x, y, fold = _arrays(b, d - 1)
+            z = np.stack([*((c - m) / s for c, m, s in zip(x, mean, sd, strict=True)), np.ones(len(y))], 1)
+            eta = z @ beta
+            t = np.exp(-np.abs(eta))
+            mu = np.where(eta >= 0, 1.0, t) / (1 + t)
+            w = np.where((y == 1)[:, None], weights[1], weights[0]) * (fold[:, None] != held)
+            total[0] += (w * (np.maximum(eta, 0) + np.log1p(t) - y[:, None] * eta)).sum(0)
+            total[1 : 1 + d] += z.T @ (w * (mu - y[:, None]))
+            total[1 + d :] += np.stack([z[:, i] * z[:, j] for i, j in pairs]) @ (w * mu * (1 - mu))
+        k, m = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(k.ravel(), pa.int32()), pa.array(m.ravel(), pa.int32()), pa.array(total.ravel())], names=["k", "m", "v"])
+
+    total = np.zeros((1 + d + len(pairs), len(models)))
+    for r in rows.select(*[F.col(c).cast("double") for c in inputs], "__y", "fold").where("__y is not null").mapInArrow(run, "k int, m int, v double").groupBy("k", "m").agg(F.sum("v").alias("v")).collect():
+        total[r.k, r.m] = r.v
+    out = {}
+    for at, (m, t) in enumerate(zip(models, turn, strict=True)):
+        h = np.zeros((d, d))
+        for (i, j), v in zip(pairs, total[1 + d :, at], strict=True):
+            h[i, j] = h[j, i] = v
+        out[m.name] = total[0, at], t @ total[1 : 1 + d, at], t @ h @ t.T
+    return out
 
 
 def fit_logistics(rows: DataFrame, models: list[Logistic], inputs: list[str], steps: int = 50) -> None:
@@ -175,27 +213,16 @@ def fit_logistics(rows: DataFrame, models: list[Logistic], inputs: list[str], st
     rows: inputs, __y, fold.
     """
     d = len(inputs) + 1
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    names = [f"x{k}" for k in range(d)]
     at = {m.name: (np.array(m.beta), math.inf, None) for m in models}
     moving = models
     for _ in range(steps):
-        joined, x = _with_models(rows, moving, inputs, held=False)
-        z = joined.select("m.name", F.col("__y").alias("y"), F.when(F.col("__y") == 1, F.col("m.cw")[1]).otherwise(F.col("m.cw")[0]).alias("w"), _linear(x).alias("eta"), *[v.alias(n) for v, n in zip(x, names, strict=True)])
-        z = z.withColumn("mu", 1 / (1 + F.exp(-F.col("eta"))))
-        loss = F.col("w") * (F.greatest("eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta"))) - F.col("y") * F.col("eta"))
-        e, c = F.col("w") * (F.col("mu") - F.col("y")), F.col("w") * F.col("mu") * (1 - F.col("mu"))
-        sums = z.groupBy("name").agg(F.sum(loss).alias("loss"), *[F.sum(e * F.col(n)).alias(f"g{k}") for k, n in enumerate(names)], *[F.sum(c * F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}") for i, j in pairs])
-        found = {r["name"]: r for r in sums.collect()}
+        found = _sums(rows, moving, inputs)
         left = []
         for m in moving:
-            (best, least, step), r, beta = at[m.name], found[m.name], np.array(m.beta)
-            now = r["loss"] + m.reg * float(beta @ beta) / 2
+            (best, least, step), (loss, g, h), beta = at[m.name], found[m.name], np.array(m.beta)
+            now = loss + m.reg * float(beta @ beta) / 2
             if now <= least + 1e-12 * abs(now):
-                h = np.zeros((d, d))
-                for i, j in pairs:
-                    h[i, j] = h[j, i] = r[f"h{i}_{j}"] + (m.reg if i == j else 0.0)
-                best, least, step = beta, now, np.linalg.solve(h, np.array([r[f"g{k}"] for k in range(d)]) + m.reg * beta)
+                best, least, step = beta, now, np.linalg.solve(h + m.reg * np.eye(d), g + m.reg * beta)
             else:
                 step = step / 2
             at[m.name] = (best, least, step)
@@ -208,14 +235,32 @@ def fit_logistics(rows: DataFrame, models: list[Logistic], inputs: list[str], st
     raise ValueError(f"no convergence after {steps} steps: {[(m.name, m.fold, m.reg) for m in moving[:5]]}")
 
 
+def held_out_scores(rows: DataFrame, models: list[Logistic], inputs: list[str]) -> DataFrame:
+    """(name, y, score): each row by the models that held it out. Place by place in a fixed order, so equal rows tie."""
+
+    def run(batches):
+        for b in batches:
+            x, y, fold = _arrays(b, len(inputs))
+            for m in models:
+                own = fold == m.fold
+                n = int(own.sum())
+                if n:
+                    score = sum(((c[own] - a) / s * w for c, a, s, w in zip(x, m.mean, m.sd, m.beta, strict=False)), np.zeros(n)) + m.beta[-1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m.name, np.int32)), pa.array(y[own].astype(np.int32)), pa.array(score)], names=["name", "y", "score"])
+
+    return rows.select(*[F.col(c).cast("double") for c in inputs], "__y", "fold").where("__y is not null").mapInArrow(run, "name int, y int, score double")
+
+
 @dataclass
 class FrozenLogistic(Frozen):
     logistic: Logistic | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         """df with score; no label is read."""
-        joined, x = _with_models(self.prepare(df).withColumn("fold", F.lit(0)), [self.logistic], self.inputs, held=False)
-        return joined.withColumn("score", 1 / (1 + F.exp(-_linear(x)))).select(*df.columns, "score")
+        m = self.logistic
+        terms = [(F.col(c).cast("double") - F.lit(a)) / F.lit(s) * F.lit(w) for c, a, s, w in zip(self.inputs, m.mean, m.sd, m.beta, strict=False)]
+        eta = reduce(lambda a, b: a + b, terms) + F.lit(m.beta[-1])
+        return self.prepare(df).withColumn("score", 1 / (1 + F.exp(-eta))).select(*df.columns, "score")
 
 
 def fit_logistic(frozen: Frozen, history: DataFrame, label: str, c: float) -> FrozenLogistic:
@@ -241,9 +286,7 @@ def logistic_select(history: DataFrame, features: list[str], label: str, group:
     stats = _standard(rows, frozen.inputs, ["fold"])
     models = [Logistic.over(i * k + f, f, 1 / c, [r for r in stats if r["fold"] != f], frozen.inputs) for i, c in enumerate(sorted(grid)) for f in range(k)]
     fit_logistics(rows, models, frozen.inputs)
-    joined, x = _with_models(rows, models, frozen.inputs, held=True)
-    scored = joined.select(F.col("m.name").alias("name"), F.col("__y").cast("int").alias("y"), _linear(x).alias("score"))
-    ap = {r["name"]: r.average_precision or 0.0 for r in average_precision(scored, "y", "score", ["name"]).collect()}
+    ap = {r["name"]: r.average_precision or 0.0 for r in average_precision(held_out_scores(rows, models, frozen.inputs), "y", "score", ["name"]).collect()}
     means = [sum(ap[i * k + f] for f in range(k)) / k for i in range(len(grid))]
     best = max(range(len(grid)), key=lambda i: (round(means[i], 12), -i))
     chosen = fit_logistic(frozen, history, label, sorted(grid)[best])
