@@ -75,9 +75,11 @@ def group_kfold(s, d):
 
 
 def _scored(s, d, select):
-    history = _a(s, d, "history").withColumn("entry_id", C.entry_id())
-    frozen = select(history, FEATURES, "y", "entry_id")  # nothing of the main fold has been read yet
-    return frozen, frozen.score(_a(s, d, "main"))
+    folds = V.folds(s, d)
+    lanes = lambda fold: stored(_with_gravity(s, d, C.track_a(*folds[fold])), "lanes")
+    history = lanes("history").withColumn("entry_id", C.entry_id())
+    frozen = select(history, FEATURES, "y", "entry_id")  # the main fold's lanes have not been made yet
+    return frozen, frozen.score(lanes("main"))
 
 
 @query()
@@ -96,21 +98,24 @@ def gbdt_select(s, d):
 def freeze_then_score(s, d):
     """Average precision on the main fold of what was frozen on history, beside the raw size, of tracks A, B1 and B2.
 
-    All three models are frozen before a main table is opened; all B lanes are scored before B2 is conditioned on entry.
+    One pass over the flows sums the windows of both folds. All three models are frozen before the main fold's lanes are made;
+    all B lanes are scored before B2 is conditioned on entry.
     """
-    b = lambda fold: stored(_with_gravity(s, d, V.track_b(s, d, fold)), "lanes")
+    folds = V.folds(s, d)
+    a = lambda fold: stored(_with_gravity(s, d, C.track_a(*folds[fold])), "lanes")
+    b = lambda fold: stored(_with_gravity(s, d, C.track_b(*folds[fold])), "lanes")
     entry = lambda lanes: C.entry_view(lanes).withColumn("y", F.col("z"))
-    past = {"A": _a(s, d, "history"), "B": b("history")}
+    past = {"A": a("history"), "B": b("history")}
     tasks = {
         "A": L.logistic_select(past["A"].withColumn("entry_id", C.entry_id()), FEATURES, "y", "entry_id"),
         "B1": L.logistic_select(entry(past["B"]), ["log_upstream_capacity", "n_candidate_destinations"], "y", "i_iso"),
         "B2": L.logistic_select(C.conditional_lanes(past["B"]).withColumn("entry_id", C.entry_id()), FEATURES, "y", "entry_id"),
     }
     lanes = b("main")
-    scored = {"A": tasks["A"].score(_a(s, d, "main")), "B1": tasks["B1"].score(entry(lanes)), "B2": C.conditional_lanes(tasks["B2"].score(lanes))}
+    scored = {"A": tasks["A"].score(a("main")), "B1": tasks["B1"].score(entry(lanes)), "B2": C.conditional_lanes(tasks["B2"].score(lanes))}
     each = lambda m, c: F.struct(F.lit(m).alias("model"), F.col(c).alias("score"))
     long = [x.select(F.lit(t).alias("track"), "y", F.explode(F.array(each("logistic", "score"), each("size", "size"))).alias("m")).select("track", "y", "m.*") for t, x in scored.items()]
-    return M.average_precision(stored(reduce(DataFrame.unionByName, long), "scored"), "y", "score", ["track", "model"])
+    return M.average_precision(reduce(DataFrame.unionByName, long), "y", "score", ["track", "model"])
 
 
 @query()
