@@ -115,7 +115,7 @@ def read_archives(spark: SparkSession, path: str, years: list[int] | None = None
 def write_archives(flows: DataFrame, path: str) -> None:
     """Flows as zip archives under `path`, a folder that all executors can write: one archive a year and task, with one member.
 
-    A task that is run again writes the same name, so nothing is left twice.
+    A year's rows are dealt to as many tasks as a shuffle has, so a task's share does not grow to a whole year. A task that is run again writes the same name, so nothing is left twice.
     """
     import os
 
@@ -152,4 +152,5 @@ def write_archives(flows: DataFrame, path: str) -> None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32())], names=["task"])
 
-    flows.select("i", "j", "k", "year", "v").repartition("year").sortWithinPartitions("year").mapInArrow(run, "task int").write.format("noop").mode("overwrite").save()
+    tasks = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flows.select("i", "j", "k", "year", "v").repartition(tasks, "year", F.pmod(F.xxhash64("i", "j", "k", "v"), F.lit(tasks))).sortWithinPartitions("year").mapInArrow(run, "task int").write.format("noop").mode("overwrite").save()
