@@ -119,8 +119,70 @@ class RankedDraws:
         return sum((np.array(r["values"]).reshape(r["shape"]) for r in found[1:]), np.array(found[0]["values"]).reshape(found[0]["shape"])) if found else None
 
 
+def counted(picks: DataFrame, cluster: str, draws: int) -> DataFrame:
+    """(cluster, m): picks as one byte a draw, how often the draw picks the cluster; a fourth of the list's size."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, _ROWS):
+                own = b.slice(at, _ROWS)
+                m = dense(own.column(1), draws)
+                if m.size and m.max() > 255:
+                    raise ValueError("a draw picks a cluster more than 255 times")
+                data = m.astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([data[k : k + draws] for k in range(0, len(data), draws)], pa.binary())], names=[cluster, "m"])
+
+    return picks.select(cluster, "picks").mapInArrow(run, f"`{cluster}` {picks.schema[cluster].dataType.simpleString()}, m binary")
+
+
+def _bytes(column: pa.Array, draws: int) -> np.ndarray:
+    """(rows, draws) of a column of counts, without a copy."""
+    start = np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0] if len(column) else 0
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * draws, start).reshape(len(column), draws) if len(column) else np.zeros((0, draws), np.uint8)
+
+
+def _piece_bounds(rows: DataFrame, by: str, pieces: int) -> list[float]:
+    x = rows.select(F.col(by).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    return sorted(set(x.approxQuantile("x", [k / pieces for k in range(1, pieces)], 0.2 / pieces))) if pieces > 1 else []
+
+
+def _class_totals(rows: DataFrame, cluster: str, counts: DataFrame, pieces: int, draws: int) -> np.ndarray:
+    """(piece, 2, draw): positives and rows of each piece in each draw. A cluster's rows are counted by piece before they
+    meet its draws, so each cluster meets them once; tasks send one matrix, which Spark adds up."""
+    each = rows.groupBy(cluster, "__piece").agg(F.sum("__p").alias("p"), F.sum("__n").alias("n"))
+    each = each.groupBy(cluster).agg(F.collect_list(F.struct("__piece", "p", "n")).alias("cells")).join(counts, cluster).select("cells", "m")
+
+    def run(batches):
+        total = np.zeros((pieces * 2, draws))
+        for b in batches:
+            for at in range(0, b.num_rows, _ROWS):
+                own = b.slice(at, _ROWS)
+                cells = own.column(0)
+                flat = cells.flatten()
+                row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+                piece = flat.field(0).to_numpy()
+                w = np.zeros((pieces * 2, len(cells)))
+                for k in (0, 1):
+                    w[piece * 2 + k, row] = flat.field(1 + k).to_numpy()
+                total += w @ _bytes(own.column(1), draws).astype(np.float64)
+        at = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["at", "sums"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(draws)
+        for b in batches:
+            total += b.column("sums").flatten().to_numpy().reshape(b.num_rows, draws).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.list_(pa.float64()))], names=["at", "sums"])
+
+    whole = np.zeros((pieces * 2, draws))
+    for r in each.mapInArrow(run, "at int, sums array<double>").groupBy("at").applyInArrow(add, "at int, sums array<double>").collect():
+        whole[r["at"]] = r.sums
+    return whole.reshape(pieces, 2, draws)
+
+
 class _Blocks:
-    """Precision summed over blocks of equal score, for all draws: the last block stays open until another score follows."""
+    """Precision summed over blocks of equal score, for all draws: only scores with positives add to it, so counts are summed
+    over the runs of rows between those; the last block stays open until another score follows."""
 
     def __init__(self, positives: np.ndarray, all_: np.ndarray) -> None:
         self.p, self.n, self.score = positives.copy(), all_.copy(), None
@@ -134,38 +196,97 @@ class _Blocks:
         self.open[:] = 0
 
     def meet(self, columns: list[np.ndarray], m: np.ndarray) -> None:
+        """columns: score, positives and rows; a row's counts are small whole numbers, so sums of them are exact."""
         score, p, n = columns
         same = (score[1:] == score[:-1]) | (np.isnan(score[1:]) & np.isnan(score[:-1]))
         starts = np.flatnonzero(np.r_[True, ~same])
-        block_p, block_n = np.add.reduceat(p[:, None] * m, starts), np.add.reduceat(n[:, None] * m, starts)
         if self.score is not None and not (self.score == score[0] or (np.isnan(self.score) and np.isnan(score[0]))):
             self.close()
-        self.open += np.stack([block_p[0], block_n[0]])
+        ends = np.r_[starts[1:], len(score)]
+        self.open += [_weighed(p[: ends[0]], m[: ends[0]]), _weighed(n[: ends[0]], m[: ends[0]])]
         if len(starts) > 1:
             self.close()
-            cum_p, cum_n = self.p + np.cumsum(block_p[1:-1], 0), self.n + np.cumsum(block_n[1:-1], 0)
-            if len(cum_p):
-                self.sum += np.divide(block_p[1:-1] * cum_p, cum_n, out=np.zeros_like(cum_p), where=cum_n > 0).sum(0)
-                self.p, self.n = cum_p[-1].copy(), cum_n[-1].copy()
-            self.open[:] = block_p[-1], block_n[-1]
+            lo, hi = starts[1], starts[-1]
+            if hi > lo:
+                # runs that end where a block with positives ends
+                block_p = np.add.reduceat(p[lo:hi], starts[1:-1] - lo)
+                cuts = ends[1:-1][block_p > 0]
+                at = lo
+                rows = np.flatnonzero(p[lo:hi] > 0) + lo
+                own_p = p[rows][:, None] * m[rows]
+                if len(cuts):
+                    edges = np.r_[lo, cuts[:-1]]
+                    weighed = m[lo : cuts[-1]] if (n[lo : cuts[-1]] == 1).all() else n[lo : cuts[-1], None] * m[lo : cuts[-1]]
+                    run_n = np.add.reduceat(weighed, edges - lo, axis=0, dtype=np.float64)
+                    run_p = np.add.reduceat(own_p, np.searchsorted(rows, edges), axis=0, dtype=np.float64)
+                    cum_p, cum_n = self.p + np.cumsum(run_p, 0), self.n + np.cumsum(run_n, 0)
+                    self.sum += np.divide(run_p * cum_p, cum_n, out=np.zeros_like(cum_p), where=cum_n > 0).sum(0)
+                    self.p, self.n, at = cum_p[-1].copy(), cum_n[-1].copy(), cuts[-1]
+                self.n += _weighed(n[at:hi], m[at:hi])
+            self.open[:] = _weighed(p[starts[-1] :], m[starts[-1] :]), _weighed(n[starts[-1] :], m[starts[-1] :])
         self.score = score[-1]
 
 
-def average_precisions(df: DataFrame, label: str, score: str, cluster: str, picks: DataFrame, draws: int) -> np.ndarray:
+def _weighed(w: np.ndarray, m: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(w)
+    return w[at] @ m[at].astype(np.float64)
+
+
+def average_precisions(df: DataFrame, label: str, score: str, cluster: str, picks: DataFrame, draws: int, pieces: int | None = None) -> np.ndarray:
     """The average precision of each draw, NaN where a draw lacks a class.
 
-    Rows are combined by cluster and score first, so tied rows cost one row a cluster, and meet the draws after that.
+    Rows are combined by cluster and score, so tied rows cost one row a cluster. They are cut into pieces of the score at
+    approximate quantiles; equal scores share a piece. Counts by piece come from each cluster once, and then each piece is
+    sorted in one task. A row carries its cluster's draws as bytes, in that one shuffle only; nothing of it is written.
     """
-    small = df.groupBy(cluster, F.col(score).cast("double").alias("__s")).agg(F.sum(F.col(label).cast("long")).cast("double").alias("__p"), F.count("*").cast("double").alias("__n"))
-    ranked = RankedDraws(small, "__s", cluster, picks, draws)
-    totals = ranked.totals(["__p", "__n"])
+    small = stored(df.groupBy(cluster, F.col(score).cast("double").alias("__s")).agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).cast("double").alias("__p"), F.count("*").cast("double").alias("__n")), "draw-rows")
+    cuts = _piece_bounds(small, "__s", pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pieces = len(cuts) + 2
+
+    def placed(batches):
+        bounds = np.array(cuts)
+        for b in batches:
+            s = b.column(1)
+            x = s.fill_null(0.0).to_numpy()
+            # descending: not-a-number is above all scores, null below
+            piece = np.where(np.isnan(x), 0, len(bounds) - np.searchsorted(bounds, x, "right"))
+            piece[s.is_null().to_numpy(zero_copy_only=False)] = pieces - 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(piece.astype(np.int32))], names=[*b.schema.names, "__piece"])
+
+    kind = f"`{cluster}` {small.schema[cluster].dataType.simpleString()}, __s double, __p double, __n double, __piece int"
+    rows = small.select(cluster, "__s", "__p", "__n").mapInArrow(placed, kind)
+    counts = stored(counted(picks, cluster, draws), "counts")
+    totals = _class_totals(rows, cluster, counts, pieces, draws)
     before = np.cumsum(totals, 0) - totals
     p, n = totals.sum(0)
-    sums = ranked.sweep(["__s", "__p", "__n"], [F.col("__s").desc()], list(range(ranked.pieces)), lambda k: _Blocks(*before[k]), _Blocks.meet, lambda s: (s.close(), s.sum[None])[1])
+
+    def run(batches):
+        now, state = None, None
+
+        def done():
+            state.close()
+            return pa.RecordBatch.from_arrays([pa.array([state.sum], pa.list_(pa.float64()))], names=["sums"])
+
+        for b in batches:
+            piece = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                for k in range(lo, hi, _ROWS):
+                    own = b.slice(k, min(_ROWS, hi - k))
+                    if piece[lo] != now:
+                        if now is not None:
+                            yield done()
+                        now, state = piece[lo], _Blocks(*before[piece[lo]])
+                    state.meet([own.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3)], _bytes(own.column(4), draws))
+        if now is not None:
+            yield done()
+
+    ranked = rows.join(counts, cluster).select("__piece", "__s", "__p", "__n", "m").repartition(pieces, "__piece").sortWithinPartitions("__piece", F.col("__s").desc())
+    sums = ranked.mapInArrow(run, "sums array<double>").collect()
     out = np.full(draws, np.nan)
     defined = (p > 0) & (n > p)
-    if sums is not None:
-        out[defined] = sums[0][defined] / p[defined]
+    if sums:
+        out[defined] = np.sum([r.sums for r in sums], 0)[defined] / p[defined]
     return out
 
 
