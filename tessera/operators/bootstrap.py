@@ -42,6 +42,7 @@ def _by_draw(df: DataFrame, **columns: np.ndarray) -> DataFrame:
 
 def ap_interval(df: DataFrame, label: str, score: str, cluster: str, draws: int, seed: int) -> DataFrame:
     """Interval of the average precision over draws of clusters."""
+    df = stored(df.select(cluster, label, score), "scored")
     ap = average_precisions(df, label, score, cluster, stored(picked(df, cluster, draws, seed), "picks"), draws)
     return _interval(_by_draw(df, average_precision=ap), ["average_precision"], draws, [])
 
@@ -73,6 +74,7 @@ def top_k_draws(df: DataFrame, order: list[Column], by: str, value: str, cluster
 
 def paired_delta(df: DataFrame, label: str, left: str, right: str, cluster: str, draws: int, seed: int) -> DataFrame:
     """Interval of the difference of two scores' average precision on the same draws."""
+    df = stored(df.select(cluster, label, left, right), "scored")
     picks = stored(picked(df, cluster, draws, seed), "picks")
     a, b = (average_precisions(df, label, c, cluster, picks, draws) for c in (left, right))
     return _interval(_by_draw(df, delta=a - b), ["delta"], draws, [])
