@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import exact_sum
+from ..functions.shared import exact_sum, stored
 
 
 def stage_tiers(upstream: DataFrame, stages: DataFrame) -> DataFrame:
@@ -73,7 +73,9 @@ def profile(edges: DataFrame) -> DataFrame:
 
 def graph_gaps(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, missing): candidate heads, tails and relations that the graph lacks."""
-    nodes = edges.select(F.col("head").alias("x")).unionByName(edges.select(F.col("tail").alias("x"))).distinct()
+    # each is read several times
+    candidates = stored(candidates.select("i_iso", "j_iso", "stage"), "candidates")
+    nodes = stored(edges.select(F.col("head").alias("x")).unionByName(edges.select(F.col("tail").alias("x"))).distinct(), "nodes")
     kinds = {"head": ("i_iso", nodes), "tail": ("j_iso", nodes), "relation": ("stage", edges.select(F.col("relation").alias("x")).distinct())}
     parts = [candidates.select(F.col(c).alias("x")).distinct().join(known, "x", "left_anti").agg(F.count("*").alias("missing")).select(F.lit(k).alias("kind"), "missing") for k, (c, known) in kinds.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -177,7 +179,12 @@ def rca_membership(totals: DataFrame, i: str = "i_iso", p: str = "p", v: str = "
 
 def stage_density(entries: DataFrame, dens: DataFrame, stage_products: DataFrame, i: str = "i_iso", p: str = "p") -> DataFrame:
     """entries (i, stage) with score: mean density over the stage's products; unknown exporters and products count 0."""
+    return stage_mean(entries, dens.join(stage_products.select("stage", p), p).groupBy(i, "stage").agg(F.sum("density").alias("density")), stage_products, i)
+
+
+def stage_mean(entries: DataFrame, sums: DataFrame, stage_products: DataFrame, i: str = "i_iso") -> DataFrame:
+    """entries (i, stage) with score: the sum of densities (i, stage, density) over the number of the stage's products."""
     products = stage_products.groupBy("stage").agg(F.count("*").alias("__k"))
-    sums = dens.join(stage_products.select("stage", p), p).groupBy(i, "stage").agg(F.sum("density").alias("__s"))
+    sums = sums.select(i, "stage", F.col("density").alias("__s"))
     x = entries.join(sums, [i, "stage"], "left").join(products, "stage", "left")
     return x.select(*entries.columns, F.coalesce(F.col("__s") / F.col("__k"), F.lit(0.0)).alias("score"))

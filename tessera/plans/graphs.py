@@ -15,14 +15,21 @@ from .registry import query
 _PL = "SELECT i_iso, j_iso, k FROM (SELECT i_iso, j_iso, k, CAST(sum(v) AS DOUBLE) / 2 AS v FROM flows WHERE year IN (1997, 1998) GROUP BY ALL) WHERE v > 25000"
 
 
-def _product_lanes(s, d):
-    return P.active(P.window_calendar_mean(V.flows(s, d), [1997, 1998], ["i_iso", "j_iso", "k"]), 25000.0).select("i_iso", "j_iso", "k")
+def _product_lanes(s, d, rows=None):
+    lanes = P.active(P.window_calendar_mean(V.flows(s, d) if rows is None else rows, [1997, 1998], ["i_iso", "j_iso", "k"]), 25000.0)
+    return stored(lanes.select("i_iso", "j_iso", "k"), "product-lanes")
 
 
 def _early(s, d):
     return V.fold(s, d)[0]
 
 
+def _rows(s, d):
+    """The flows of the main fold's years, joined once and written, for queries that sum them in several ways."""
+    f = V.FOLDS["main"]
+    return stored(V.flows(s, d).where(F.col("year").isin(*f.early, *f.late)), "flows")
+
+
 def _stages(s):
     from ..sources.tables import stage_edges
 
@@ -49,11 +56,11 @@ _TRIPLES = f"""SELECT i_iso AS head, stage AS relation, j_iso AS tail FROM early
   UNION ALL SELECT DISTINCT i_iso, 'supplies', k FROM ({_PL}) UNION ALL SELECT DISTINCT j_iso, 'demands', k FROM ({_PL})"""
 
 
-def _triples(s, d):
+def _triples(s, d, early=None, rows=None):
     reg = V.registry(s)
     form = reg.select(F.explode("form_of").alias("f")).select(F.col("f")[0].alias("a"), F.col("f")[1].alias("b"))
     derived = reg.select(F.explode("derived_from").alias("stage", "sources")).select("stage", F.explode("sources").alias("source"))
-    return G.triples(_early(s, d), _product_lanes(s, d), form, derived)
+    return G.triples(_early(s, d) if early is None else early, _product_lanes(s, d, rows), form, derived)
 
 
 @query(f"SELECT head, relation, tail FROM ({_TRIPLES})")
@@ -86,7 +93,10 @@ def graph_profile(s, d):
 
 @query(f"WITH t AS ({_TRIPLES}), n AS (SELECT head AS x FROM t UNION SELECT tail FROM t) SELECT 'head' AS kind, count(*) AS missing FROM (SELECT DISTINCT i_iso AS x FROM a_raw ANTI JOIN n ON n.x = i_iso) UNION ALL SELECT 'tail', count(*) FROM (SELECT DISTINCT j_iso AS x FROM a_raw ANTI JOIN n ON n.x = j_iso) UNION ALL SELECT 'relation', count(*) FROM (SELECT DISTINCT stage FROM a_raw ANTI JOIN t ON t.relation = stage)")
 def graph_coverage(s, d):
-    return G.graph_gaps(V.track_a(s, d), _triples(s, d))
+    rows = _rows(s, d)
+    f = V.FOLDS["main"]
+    early, late = (P.active(w, V.THRESHOLD) for w in P.window_pair(rows, list(f.early), list(f.late), C.LANE))
+    return G.graph_gaps(C.track_a(early, late, V.upstream(s)), _triples(s, d, early, rows))
 
 
 @query("SELECT code, owners FROM (SELECT substr(k, 1, 2) AS code, count(DISTINCT chain) AS owners FROM flows JOIN stages USING (stage) GROUP BY ALL) WHERE owners = 1")
@@ -161,8 +171,8 @@ _PROX = f"{_MEM}, {_TGT}, ub AS (SELECT p, count(*) AS u FROM mem GROUP BY p), c
 _DENS = f"{_PROX}, dens AS (SELECT m.i_iso, x.p, sum(proximity) / t.t AS density FROM prox x JOIN mem m ON m.p = x.q JOIN (SELECT p, sum(proximity) AS t FROM prox GROUP BY p) t ON t.p = x.p GROUP BY m.i_iso, x.p, t.t)"
 
 
-def _members(s, d):
-    f = V.flows(s, d).where("year in (1997, 1998)")
+def _members(s, d, rows=None):
+    f = (V.flows(s, d) if rows is None else rows).where("year in (1997, 1998)")
     totals = stored(f.groupBy("i_iso", F.substring("k", 1, 4).alias("p")).agg(F.sum("v").cast("double").alias("v")), "totals")
     return stored(G.rca_membership(totals), "members")
 
@@ -202,7 +212,10 @@ def product_density(s, d):
 
 @query(f"WITH {_DENS}, sp AS (SELECT 'Brand#' || CAST(substr(p, 1, 2) AS INTEGER) AS stage, p FROM tgt) SELECT e.i_iso, e.stage, round(coalesce(sum(density) / any_value(n.k), 0), 8) AS score FROM entries e LEFT JOIN (SELECT stage, count(*) AS k FROM sp GROUP BY stage) n ON n.stage = e.stage LEFT JOIN sp ON sp.stage = e.stage LEFT JOIN dens ON dens.i_iso = e.i_iso AND dens.p = sp.p GROUP BY e.i_iso, e.stage")
 def stage_density_score(s, d):
-    m = _members(s, d)
+    rows, f = _rows(s, d), V.FOLDS["main"]
+    m = _members(s, d, rows)
     products = _targets(s, m)
-    entries = C.entry_view(V.track_b(s, d)).select(*C.ENTRY)
-    return G.stage_density(entries, _density(s, m), products).withColumn("score", F.round("score", 8))
+    early, late = (P.active(w, V.THRESHOLD) for w in P.window_pair(rows, list(f.early), list(f.late), C.LANE))
+    entries = C.entry_view(C.track_b(early, late, V.upstream(s))).select(*C.ENTRY)
+    sums = PS.density_sums(m, stored(PS.proximity(m, products), "proximity"), products)
+    return G.stage_mean(entries, sums, products).withColumn("score", F.round("score", 8))
