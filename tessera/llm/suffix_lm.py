@@ -8,9 +8,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch, key_filter, may_be_in, read_table, remainder, stored
@@ -19,6 +19,8 @@ from .common import arrow_map, batch, key_filter, may_be_in, read_table, remaind
 # run without its last symbol times _STEP, plus the last one's hash. The chance that two of n runs share a key is n*n / 2**65.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 START, END = b"\n", b"\n\n"
+#: Which bytes are parts of words, as of bytes.split().
+_PART = ~np.isin(np.arange(256), [*range(9, 14), 32])
 
 
 def lm_words(text: str | None) -> list[bytes]:
@@ -26,37 +28,67 @@ def lm_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def symbol(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each number by another one, which may be any; no two by the same."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def symbols(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words that begin at `first` in some bytes: their length, mixed with eight bytes after eight."""
+    eight = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    out = _mixed(size.astype(np.uint64) * _STEP)
+    at, left, own = first, size, slice(None)
+    while len(at):
+        unused = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+        out[own] = _mixed(out[own] ^ (eight[at] << unused))
+        longer = np.flatnonzero(left > 8)
+        at, left, own = at[longer] + 8, left[longer] - 8, longer if isinstance(own, slice) else own[longer]
+    return out
 
 
-class _Symbols(dict):
-    """Hashes of words met before; forgotten when too many, which bounds memory only."""
+def symbol(word: bytes) -> int:
+    return int(symbols(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = symbol(word)
-        return h
+def text_blocks(texts: pa.Array, most_bytes: int = 1_500_000, most: int = 2_000):
+    """Slices of an array of texts, each of at most `most` texts and most_bytes; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most_bytes, "right"))
+        end = min(max(end, at + 1), at + most)
+        yield at, min(end, len(texts))
+        at = end
 
 
 class Runs:
     """The symbols of some texts one after another, each text between START and END, and the keys of all their runs."""
 
-    def __init__(self, texts: list[str | None], of: _Symbols) -> None:
-        flat: list[bytes] = []
-        size = []
-        for t in texts:
-            w = lm_words(t)
-            flat.append(START)
-            flat += w
-            flat.append(END)
-            size.append(len(w) + 2)
-        self.size = np.array(size, np.int64)
+    def __init__(self, texts: pa.Array) -> None:
+        low = pc.ascii_lower(pc.fill_null(texts, ""))
+        upto = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, 4 * low.offset).astype(np.int64)
+        data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]
+        upto -= upto[0]
+        part = _PART[data]
+        # whether a word may begin, or have ended, at each place: after a separator, at one, and where a text begins
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = False
+        edge[upto] = True
+        first = np.flatnonzero(part & (edge[:-1] | np.append(True, ~part[:-1])[: len(part)]))
+        end = np.flatnonzero(part & (edge[1:] | np.append(~part[1:], True)[: len(part)])) + 1
+        self.size = np.diff(np.searchsorted(first, upto)) + 2
         self.first = np.cumsum(self.size) - self.size
-        self.keys = [np.fromiter(map(of.__getitem__, flat), np.uint64, len(flat))]
-        self.place = np.arange(len(flat)) - np.repeat(self.first, self.size)
-        self.doc = np.repeat(np.arange(len(size)), self.size)
+        keys = np.empty(self.size.sum(), np.uint64)
+        word = np.ones(len(keys), bool)
+        for at, edge_symbol in ((self.first, START), (self.first + self.size - 1, END)):
+            keys[at] = symbol(edge_symbol)
+            word[at] = False
+        keys[word] = symbols(data, first, end - first)
+        self.keys = [keys]
+        self.place = np.arange(len(keys)) - np.repeat(self.first, self.size)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
 
     def longer(self) -> np.ndarray:
         """Keys of the runs of one symbol more that end at each place; what crosses a text's start is not `whole`."""
@@ -79,49 +111,98 @@ def _signed(keys: np.ndarray) -> np.ndarray:
 GATHERED = 1_500_000
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """A column's lowest bytes, then the next ones and so on, so that high zeros stand together."""
+    return column.view(np.uint8).reshape(len(column), column.itemsize).T.tobytes()
+
+
+def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Keys in ascending order, as differences, with columns that go with them."""
+    data = _planes(np.diff(keys, prepend=np.uint64(0))) + b"".join(_planes(c) for c in columns)
+    return len(keys).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpack(data: bytes, *types: type) -> list[np.ndarray]:
+    """What pack() was given; types are those of the columns."""
+    n, at = int.from_bytes(data[:4], "little"), 0
+    width = [8, *(np.dtype(t).itemsize for t in types)]
+    data = pa.decompress(data[4:], n * sum(width), "zstd", asbytes=True)
+    out = []
+    for w, t in zip(width, (np.uint64, *types), strict=True):
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T).view(t).reshape(n))
+        at += n * w
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that have keys, where they begin and the last one ends): ascending keys are evenly spread, so their leading bits
+    deal them in runs."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    full, first = np.unique(bucket, return_index=True)
+    return full.astype(np.int32), np.append(first, len(keys))
+
+
+def _summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """(keys, n, ...) of tables that are in order of their keys: one row a key, in order, with the sum of n."""
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    order = np.argsort(columns[0], kind="stable")  # merges what is in order
+    keys = columns[0][order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return [keys[first], np.add.reduceat(columns[1][order], first, dtype=columns[1].dtype) if len(first) else columns[1], *(c[order[first]] for c in columns[2:])]
+
+
 class _Blocks:
-    """Runs gathered by a task, combined and dealt by key into blocks of bytes, so that a shuffle moves few rows."""
+    """Runs gathered by a task, combined and dealt by key into blocks of bytes, so that a shuffle moves few rows.
+
+    Linked runs go with the key of the run without the last symbol; those of more than two symbols also with that of the run
+    without the first one, which for two symbols follows from the others.
+    """
 
     schema = pa.schema([("size", pa.int32()), ("bucket", pa.int32()), ("linked", pa.bool_()), ("data", pa.binary())])
 
-    def __init__(self, size: int, buckets: int, linked: bool, flush: int = 700_000) -> None:
-        self.size, self.buckets, self.linked, self.flush, self.held, self.n = size, buckets, linked, flush, [], 0
+    def __init__(self, size: int, buckets: int, linked: bool, flush: int = 500_000) -> None:
+        self.size, self.buckets, self.linked, self.flush = size, buckets, linked, flush // (2 if linked else 1)
+        self.held, self.n, self.own = [], 0, None
 
     def add(self, *columns: np.ndarray) -> bool:
+        """Whether there are so many different runs that they should go."""
         self.held.append(columns)
         self.n += len(columns[0])
-        return self.n > self.flush
+        if self.n > self.flush:
+            self._combine()
+        return self.own is not None and len(self.own[0]) > self.flush
 
-    def blocks(self) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)] if self.held else [np.zeros(0, np.uint64)] * (3 if self.linked else 1)
+    def _combine(self) -> None:
+        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
         self.held, self.n = [], 0
         if self.linked:
-            keys, first, times = np.unique(columns[0], return_index=True, return_counts=True)
-            more = [c[first] for c in columns[1:]]
+            order = np.argsort(columns[0])
+            new = _summed([[columns[0][order], np.ones(len(order), np.uint32), *(c[order] for c in columns[1:])]])
         else:
-            keys, times = np.unique(columns[0], return_counts=True)
-            more = []
-        # keys are sorted and evenly spread, so their leading bits deal them in runs
-        bucket = ((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
-        ends = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        full = [k for k in range(self.buckets) if ends[k] < ends[k + 1]]
-        data = [b"".join(c[ends[k] : ends[k + 1]].tobytes() for c in (keys, times.astype(np.uint32), *more)) for k in full]
+            keys, n = np.unique(columns[0], return_counts=True)
+            new = [keys, n.astype(np.uint32)]
+        self.own = new if self.own is None else _summed([self.own, new])
+
+    def blocks(self) -> pa.RecordBatch:
+        if self.held:
+            self._combine()
+        if self.own is None:
+            return batch(self.schema, [], [], [], [])
+        own, self.own = self.own, None
+        full, ends = dealt(own[0], self.buckets)
+        data = [pack(*(c[a:b] for c in own)) for a, b in zip(ends, ends[1:], strict=False)]
         return batch(self.schema, [self.size] * len(full), full, [self.linked] * len(full), data)
 
     @staticmethod
-    def gathered(blocks: list[bytes], linked: bool) -> list[np.ndarray]:
+    def gathered(blocks: list[bytes], size: int, linked: bool) -> list[np.ndarray]:
         """(keys, n[, context, suffix]) of the blocks of one bucket."""
-        types = [np.uint64, np.uint32, np.uint64, np.uint64] if linked else [np.uint64, np.uint32]
-        width = sum(np.dtype(t).itemsize for t in types)
-        parts: list[list] = [[] for _ in types]
-        for data in blocks:
-            n, at = len(data) // width, 0
-            for own, t in zip(parts, types, strict=True):
-                own.append(np.frombuffer(data, t, n, at))
-                at += n * np.dtype(t).itemsize
-        columns = [np.concatenate(c) for c in parts]
-        keys, first, place = np.unique(columns[0], return_index=True, return_inverse=True)
-        return [keys, np.bincount(place, columns[1], len(keys)).astype(np.int64), *(c[first] for c in columns[2:])]
+        types = [np.uint32, *([np.uint64] * min(size - 1, 2) if linked else [])]
+        parts = [unpack(b, *types) for b in blocks]
+        keys, n, *more = _summed([[k, n.astype(np.int64), *m] for k, n, *m in parts])
+        if linked and size == 2:
+            with np.errstate(over="ignore"):
+                more.append(keys - more[0] * _STEP)
+        return [keys, n, *more]
 
 
 def run_counts(docs: DataFrame, sizes: list[int], links: list[int], shorter: np.ndarray | None, buckets: int, least_count: int, text_col: str = "text", train_col: str = "train") -> DataFrame:
@@ -136,12 +217,11 @@ def run_counts(docs: DataFrame, sizes: list[int], links: list[int], shorter: np.
     every = sorted({*sizes, *links})
 
     def run(batches):
-        of = _Symbols()
         blocks = {size: _Blocks(size, buckets, size in links) for size in every}
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for at in range(0, len(texts), 300):
-                runs = Runs(texts[at : at + 300], of)
+            texts = b.column(0)
+            for at, end in text_blocks(texts):
+                runs = Runs(texts[at:end])
                 while len(runs.keys) < every[-1]:
                     runs.longer()
                 passes = None if may.value is None else may_be_in(runs.keys[every[-1] - 2], may.value) & runs.whole(every[-1] - 1)
@@ -156,7 +236,7 @@ def run_counts(docs: DataFrame, sizes: list[int], links: list[int], shorter: np.
                         ends = np.flatnonzero(passes & runs.whole(size))
                     columns = [runs.keys[size - 1][ends]]
                     if size in links:
-                        columns += [runs.keys[size - 2][ends - 1], runs.keys[size - 2][ends]]
+                        columns += [runs.keys[size - 2][ends - 1], runs.keys[size - 2][ends]][: size - 1]
                     if own.add(*columns):
                         yield own.blocks()
         for own in blocks.values():
@@ -164,7 +244,7 @@ def run_counts(docs: DataFrame, sizes: list[int], links: list[int], shorter: np.
 
     def combine(key, t):
         size, _, linked = (k.as_py() for k in key)
-        keys, n, *more = _Blocks.gathered(t.column("data").to_pylist(), linked)
+        keys, n, *more = _Blocks.gathered(t.column("data").to_pylist(), size, linked)
         keep = n >= (least_count if size > 1 else 1)
         more = [pa.array(_signed(c[keep])) for c in more] or [pa.nulls(int(keep.sum()), pa.int64())] * 2
         m = int(keep.sum())
@@ -177,7 +257,8 @@ def run_counts(docs: DataFrame, sizes: list[int], links: list[int], shorter: np.
 @dataclass
 class SuffixTree:
     """words (key, n) of all training words; values (key, n, value): what each run that ends at a place adds to the log10
-    probability; per length of context how many were tested and retained; the figures of the base score."""
+    probability, in two rows for a run that has a value of its own and is a context too; per length of context how many were
+    tested and retained; the figures of the base score."""
 
     words: DataFrame
     values: DataFrame
@@ -200,19 +281,21 @@ def grow(runs: DataFrame, shorter: DataFrame, least_gain: float) -> tuple[DataFr
     run adds beyond its suffix's run and its context's weight; contexts: (key, n, rest, retained), log10 weights.
     """
     s = shorter.select(F.col("key").alias("suffix"), F.pow(F.lit(10.0), "logp").alias("q"))
-    joined = stored(runs.join(s, "suffix").select("key", "context", "n", "q"), "runs")
-    sums = joined.groupBy("context").agg(F.sum("n").alias("kept"), F.count("*").alias("kinds"))
-    sums = sums.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("seen")), "context")
-    sums = sums.withColumn("all", F.greatest("seen", "kept")).withColumn("left", F.col("all") - F.col("kept") + F.col("kinds"))
-    sums = sums.select("context", "kept", "kinds", "all", "left", (F.col("left") / (F.col("kept") + F.col("left"))).alias("rest"))
-    p = (F.col("n") + F.col("left") * F.col("q")) / (F.col("kept") + F.col("left"))
-    each = joined.join(sums, "context").withColumn("p", p)
-    gains = each.groupBy("context").agg((F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))) + F.first((F.col("all") - F.col("kept")) * F.log("rest"))).alias("gain"))
-    judged = stored(sums.join(gains, "context").select("context", "all", "kept", "left", "rest", (F.col("gain") >= least_gain * F.col("kinds")).alias("retained")), "contexts")
-    level = joined.join(judged, "context").withColumn("p", p)
+    own = Window.partitionBy("context")
+    # a context has as many rows as frequent continuations; all that it needs comes with one exchange
+    each = runs.join(s, "suffix").select("key", "context", "n", "q").withColumns({"kept": F.sum("n").over(own), "kinds": F.count("*").over(own), "head": F.min("key").over(own) == F.col("key")})
+    each = each.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("seen")), "context").withColumn("all", F.greatest("seen", "kept"))
+    each = each.withColumn("left", F.col("all") - F.col("kept") + F.col("kinds")).withColumn("rest", F.col("left") / (F.col("kept") + F.col("left")))
+    each = each.withColumn("p", (F.col("n") + F.col("left") * F.col("q")) / (F.col("kept") + F.col("left")))
+    gain = F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).over(own) + (F.col("all") - F.col("kept")) * F.log("rest")
+    each = each.withColumn("retained", gain >= least_gain * F.col("kinds"))
     more = F.log10("p") - F.log10("q") - F.log10("rest")
-    level = level.select("key", "n", F.when(F.col("retained"), F.log10("p")).otherwise(F.log10("q")).alias("logp"), F.when(F.col("retained"), more).otherwise(0.0).alias("more"))
-    return stored(level, "level"), judged.select(F.col("context").alias("key"), F.col("all").alias("n"), F.log10("rest").alias("rest"), "retained")
+    level = stored(each.select(
+        "key", "n", F.when(F.col("retained"), F.log10("p")).otherwise(F.log10("q")).alias("logp"), F.when(F.col("retained"), more).otherwise(0.0).alias("more"),
+        *[F.when(F.col("head"), F.col(c)).alias(c) for c in ("context", "all", "rest", "retained")],
+    ), "level")
+    contexts = level.where("context is not null").select(F.col("context").alias("key"), F.col("all").alias("n"), F.log10("rest").alias("rest"), "retained")
+    return level.select("key", "n", "logp", "more"), contexts
 
 
 def fit_tree(docs: DataFrame, text_col: str = "text", train_col: str = "train", depth: int = 3, least_count: int = 4, least_gain: float = 2.0) -> SuffixTree:
@@ -223,10 +306,9 @@ def fit_tree(docs: DataFrame, text_col: str = "text", train_col: str = "train",
     reached. The tree is three kinds of rows in tables of the shared folder; nothing of it passes through the driver.
     """
     spark = docs.sparkSession
-    ends = docs.where(train_col).count()
-    # words of a corpus are about a sixth of its characters
-    chars = docs.where(train_col).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
-    buckets = max(1, -(-chars // (6 * GATHERED)))
+    # words of a corpus are about a sixth of its bytes
+    ends, size = docs.where(train_col).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    buckets = max(1, -(-size // (6 * GATHERED)))
     count = lambda *a: stored(run_counts(docs, *a, buckets, least_count, text_col, train_col), "runs")
     found = count([1, 2], [], None)
     words, runs = found.where("size = 1").select("key", "n"), found.where("size = 2").select("key", "n")
@@ -259,8 +341,7 @@ def fit_tree(docs: DataFrame, text_col: str = "text", train_col: str = "train",
             break
         linked = runs.where("linked") if size + 1 == depth + 1 else None
     none = words.where("false").select("key", "n", F.lit(0.0).alias("value"))
-    # a run may end with a value of its own and be a context too
-    tree.values = stored(reduce(DataFrame.unionByName, values, none).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "values")
+    tree.values = reduce(DataFrame.unionByName, values, none)
     return tree
 
 
@@ -295,10 +376,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     tree = fit_tree(rows, "text", "train", **fit)
-    everything = tree.words.select("key", F.col("n").alias("count")).join(tree.values, "key", "full_outer")
+    everything = tree.words.select("key", "n", F.col("n").alias("count"), F.lit(0.0).alias("value")).unionByName(tree.values.select("key", "n", F.lit(0).cast("long").alias("count"), "value"))
+    everything = everything.groupBy("key").agg(F.max("n").alias("n"), F.max("count").alias("count"), F.sum("value").alias("value"))
     # eight steps to a doubling of n: few enough to list
-    step = F.floor(8 * F.log2("n")).cast("int")
-    everything = stored(everything.select("key", F.coalesce("n", "count").alias("n"), F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("value", F.lit(0.0)).alias("value")).withColumn("step", step), "tree")
+    everything = stored(everything.withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "tree")
     least, n_hot, n_cold = 1 << 30, 0, 0
     for r in everything.groupBy("step").count().orderBy(F.desc("step")).collect():
         if n_cold or n_hot + r["count"] > hot:
@@ -309,30 +390,35 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = _sorted(everything.where(F.col("step") >= least), ["count", "value"])
     buckets = max(1, -(-n_cold // 500_000), -(-tree.tokens // GATHERED))
     unknown, scale = tree.base(0), tree.tokens + 0.5 * (tree.distinct + 1)
-    known = spark.sparkContext.broadcast((table, key_filter(cold, n_cold) if n_cold else None))
+    known = spark.sparkContext.broadcast((table, key_filter(everything, n_hot + n_cold)))
     longest = 1 + max([0, *(size for size, _, _ in tree.tested)])
-    part = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64()), ("bucket", pa.int32()), ("data", pa.binary())])
+    block = pa.schema([("row", pa.int64()), ("bucket", pa.int32()), ("whole", pa.bool_()), ("data", pa.binary())])
+    sums = pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def split(batches):
-        of = _Symbols()
+        """For each block of documents what is known of them at once, and for each bucket the runs to be looked up there."""
         table, bitmap = known.value
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            doc_ids, train, texts = (b.column(k).to_pylist() for k in range(3))
-            for at in range(0, len(texts), 300):
-                runs = Runs(texts[at : at + 300], of)
+            for at, end in text_blocks(b.column(2)):
+                runs = Runs(b.column(2)[at:end])
                 n = len(runs.size)
                 base, more, seen = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
                 travel = []
                 for size in range(1, longest + 1):
-                    keys, doc = _signed(runs.keys[0] if size == 1 else runs.longer()), runs.doc
-                    token = runs.place > 0
-                    if size > 1:
-                        where = np.flatnonzero(runs.whole(size))
-                        keys, doc, token = keys[where], doc[where], np.zeros(len(where), bool)
+                    keys = runs.keys[0] if size == 1 else runs.longer()
+                    may = may_be_in(keys, bitmap)
+                    if size == 1:
+                        # a text's start is looked up as a context only
+                        base += unknown * np.bincount(runs.doc[~may & (runs.place > 0)], minlength=n)
+                    else:
+                        may &= runs.whole(size)
+                    where = np.flatnonzero(may)
+                    keys = _signed(keys[where])
                     # in order, so that the search walks through the table
                     order = np.argsort(keys)
-                    keys, doc, token = keys[order], doc[order], token[order]
+                    keys, where = keys[order], where[order]
+                    doc, token = runs.doc[where], (runs.place[where] > 0) & (size == 1)
                     place, there = _look_up(keys, table)
                     more += np.bincount(doc[there], table[2][place[there]], n)
                     own = np.flatnonzero(there & token)
@@ -340,71 +426,65 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     base += np.bincount(doc[own], np.log10((count + 0.5) / scale), n)
                     seen += np.bincount(doc[own[count > 0]], minlength=n)
                     cold = ~there
-                    if bitmap is not None:
-                        cold[cold] = may_be_in(keys[cold], bitmap)
+                    if n_cold:
+                        travel.append((keys[cold].view(np.uint64), doc[cold].astype(np.uint16) * np.uint16(2) + token[cold]))
                     else:
-                        cold[:] = False
-                    base += unknown * np.bincount(doc[~there & ~cold & token], minlength=n)
-                    travel.append((keys[cold].view(np.uint64), doc[cold].astype(np.uint16) * np.uint16(2) + token[cold]))
-                tokens = runs.size - 1
-                yield batch(part, np.arange(row, row + n, dtype=np.int64), doc_ids[at : at + n], train[at : at + n], tokens, seen, base, base + more, *(pa.nulls(n, t) for t in part.types[7:]))
-                keys, doc = (np.concatenate(c) for c in zip(*travel, strict=True))
-                order = np.argsort(keys)
-                keys, doc = keys[order], doc[order]
-                bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                ends = np.searchsorted(bucket, np.arange(buckets + 1))
-                full = np.flatnonzero(ends[1:] > ends[:-1])
-                if len(full):
+                        base += unknown * np.bincount(doc[cold & token], minlength=n)
+                own = batch(sums, b.column(0)[at:end], b.column(1)[at:end], runs.size - 1, seen, base, base + more)
+                yield batch(block, [row], [row % buckets], [True], [own.serialize().to_pybytes()])
+                if travel:
+                    keys, doc = (np.concatenate(c) for c in zip(*travel, strict=True))
+                    order = np.argsort(keys)
+                    keys, doc = keys[order], doc[order]
+                    full, ends = dealt(keys, buckets)
                     m = len(full)
-                    data = [keys[ends[k] : ends[k + 1]].tobytes() + doc[ends[k] : ends[k + 1]].tobytes() for k in full]
-                    yield batch(part, [row] * m, *(pa.nulls(m, t) for t in part.types[1:7]), full.astype(np.int32), data)
-                row += n
+                    yield batch(block, [row] * m, full, [False] * m, [pack(keys[a:b_], doc[a:b_]) for a, b_ in zip(ends, ends[1:], strict=False)])
+                row += 1
 
-    kind = "row bigint, id bigint, train boolean, n_tokens bigint, n_known bigint, base double, lm double, bucket int, data binary"
-    pieces = stored(arrow_map(rows.select("id", "train", "text"), split, kind), "document-runs")
-    sums = pa.schema([("row", pa.int64()), ("data", pa.binary())])
+    pieces = arrow_map(rows.select("id", "train", "text"), split, "row bigint, bucket int, whole boolean, data binary")
 
     def meet(blocks, tree_rows):
         keys = tree_rows.column("key").to_numpy()
         order = np.argsort(keys)
         table = [keys[order], *(tree_rows.column(c).to_numpy()[order] for c in ("count", "value"))]
         out = []
-        for row, data in zip(blocks.column("row").to_pylist(), blocks.column("data").to_pylist(), strict=True):
-            m = len(data) // 10
-            doc = np.frombuffer(data, np.uint16, m, 8 * m)
-            token, doc = (doc & 1).astype(bool), (doc >> 1).astype(np.int64)
-            place, there = _look_up(np.frombuffer(data, np.int64, m), table)
-            count = np.zeros(m, np.int64)
-            count[there] = table[1][place[there]]
-            base = np.where(token, np.log10((count + 0.5) / scale), 0.0)
-            lm = base.copy()
-            lm[there] += table[2][place[there]]
-            some = np.unique(doc)
-            totals = np.stack([some, *(np.bincount(doc, w)[some] for w in (token & (count > 0), base, lm))])
-            out.append((row, totals.astype(np.float64).tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], []), sums.types, strict=True)], sums)
-
-    of_documents = pa.schema([("row", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64())])
-
-    def added(batches):
-        """What all buckets add to the documents of a block."""
+        for row, whole, data in zip(*(blocks.column(c).to_pylist() for c in ("row", "whole", "data")), strict=True):
+            if not whole:
+                keys, doc = unpack(data, np.uint16)
+                token, doc = (doc & 1).astype(bool), doc >> 1
+                place, there = _look_up(_signed(keys), table)
+                count = np.zeros(len(keys), np.int64)
+                count[there] = table[1][place[there]]
+                base = np.where(token, np.log10((count + 0.5) / scale), 0.0)
+                more = np.zeros(len(keys))
+                more[there] = table[2][place[there]]
+                some, doc = np.unique(doc, return_inverse=True)
+                data = pack(some.astype(np.uint64), np.bincount(doc, token & (count > 0)).astype(np.uint32), np.bincount(doc, base), np.bincount(doc, more))
+            out.append((row, whole, data))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["row", "whole", "data"])
+
+    def total(batches):
+        """The documents of a block, with what all buckets add to them."""
         for b in batches:
-            for row, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                some, *totals = np.concatenate([np.frombuffer(x, np.float64).reshape(4, -1) for x in parts], axis=1)
-                doc = some.astype(np.int64)
-                there = np.unique(doc)
-                n, base, lm = (np.bincount(doc, w)[there] for w in totals)
-                yield batch(of_documents, row + there, n.astype(np.int64), base, lm)
-
-    dealt = F.shiftrightunsigned("key", 32) * F.lit(buckets)
-    tree_rows = cold.select(F.shiftrightunsigned(dealt, 32).cast("int").alias("bucket"), "key", "count", "value")
-    met = pieces.where("bucket is not null").select("row", "bucket", "data").groupBy("bucket").cogroup(tree_rows.groupBy("bucket")).applyInArrow(meet, "row bigint, data binary")
-    met = arrow_map(met.groupBy("row").agg(F.collect_list("data")), added, "row bigint, n_known bigint, base double, lm double")
-    whole = pieces.where("bucket is null").select("row", "id", "train", "n_tokens", "n_known", "base", "lm")
-    empty = [F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("long").alias("n_tokens")]
-    every = whole.unionByName(met.select("row", *empty, "n_known", "base", "lm")) if n_cold else whole
-    total = every.groupBy("row").agg(F.max("id").alias(id_col), F.max("train").alias("train"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").cast("long").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lm").alias("score"))
-    return total.select(id_col, "train", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            for parts in b.column(0).to_pylist():
+                own = pa.ipc.read_record_batch(pa.py_buffer(next(p["data"] for p in parts if p["whole"])), sums)
+                seen, base, score = (own.column(k).to_numpy().copy() for k in (3, 4, 5))
+                for p in parts:
+                    if not p["whole"]:
+                        some, n, of_base, more = unpack(p["data"], np.uint32, np.float64, np.float64)
+                        doc = some.astype(np.int64)
+                        seen[doc] += n
+                        base[doc] += of_base
+                        score[doc] += of_base + more
+                yield batch(sums, *own.columns[:3], seen, base, score)
+
+    if n_cold:
+        lead = F.shiftrightunsigned("key", 32) * F.lit(buckets)
+        tree_rows = cold.select(F.shiftrightunsigned(lead, 32).cast("int").alias("bucket"), "key", "count", "value")
+        pieces = pieces.groupBy("bucket").cogroup(tree_rows.groupBy("bucket")).applyInArrow(meet, "row bigint, whole boolean, data binary")
+    parts = pieces.groupBy("row").agg(F.collect_list(F.struct("whole", "data")))
+    found = arrow_map(parts.drop("row"), total, "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return found.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 #: How often a run of words comes at least that contexts are learnt from.
