@@ -42,20 +42,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # the write's own shuffle files go with it: a collector's run right after it comes too soon, and two steps' files add up
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     _written.append(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    # the driver's collector tells executors which shuffle files nothing needs any more
+    # the driver's collector tells executors which other shuffle files and broadcasts nothing needs any more
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what stored() has written. Call it once the results that read those tables are written themselves."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables stored() has written that are still there."""
+    return len(_written)
+
+
+def release(spark: SparkSession, first: int = 0, end: int | None = None) -> None:
+    """Delete what stored() has written, or the tables from the first to before the end of them, in the order of writing. Call it
+    once the results that read those tables are written themselves."""
+    for at in _written[first:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[first:end]
 
 
 def new_name(df: DataFrame, base: str) -> str:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, key_filter, may_be_in, read_table, remainder, stored
+from .common import arrow_map, batch, key_filter, may_be_in, read_table, release, remainder, stored, written
 
 # Symbols are words, by their hash, and the start and the end of a text. A run of symbols has a key of its own: that of the
 # run without its last symbol times _STEP, plus the last one's hash. The chance that two of n runs share a key is n*n / 2**65.
@@ -52,7 +52,7 @@ def symbol(word: bytes) -> int:
     return int(symbols(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
 
 
-def text_blocks(texts: pa.Array, most_bytes: int = 1_500_000, most: int = 2_000):
+def text_blocks(texts: pa.Array, most_bytes: int = 1_000_000, most: int = 2_000):
     """Slices of an array of texts, each of at most `most` texts and most_bytes; a longer text is a slice of its own."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
     at = 0
@@ -375,11 +375,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    before = written()
     tree = fit_tree(rows, "text", "train", **fit)
     everything = tree.words.select("key", "n", F.col("n").alias("count"), F.lit(0.0).alias("value")).unionByName(tree.values.select("key", "n", F.lit(0).cast("long").alias("count"), "value"))
     everything = everything.groupBy("key").agg(F.max("n").alias("n"), F.max("count").alias("count"), F.sum("value").alias("value"))
     # eight steps to a doubling of n: few enough to list
     everything = stored(everything.withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "tree")
+    release(spark, before, written() - 1)  # the tree has all that scoring reads
     least, n_hot, n_cold = 1 << 30, 0, 0
     for r in everything.groupBy("step").count().orderBy(F.desc("step")).collect():
         if n_cold or n_hot + r["count"] > hot:
