@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch, key_filter, may_be_in, new_name, read_table, stored
-from .tokens import in_blocks, kept, load, tokenizer_path
+from .tokens import WordIds, in_blocks, kept, load, tokenizer_path
 
 _SPACES = frozenset(b" \t\n\x0b\x0c\r")
 _WINDOW = 16
@@ -80,7 +79,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, most: int = 60_000_000) -> None:
-        self.tokenizer, self.table, self.most = load(path), _rolling_table(), most
+        self.ids, self.table, self.most = WordIds(path), _rolling_table(), most
         self.words: dict[bytes, bytes] = {}
         self.held = 0
 
@@ -89,16 +88,18 @@ class WordEncoder:
         if self.held > self.most:
             self.words.clear()
             self.held = 0
-        new = [w for w in words if w not in self.words]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.words[w] = array("H", e.ids).tobytes()
-            self.held += len(w) + 2 * len(e.ids) + 130
+        new = list(words.difference(self.words))
+        for w, ids in zip(new, self.ids.encode(new), strict=True):
+            self.words[w] = ids
+            self.held += len(w) + len(ids) + 130
         return self.words
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        get = self.learn({w for ws in split for w in ws}).__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        known = [list(map(self.words.get, ws)) for ws in split]
+        new = {w for ws, ids in zip(split, known, strict=True) if None in ids for w, i in zip(ws, ids, strict=True) if i is None}
+        of = self.learn(new)
+        return [b"".join([of[w] if i is None else i for w, i in zip(ws, ids, strict=True)] if None in ids else ids) for ws, ids in zip(split, known, strict=True)]
 
 
 class Piece:
@@ -179,14 +180,14 @@ class Decoder:
         n = t.get_vocab_size(with_added_tokens=True)
         if n > 1 << 16:
             raise ValueError("ids of this tokenizer need more than 16 bits")
-        self.token = [(t.id_to_token(i) or "").encode() for i in range(n)]
-        self.number = [b"%d" % i for i in range(n)]
+        self.token = np.array([(t.id_to_token(i) or "").encode() for i in range(n)], object)
+        self.number = np.array([b"%d" % i for i in range(n)], object)
 
-    def text(self, ids: list[int]) -> bytes:
-        return b" ".join(map(self.token.__getitem__, ids))
+    def text(self, ids: np.ndarray) -> bytes:
+        return b" ".join(self.token[ids].tolist())
 
-    def numbers(self, ids: list[int]) -> bytes:
-        return b" ".join(map(self.number.__getitem__, ids))
+    def numbers(self, ids: np.ndarray) -> bytes:
+        return b" ".join(self.number[ids].tolist())
 
 
 def shared_chunks(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -196,10 +197,9 @@ def shared_chunks(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
     def run(batches):
         table = kept(f"words {path}", lambda: WordEncoder(path)).table
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    h = [_key(c) for c in chunks_of(t.encode(), table)]
-                    yield batch(out, h, np.frombuffer(b"".join(h), np.int64)[::2].copy())
+            for block in in_blocks(b.column(0).to_pylist()):
+                h = [_key(c) for t in block if t for c in chunks_of(t.encode(), table)]
+                yield batch(out, h, np.frombuffer(b"".join(h), np.int64)[::2].copy())
 
     rows = arrow_map(docs.select(text_col), run, "h binary, key bigint")
     return rows.groupBy("h", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", wit
     def results(all_ids: list[bytes], decoder: Decoder) -> list[list]:
         out: dict[str, list] = {k: [] for k in new}
         for ids in all_ids:
-            ids = np.frombuffer(ids, "<u2").tolist()
+            ids = np.frombuffer(ids, "<u2")
             text = decoder.text(ids)
             for k, v in (("n_tokens", len(ids)), ("ids_sha256", hashlib.sha256(decoder.numbers(ids)).hexdigest()), ("decoded_sha256", hashlib.sha256(text).hexdigest()), ("ids", ids), ("decoded", text)):
                 if k in out:
